@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: By how much the hubs of a bucket grow from one round to the next.
-STEP = 16
+STEP = 64
 
 
 def components(edges: DataFrame) -> DataFrame:
