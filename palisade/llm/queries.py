@@ -95,10 +95,10 @@ def queries() -> dict:
 
 _OP4_SQL = r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
 ), sets AS (
   SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
-    ELSE list_transform(generate_series(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1]) END)) AS s FROM words
+    ELSE list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s FROM words
 ), parts AS (
   SELECT s, min(doc_id) AS rep FROM sets WHERE len(s) > 0 GROUP BY s
 ), items AS (
@@ -108,10 +108,10 @@ WITH RECURSIVE words AS (
   WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2, 3, 4
 ), links AS (
   SELECT a, b FROM together WHERE 100 * k >= 80 * (n + m - k)
-), both AS (
+), either_way AS (
   SELECT a, b FROM links UNION SELECT b, a FROM links
 ), reach AS (
-  SELECT rep AS a, rep AS b FROM parts UNION SELECT r.a, l.b FROM reach r JOIN both l ON r.b = l.a
+  SELECT rep AS a, rep AS b FROM parts UNION SELECT r.a, l.b FROM reach r JOIN either_way l ON r.b = l.a
 ), comp AS (
   SELECT a AS rep, min(b) AS c FROM reach GROUP BY a
 )
