@@ -44,7 +44,7 @@ def part_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The same as rows of identity (s, e, str) in SQL.
 _PART = """
 WITH parts AS (
-  SELECT p_partkey AS k, 12 + 4 * (p_partkey % 6) AS plen, (CASE WHEN p_partkey % 2 = 0 THEN 10 ELSE 20 END) * 16777216 + (p_partkey * 7919) % 16777216 AS ip, p_brand AS feed, p_partkey % 3 AS layer,
+  SELECT p_partkey AS k, 12 + 4 * (p_partkey % 6) AS plen, (CASE WHEN p_partkey % 2 = 0 THEN 10 ELSE 20 END)::BIGINT * 16777216 + (p_partkey * 7919) % 16777216 AS ip, p_brand AS feed, p_partkey % 3 AS layer,
     CASE WHEN p_partkey % 5 = 0 THEN 'host' || (p_partkey % 97) || '.example' END AS str FROM part
 ), contrib AS (
   SELECT k, layer, feed, str, CASE WHEN str IS NULL THEN ip - ip % (1 << (32 - plen)) END AS s, CASE WHEN str IS NULL THEN ip - ip % (1 << (32 - plen)) + (1 << (32 - plen)) - 1 END AS e,
@@ -78,7 +78,7 @@ def observed(spark, sf_dir) -> DataFrame:
 
 
 _OBS = """, obs AS (
-  SELECT event_id, user_id, CASE WHEN event_id % 4 = 0 THEN 'host' || (event_id % 120) || '.example' END AS host, CASE WHEN event_id % 4 <> 0 THEN (CASE event_id % 3 WHEN 0 THEN 10 WHEN 1 THEN 20 ELSE 198 END) * 16777216 + (event_id * 104729) % 16777216 END AS ip FROM events
+  SELECT event_id, user_id, CASE WHEN event_id % 4 = 0 THEN 'host' || (event_id % 120) || '.example' END AS host, CASE WHEN event_id % 4 <> 0 THEN (CASE event_id % 3 WHEN 0 THEN 10 WHEN 1 THEN 20 ELSE 198 END)::BIGINT * 16777216 + (event_id * 104729) % 16777216 END AS ip FROM events
 )"""
 
 
@@ -138,15 +138,15 @@ def _policy_sql(skip: str, tail: str = "SELECT * FROM final") -> str:
 ), j AS (
   SELECT o.*, h.* EXCLUDE (event_id), h.event_id IS NOT NULL AS has, action, whole_, conf, otag, coalesce(action = '-' AND whole_, false) AS dead, coalesce(ip BETWEEN 167772160 AND 184549375, false) AS priv, coalesce(t, 0) AS m FROM obs o LEFT JOIN hit h ON o.event_id = h.event_id LEFT JOIN ovl ON o.host = ovl.value
 ), x AS (
-  SELECT *, has AND NOT dead AND NOT (priv AND {skip}) AS show, priv AND {skip} AS skipped FROM j
+  SELECT *, has AND NOT dead AND NOT (priv AND {skip}) AS visible, priv AND {skip} AS skipped FROM j
 ), y AS (
   SELECT event_id, user_id, CAST(CASE WHEN host IS NULL THEN 4 ELSE 0 END AS INT) AS kind,
     CAST(CASE WHEN dead THEN 48 ELSE CASE WHEN action IS NOT NULL THEN 32 ELSE 0 END + CASE WHEN action = '-' THEN 8 ELSE 0 END + CASE WHEN priv THEN 2 ELSE 0 END + CASE WHEN has THEN 64 ELSE 0 END + CASE WHEN has AND skipped AND m & 3 <> 0 THEN 4 ELSE 0 END
       + CASE WHEN coalesce(action = '+', false) OR (has AND NOT skipped AND m & 3 <> 0) THEN 1 ELSE 0 END END AS INT) AS flags,
-    CAST(CASE WHEN show THEN m ELSE 0 END AS INT) AS type_mask, CAST(CASE WHEN show AND m & 1 <> 0 THEN c ELSE 0 END AS INT) AS confidence, CAST(CASE WHEN show AND m & 2 <> 0 THEN r ELSE 0 END AS INT) AS confidence_r,
-    CAST(CASE WHEN show AND m & 1 <> 0 THEN p ELSE 0 END AS INT) AS tlp_mask, CAST(CASE WHEN show AND m & 1 <> 0 THEN g ELSE 0 END AS INT) AS category_mask, CASE WHEN show AND m & 1 <> 0 THEN feeds ELSE '' END AS feeds,
+    CAST(CASE WHEN visible THEN m ELSE 0 END AS INT) AS type_mask, CAST(CASE WHEN visible AND m & 1 <> 0 THEN c ELSE 0 END AS INT) AS confidence, CAST(CASE WHEN visible AND m & 2 <> 0 THEN r ELSE 0 END AS INT) AS confidence_r,
+    CAST(CASE WHEN visible AND m & 1 <> 0 THEN p ELSE 0 END AS INT) AS tlp_mask, CAST(CASE WHEN visible AND m & 1 <> 0 THEN g ELSE 0 END AS INT) AS category_mask, CASE WHEN visible AND m & 1 <> 0 THEN feeds ELSE '' END AS feeds,
     CAST(CASE WHEN dead THEN 0 WHEN action = 'T' THEN 4 WHEN action = '+' THEN 1 ELSE 0 END AS INT) AS ovl_type_mask, CAST(CASE WHEN action = '+' THEN conf ELSE 0 END AS INT) AS ovl_confidence, CAST(CASE WHEN action = '+' THEN 16 ELSE 0 END AS INT) AS ovl_category_mask,
-    CASE WHEN has AND NOT dead THEN tags ELSE '' END AS tags, CASE WHEN show THEN labels ELSE '' END AS labels, CASE WHEN action = 'T' THEN otag ELSE '' END AS overlay_tags FROM x
+    CASE WHEN has AND NOT dead THEN tags ELSE '' END AS tags, CASE WHEN visible THEN labels ELSE '' END AS labels, CASE WHEN action = 'T' THEN otag ELSE '' END AS overlay_tags FROM x
 ), final AS (
   SELECT event_id, CAST(CASE WHEN flags & 25 <> 0 OR tags || labels || overlay_tags <> '' THEN 1 ELSE 0 END AS INT) AS status, y.* EXCLUDE (event_id, user_id) FROM y
 ) {tail}"""
