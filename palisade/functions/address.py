@@ -23,11 +23,19 @@ def is_ipv4(value: Column) -> Column:
     return F.coalesce(value.rlike(IPV4), F.lit(False))
 
 
+def let(c: Column, body) -> Column:
+    """body of c, with c evaluated once however often body names it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def ipv4_number(value: Column) -> Column:
     """The address as a number; null unless it is a strict dotted quad."""
-    parts = F.split(F.when(is_ipv4(value), value), r"\.")
-    octet = lambda k: F.try_element_at(parts, F.lit(k)).cast("long")
-    return octet(1) * 16777216 + octet(2) * 65536 + octet(3) * 256 + octet(4)
+
+    def number(parts):
+        octet = lambda k: F.try_element_at(parts, F.lit(k)).cast("long")
+        return octet(1) * 16777216 + octet(2) * 65536 + octet(3) * 256 + octet(4)
+
+    return let(value, lambda v: let(F.split(F.when(is_ipv4(v), v), r"\."), number))
 
 
 def ipv4_text(number: Column) -> Column:
@@ -36,7 +44,7 @@ def ipv4_text(number: Column) -> Column:
 
 def block(plen: Column) -> Column:
     """Addresses of an IPv4 network of this prefix length."""
-    return F.expr("shiftleft(1L, 0)") * F.pow(F.lit(2.0), F.lit(32) - plen).cast("long")
+    return F.pow(F.lit(2.0), F.lit(32) - plen).cast("long")
 
 
 def masked(number: Column, plen: Column) -> Column:
@@ -45,12 +53,16 @@ def masked(number: Column, plen: Column) -> Column:
 
 def ipv4_network(value: Column) -> Column:
     """(plen, ip4_start, ip4_end) of an address or a network of 8 to 32 bits; host bits go; null otherwise."""
-    net = value.rlike(IPV4_NET)
-    digits = F.when(net, F.regexp_extract(value, IPV4_NET, 2)).otherwise("32")
-    plen = digits.cast("int")
-    number = F.coalesce(ipv4_number(value), ipv4_number(F.regexp_extract(value, IPV4_NET, 1)))
-    start = masked(number, plen)
-    return F.when(number.isNotNull() & plen.between(WIDEST_V4, 32), F.struct(plen.alias("plen"), start.alias("start"), (start + block(plen) - 1).alias("end")))
+
+    def parts(v):
+        digits = F.when(v.rlike(IPV4_NET), F.regexp_extract(v, IPV4_NET, 2)).otherwise("32")
+        return F.struct(digits.cast("int").alias("plen"), ipv4_number(F.when(v.rlike(IPV4_NET), F.regexp_extract(v, IPV4_NET, 1)).otherwise(v)).alias("number"))
+
+    def network(x):
+        start = masked(x["number"], x["plen"])
+        return F.when(x["number"].isNotNull() & x["plen"].between(WIDEST_V4, 32), F.struct(x["plen"].alias("plen"), start.alias("start"), (start + block(x["plen"]) - 1).alias("end")))
+
+    return let(value, lambda v: let(parts(v), network))
 
 
 def _parse_v6(text: str, slash: bool):

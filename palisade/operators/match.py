@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import address as A
 from ..functions import text as X
+from ..plans.scratch import written
 from . import compile as C
 
 _NONE = "array<string>"
@@ -109,9 +110,9 @@ def lookup(df: DataFrame, value_col: str, indicators: DataFrame | None, public:
     overlay = empty(spark, S.OVERLAY_ROWS) if overlay is None else overlay
     public = empty(spark, "feed string") if public is None else public
     entry = overlay.select("value", F.struct("action", "suppress_full", "confidence", "type_mask", "category_mask", "tags").alias("o"))
-    seen = classify(df.select(F.col(value_col).alias("value")).distinct()).join(entry, "value", "left")
+    seen = written(classify(df.select(F.col(value_col).alias("value")).distinct()).join(entry, "value", "left"), "observed")
     probe = seen.filter("o is null or o.action <> '-' or not o.suppress_full")
-    found = match_strings(probe, indicators).unionByName(match_v4(probe, indicators)).unionByName(match_v6(probe, indicators))
+    found = written(match_strings(probe, indicators).unionByName(match_v4(probe, indicators)).unionByName(match_v6(probe, indicators)), "found")
     named = found.select("value", F.explode("feeds").alias("f")).join(public.select(F.lower("feed").alias("low")).distinct(), F.lower("f") == F.col("low"), "left_semi").groupBy("value").agg(F.array_sort(F.collect_set("f")).alias("public"))
     record = found.select("value", F.struct(*S.RECORD_COLUMNS).alias("m")).join(named, "value", "left")
     result = resolve(seen.join(record, "value", "left"), skip_private).withColumnRenamed("value", "__value")

@@ -14,6 +14,7 @@ from .functions import text as X
 from .operators import compile as C
 from .operators import fold as FO
 from .operators import match as M
+from .plans.scratch import written
 from .sources import feeds, pull, stix
 
 #: Unix seconds that folds are judged by.
@@ -41,6 +42,10 @@ def part_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _contrib(p, row_ord=k, value=value, type=F.when(k % 5 == 0, "domain").otherwise("ip"), confidence=k % 101, category_mask=F.expr("shiftleft(1, cast(p_partkey % 11 as int))"), feed=F.col("p_brand"), tlp_mask=F.expr("shiftleft(1, cast(p_partkey % 4 as int))"), labels=F.array(F.concat(F.lit("l"), (k % 7).cast("string"))), layer=layer)
 
 
+def _part_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(C.compile_contributions(part_contributions(spark, sf_dir)), "indicators")
+
+
 # The same as rows of identity (s, e, str) in SQL.
 _PART = """
 WITH parts AS (
@@ -63,11 +68,11 @@ def _shown(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def merge_identity(spark, sf_dir):
-    return _shown(C.compile_contributions(part_contributions(spark, sf_dir)), F.col("ip4_start").alias("s"), F.col("ip4_end").alias("e"), "str")
+    return _shown(_part_indicators(spark, sf_dir), F.col("ip4_start").alias("s"), F.col("ip4_end").alias("e"), "str")
 
 
 def flatten_ranges(spark, sf_dir):
-    return C.flatten_v4(C.compile_contributions(part_contributions(spark, sf_dir))).select(F.col("ip_start").alias("s"), F.col("ip_end").alias("e"), "confidence", "confidence_r", "type_mask", "tlp_mask", "category_mask", F.array_join("feeds", ",").alias("feeds"))
+    return C.flatten_v4(_part_indicators(spark, sf_dir)).select(F.col("ip_start").alias("s"), F.col("ip_end").alias("e"), "confidence", "confidence_r", "type_mask", "tlp_mask", "category_mask", F.array_join("feeds", ",").alias("feeds"))
 
 
 def observed(spark, sf_dir) -> DataFrame:
@@ -84,13 +89,13 @@ _OBS = """, obs AS (
 
 def match_ipv4_range(spark, sf_dir):
     seen = M.classify(observed(spark, sf_dir).select("value").distinct())
-    found = M.match_v4(seen, C.compile_contributions(part_contributions(spark, sf_dir))).join(seen.select("value", "ip4"), "value")
+    found = M.match_v4(seen, _part_indicators(spark, sf_dir)).join(seen.select("value", "ip4"), "value")
     return found.select(F.col("ip4").alias("ip"), "confidence", "confidence_r", "type_mask", "tlp_mask", "category_mask", F.array_join("feeds", ",").alias("feeds"))
 
 
 def match_ipv4_disjoint(spark, sf_dir):
     seen = M.classify(observed(spark, sf_dir).select("value").distinct())
-    ranges = C.flatten_v4(C.compile_contributions(part_contributions(spark, sf_dir)))
+    ranges = C.flatten_v4(_part_indicators(spark, sf_dir))
     return M.match_v4_ranges(seen, ranges).join(seen.select("value", "ip4"), "value").select(F.col("ip4").alias("ip"), "confidence", "confidence_r", "type_mask", "tlp_mask", "category_mask", F.array_join("feeds", ",").alias("feeds"))
 
 
@@ -100,7 +105,7 @@ _MATCH4 = """SELECT ip, max(confidence) AS confidence, max(confidence_r) AS conf
 
 def match_strings(spark, sf_dir):
     seen = M.classify(observed(spark, sf_dir).select("value").distinct())
-    return _shown(M.match_strings(seen, C.compile_contributions(part_contributions(spark, sf_dir))), "value")
+    return _shown(M.match_strings(seen, _part_indicators(spark, sf_dir)), "value")
 
 
 def _overlay(spark) -> DataFrame:
@@ -111,8 +116,7 @@ def _overlay(spark) -> DataFrame:
 
 
 def _looked_up(spark, sf_dir, skip: bool) -> DataFrame:
-    contrib = part_contributions(spark, sf_dir)
-    return M.lookup(observed(spark, sf_dir), "value", C.compile_contributions(contrib), C.public_feeds(contrib), _overlay(spark), skip)
+    return M.lookup(observed(spark, sf_dir), "value", _part_indicators(spark, sf_dir), C.public_feeds(part_contributions(spark, sf_dir)), _overlay(spark), skip)
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -248,7 +252,7 @@ def _event_contrib(spark, sf_dir, half: int, action=None) -> DataFrame:
 def _state(spark, sf_dir) -> FO.State:
     contrib = _event_contrib(spark, sf_dir, 0)
     updated = spark.createDataFrame([("feed0", 3, NOW - 50 * 86400, None), ("feed1", 2, NOW - 86400, None)], S.FEED_STATE)
-    return FO.State(C.compile_contributions(contrib), C.public_feeds(contrib), updated)
+    return FO.State(written(C.compile_contributions(contrib), "indicators"), C.public_feeds(contrib), updated)
 
 
 def _folded(state: FO.State) -> DataFrame:
@@ -312,7 +316,7 @@ SELECT 's' || k || '.example' AS value, 'domain' AS type, action, confidence, 4
 
 def feed_stats(spark, sf_dir):
     contrib = part_contributions(spark, sf_dir)
-    return C.build_statistics(contrib, C.compile_contributions(contrib))
+    return C.build_statistics(contrib, _part_indicators(spark, sf_dir))
 
 
 _STATS = _PART + """ SELECT (SELECT count(*) FROM contrib) AS contributions, 0::BIGINT AS withdrawals, (SELECT count(DISTINCT lower(feed)) FROM contrib) AS feeds, count(s) AS networks_v4, 0::BIGINT AS networks_v6, count(str) AS strings,
