@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: By how much the hubs of a bucket grow from one round to the next.
+#: Hubs of a bucket in the second round.
 STEP = 64
 
 
@@ -53,8 +53,9 @@ def link_buckets(members: DataFrame, plausible: Callable[[Column, Column], Colum
     members: written rows (bucket, node, info), info being a small struct. plausible: of the infos of two nodes, whether a link is
     possible, as built-in functions. verify: takes pairs (a, b), keeps those that are links. The components are exactly those of
     all verified pairs within buckets, though few pairs are made: first each node is tried with the least node of all its buckets;
-    then, in each bucket whose nodes still lie in several components, with one hub, then STEP, STEP**2 and so on. A bucket is done
-    when what has not been a hub lies in one component: any pair left untried lies within that component.
+    then, in each bucket whose nodes still lie in several components, with one hub, with STEP hubs, and at last with all nodes outside
+    the bucket's greatest component. Hubs are taken outside it throughout, and a pair is made only in the first bucket in which both
+    are left. A bucket is done when what has not been a hub lies in one component: any pair left untried lies within it.
     """
     hubs = members.groupBy("bucket").agg(F.min(F.struct("node", "info")).alias("hub"))
     tried = members.join(hubs, "bucket").filter((F.col("node") > F.col("hub.node")) & plausible(F.col("info"), F.col("hub.info")))
@@ -63,12 +64,19 @@ def link_buckets(members: DataFrame, plausible: Callable[[Column, Column], Colum
     open_rows = _open(members.join(comp, "node", "left").select("bucket", "node", "info", F.coalesce("comp", "node").alias("comp")))
     hubs_at_once = 1
     while open_rows.head(1):
-        spread = F.pmod(F.hash("node"), F.lit(hubs_at_once))
-        hub = open_rows.groupBy("bucket", spread.alias("k")).agg(F.min(F.struct("node", "comp", "info")).alias("hub")).select("bucket", "hub")
-        tried = open_rows.join(hub, (open_rows.bucket == hub.bucket) & (F.col("comp") != F.col("hub.comp")) & plausible(F.col("info"), F.col("hub.info")))
+        minor = open_rows.filter("minor")
+        if hubs_at_once <= STEP:
+            spread = F.pmod(F.hash("node"), F.lit(hubs_at_once))
+            minor = minor.groupBy("bucket", spread.alias("k")).agg(F.min(F.struct("node", "comp", "info", "tags")).alias("hub")).select(F.col("bucket").alias("hub_bucket"), "hub")
+            once = F.lit(True)
+        else:
+            minor = minor.select(F.col("bucket").alias("hub_bucket"), F.struct("node", "comp", "info", "tags").alias("hub"))
+            once = ~F.col("minor") | (F.col("node") > F.col("hub.node"))
+        here = F.array_intersect("tags", "hub.tags")[0] == _tag(F.col("bucket"))
+        tried = open_rows.join(minor, (F.col("bucket") == F.col("hub_bucket")) & (F.col("comp") != F.col("hub.comp")) & plausible(F.col("info"), F.col("hub.info")) & here & once)
         pairs = tried.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
         links = written(verify(pairs), "links")
-        left = open_rows.join(hub.select("bucket", F.col("hub.node").alias("node")), ["bucket", "node"], "left_anti")
+        left = open_rows.join(minor.select(F.col("hub_bucket").alias("bucket"), F.col("hub.node").alias("node")), ["bucket", "node"], "left_anti")
         if links.head(1):
             lift = lambda side: comp.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_comp"))
             lifted = links.join(lift("a"), "a", "left").join(lift("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
@@ -76,12 +84,25 @@ def link_buckets(members: DataFrame, plausible: Callable[[Column, Column], Colum
             added = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comp, "node", "left_anti").select("node", F.col("node").alias("comp"))
             comp = written(comp.unionByName(added).join(relabel, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")), "components")
             left = left.join(relabel, "comp", "left").withColumn("comp", F.coalesce("new", "comp"))
+        if hubs_at_once > STEP:  # what is left of each bucket is its greatest component
+            break
         open_rows = _open(left.select("bucket", "node", "info", "comp"))
-        hubs_at_once = min(STEP * hubs_at_once, 1 << 24)
+        hubs_at_once *= STEP
     return comp
 
 
+def _tag(bucket: Column) -> Column:
+    return F.shiftright(bucket, 32).cast("int")
+
+
 def _open(rows: DataFrame) -> DataFrame:
-    """Written rows of the buckets with more than one component."""
-    several = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
-    return written(rows.join(several, "bucket"), "open-buckets")
+    """Written rows (bucket, node, info, comp, minor, tags) of the buckets with more than one component.
+
+    minor: not of the bucket's greatest component. tags: 32 bits of each of the node's buckets, in order; the first one that two
+    nodes share is where their pair is made (another bucket has the same bits for one pair in some hundred million).
+    """
+    sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("n", "comp"))["comp"].alias("major")).filter("lo <> hi").select("bucket", "major")
+    found = written(rows.join(several, "bucket").select("bucket", "node", "info", "comp", (F.col("comp") != F.col("major")).alias("minor")), "open-buckets")
+    tags = found.groupBy("node").agg(F.sort_array(F.collect_set(_tag(F.col("bucket")))).alias("tags"))
+    return written(found.join(tags, "node").select("bucket", "node", "info", "comp", "minor", "tags"), "tagged-buckets")
