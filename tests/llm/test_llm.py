@@ -328,3 +328,15 @@ def test_pipeline_keeps_clean_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         first = stage(spark, first, SF)
     assert first.count() == 0
+
+
+def test_last_round_of_hubs(spark):
+    """Links that neither the first hub nor 64 hubs of a bucket are sure to find."""
+    from palisade.llm.common import written
+    from palisade.llm.components import link_buckets
+
+    n = 300
+    rows = [(k << 40, node) for k in (1, 2) for node in range(n) if k == 1 or node % 2]
+    members = written(spark.createDataFrame(rows, "bucket long, node long").withColumn("info", F.struct(F.lit(1).alias("n"))), "members")
+    got = link_buckets(members, lambda a, b: a["n"] == b["n"], lambda pairs: pairs.filter("abs(a - b) = 150 and least(a, b) % 3 = 0").distinct())
+    assert {r["node"]: r["comp"] for r in got.collect() if r["node"] != r["comp"]} == {k + 150: k for k in range(0, 150, 3)}
