@@ -28,6 +28,11 @@ MASKS = ("110110110111", "111011011011", "101111001111", "111100111101")
 SPAN = len(MASKS[0])
 MIN_SCORE, SUBSTITUTION, SHORTEST = 12, 2, 4
 BLOCK_WORDS = 2_000_000
+#: Odd factors of a mask's places.
+_FACTORS = mix64(np.arange(1, SPAN + 1, dtype=np.uint64)) | np.uint64(1)
+#: Low bits of a seed that a table of 2^FILTER_BITS flags looks at first; most places of a document go no further.
+FILTER_BITS = 22
+_LOW = np.uint64((1 << FILTER_BITS) - 1)
 
 
 class CleanWords(dict):
@@ -60,8 +65,8 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     x = np.full(n, int(mask, 2) + (len(mask) << 32), np.uint64)
     for j, c in enumerate(mask):
         if c == "1":
-            x = mix64(x + words[j : j + n])
-    return x
+            x += words[j : j + n] * _FACTORS[j]
+    return mix64(x)
 
 
 @dataclass
@@ -74,6 +79,7 @@ class Index:
     hashes: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    flags: np.ndarray
 
     @classmethod
     def build(cls, items: list[tuple[int, str]]) -> Index:
@@ -85,22 +91,27 @@ class Index:
         item = np.concatenate([np.full(len(h), k) for h, k in found]) if found else np.zeros(0, int)
         place = np.concatenate([np.arange(len(h)) for h, _ in found]) if found else np.zeros(0, int)
         order = np.argsort(hashes, kind="stable")
-        return cls([i for i, _ in items], words, masks, hashes[order], item[order], place[order])
-
-    def overlaps(self, doc: np.ndarray) -> dict[int, tuple[int, int]]:
-        """item_id: (score, words in common) of the items that the document holds."""
-        diagonals = set()
-        for mask in self.masks:
-            own = seeds(doc, mask)
-            if not len(own) or not len(self.hashes):
-                continue
-            at = np.searchsorted(self.hashes, own)
-            hits = np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] == own)
-            for i in hits.tolist():
-                k = int(at[i])
-                while k < len(self.hashes) and self.hashes[k] == own[i]:
-                    diagonals.add((int(self.item[k]), i - int(self.place[k])))
-                    k += 1
+        flags = np.zeros(1 << FILTER_BITS, bool)
+        flags[hashes & _LOW] = True
+        return cls([i for i, _ in items], words, masks, hashes[order], item[order], place[order], flags)
+
+    def overlaps(self, docs: list[np.ndarray]) -> list[dict[int, tuple[int, int]]]:
+        """For each document, item_id: (score, words in common) of the items that it holds."""
+        diagonals: list[set[tuple[int, int]]] = [set() for _ in docs]
+        bounds = np.concatenate(([0], np.cumsum([len(d) for d in docs]))).astype(int)
+        words = np.concatenate(docs) if docs else np.zeros(0, np.uint64)
+        for mask in self.masks if len(self.hashes) else ():
+            own = seeds(words, mask)
+            maybe = np.flatnonzero(self.flags[own & _LOW])
+            lo, hi = (np.searchsorted(self.hashes, own[maybe], side) for side in ("left", "right"))
+            of = np.searchsorted(bounds, maybe, "right") - 1
+            good = np.flatnonzero((lo < hi) & (maybe + len(mask) <= bounds[of + 1]))
+            for i, d, first, end in zip(maybe[good].tolist(), of[good].tolist(), lo[good].tolist(), hi[good].tolist(), strict=True):
+                at = i - int(bounds[d])
+                diagonals[d].update(zip(self.item[first:end].tolist(), (at - self.place[first:end]).tolist(), strict=True))
+        return [self._confirmed(d, found) for d, found in zip(docs, diagonals, strict=True)]
+
+    def _confirmed(self, doc: np.ndarray, diagonals: set[tuple[int, int]]) -> dict[int, tuple[int, int]]:
         out: dict[int, tuple[int, int]] = {}
         for k, shift in diagonals:
             words = self.words[k]
@@ -147,10 +158,8 @@ def _search(docs: DataFrame, index: Index, last: bool) -> DataFrame:
         own, table = shipped.value, CleanWords()
 
         def f(batch):
-            found = []
-            for t, before in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                got = own.overlaps(clean_words(t, table))
-                found.append(before + [{"item": i, "score": s, "common": c} for i, (s, c) in sorted(got.items())])
+            got = own.overlaps([clean_words(t, table) for t in batch.column(1).to_pylist()])
+            found = [before + [{"item": i, "score": s, "common": c} for i, (s, c) in sorted(x.items())] for before, x in zip(batch.column(2).to_pylist(), got, strict=True)]
             return {"doc_id": batch.column(0), "text": [None] * batch.num_rows if last else batch.column(1), "found": found}
 
         return f
