@@ -20,13 +20,16 @@ by side in order of text, and the key leads to the first. An empty table gives n
 
 from __future__ import annotations
 
+import json
 import os
+import struct
 import uuid
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,34 +42,76 @@ SHARD_IDS = 8_000_000
 NO_KEY = np.iinfo(np.int64).min
 
 
-class WordTokenizer:
-    """A tokenizers file whose pieces never cross white space: text is encoded word by word, each distinct word once by the library."""
+class WordTokenizer(dict):
+    """A tokenizers file whose pieces never cross white space: word -> ids as bytes, each word encoded by the library when it is first met.
 
-    LIMIT = 400_000
+    Where the file splits lower-cased words by a pattern and maps bytes, words of characters below U+0250 are split here and the
+    library's model gets their pieces, each distinct one once; below U+0250 the composition that the file asks for changes nothing.
+    """
+
+    #: Words, and pieces, from which the table is begun anew.
+    LIMIT = 600_000
     #: Separators for str.split() that the library takes as ordinary characters.
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._t = Tokenizer.from_file(path)
         self._t.encode_special_tokens = True  # in a text, their strings are ordinary text
-        self._words: dict[str, bytes] = {}
+        self._model, self._pattern, self._pieces = self._t.model, _split_pattern(self._t.to_str()), {}
         self.width = 2 if self._t.get_vocab_size() <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self._t.encode_batch_fast(texts, add_special_tokens=False)]
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+
+    def whole(self, text: str) -> bytes:
+        return self._packed(self._t.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+
+    def _piece(self, piece: str) -> bytes:
+        if (x := self._pieces.get(piece)) is None:
+            if len(self._pieces) >= self.LIMIT:
+                self._pieces.clear()
+            mapped = piece.encode().decode("latin-1").translate(_SHOWN)
+            self._pieces[piece] = x = self._packed([t.id for t in self._model.tokenize(mapped)])
+        return x
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        split = self._pattern is not None and word.isprintable() and max(word) < "\u0250"
+        self[word] = x = b"".join(map(self._piece, self._pattern.findall(word.lower()))) if split else self.whole(word)
+        return x
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        whole = [t or "" for t in texts]
-        split = [None if any(c in t for c in self.ODD) else t.split() for t in whole]
-        if len(self._words) > self.LIMIT:
-            self._words = {}
-        if new := list({w for words in split if words for w in words if w not in self._words}):
-            self._words.update(zip(new, self._ids(new), strict=True))
-        return [self._ids([t])[0] if words is None else b"".join(map(self._words.__getitem__, words)) for t, words in zip(whole, split, strict=True)]
+        """The ids of each text."""
+        out = []
+        for t in texts:
+            t = t or ""
+            if any(c in t for c in self.ODD):
+                out.append(self.whole(t))
+            else:  # where the pattern is known the file takes no notice of case, so ASCII needs no entries for capitals
+                out.append(b"".join(map(self.__getitem__, (t.lower() if self._pattern is not None and t.isascii() else t).split())))
+        return out
+
+
+def _split_pattern(file: str) -> regex.Pattern | None:
+    """The pattern of a tokenizers file that composes, lower-cases, keeps what the pattern matches and maps bytes; else None."""
+    own = json.loads(file)
+    steps = [(own.get(k) or {}).get(of) or [] for k, of in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+    if [x["type"] for x in steps[0]] != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in steps[1]] != ["Split", "ByteLevel"]:
+        return None
+    blank, (split, mapped) = steps[0][1], steps[1]
+    plain = blank["pattern"] == {"Regex": r"\s+"} and split["behavior"] == "Removed" and split["invert"] and not mapped["add_prefix_space"] and not mapped["use_regex"]
+    return regex.compile(split["pattern"]["Regex"]) if plain and "Regex" in split["pattern"] else None
+
+
+#: The characters that show bytes in byte-level files: printable Latin-1 shows itself, the rest comes from U+0100 on in order.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_SHOWN = {b: 256 + k for k, b in enumerate(_HIDDEN)}
 
 
 @lru_cache(maxsize=2)

@@ -340,3 +340,12 @@ def test_last_round_of_hubs(spark):
     members = written(spark.createDataFrame(rows, "bucket long, node long").withColumn("info", F.struct(F.lit(1).alias("n"))), "members")
     got = link_buckets(members, lambda a, b: a["n"] == b["n"], lambda pairs: pairs.filter("abs(a - b) = 150 and least(a, b) % 3 = 0").distinct())
     assert {r["node"]: r["comp"] for r in got.collect() if r["node"] != r["comp"]} == {k + 150: k for k in range(0, 150, 3)}
+
+
+def test_words_and_pieces_as_the_library():
+    t = ids_io.WordTokenizer(queries.tokenizer_path(queries.WORD_TOKENIZER))
+    assert t._pattern is not None
+    texts = ["Plain words, AND capitals.", "it's O'Neil'S 'Ll'd", "́x y", "<|startoftext|> <|ENDOFTEXT|>", "ẞ İstanbul ΟΔΟΣ ß", "soft\xadhy", "Ǆungla ŉ ſ ª² ÀÉ i̇ É", "a\x00b \x7f c\x85d", "A\x1cB c", "", "  ", "___ 123٣ x1y2", "日本 語x"]
+    texts += ["".join(chr(c) for c in range(a, a + 7)) for a in range(0, 0x260, 7)]
+    assert t.encode(texts) == [t.whole(x) for x in texts]
+    assert t.encode([None]) == [b""]
