@@ -42,8 +42,8 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """The rows of members (bucket, node, info) whose bucket has more than one node."""
-    several = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("bucket")
+    """The rows of members (bucket, node, info) whose bucket has more than one row."""
+    several = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     return members.join(several, "bucket")
 
 

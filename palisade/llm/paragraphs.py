@@ -30,18 +30,14 @@ SHINGLE_WORDS, PERCENT = 5, 80
 MIN_WORDS, PARAGRAPH_WORDS = 40, 10
 
 
-def tune_bands(limit: float, recall: float, most_rows: int = 6) -> tuple[int, int]:
-    """(bands, rows) that find a pair at the limit with probability recall and let through least of what is half as similar."""
-    best = None
-    for rows in range(1, most_rows + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - limit**rows))
-        if bands <= 16:
-            let_through = 1 - (1 - (limit / 2) ** rows) ** bands
-            best = min(best or (let_through, bands, rows), (let_through, bands, rows))
-    return best[1], best[2]
-
-
-BANDS, ROWS = tune_bands(PERCENT / 100, 0.9995)
+def tune_bands(limit: float, recall: float, rows: int) -> tuple[int, int]:
+    """(bands, rows): the least bands of so many rows that find a pair at the limit with probability recall."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - limit**rows)), rows
+
+
+#: Each band of each paragraph is shuffled, so two rows: eight bands where four rows would take fourteen. What they let through
+#: besides is dismissed by exact similarities.
+BANDS, ROWS = tune_bands(PERCENT / 100, 0.9995, rows=2)
 _rng = np.random.default_rng(31)
 _MULTIPLY = _rng.integers(0, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = mix64(np.arange(7, 7 + BANDS, dtype=np.uint64))
@@ -77,18 +73,28 @@ def sentence_keys(text: str) -> tuple[list[int], list[int]]:
 
 def paragraph_bands(text: str, table: HashOf) -> list[tuple[int, int, int, np.ndarray]]:
     """(number, key, shingles, bands) of each paragraph that is long enough."""
-    out = []
-    for number, (a, b) in enumerate(lines(text)):
-        if b - a < 2 * PARAGRAPH_WORDS - 1 or len(words := ascii_words(text[a:b])) < PARAGRAPH_WORDS:
-            continue
-        h = word_hashes(words, table)
-        s = np.unique(shingle_hashes(h, SHINGLE_WORDS))
-        least = np.full(len(_MULTIPLY), np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(s), 4096):
-            np.minimum(least, (s[at : at + 4096, None] * _MULTIPLY).min(axis=0), out=least)
-        band = mix64((mix64(least).reshape(BANDS, ROWS) * _PLACE).sum(axis=1, dtype=np.uint64) ^ _BAND).view(np.int64)
-        out.append((number, int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64))), len(s), band))
-    return out
+    cut = ((number, ascii_words(text[a:b])) for number, (a, b) in enumerate(lines(text)) if b - a >= 2 * PARAGRAPH_WORDS - 1)
+    long = [(number, words) for number, words in cut if len(words) >= PARAGRAPH_WORDS]
+    if not long:
+        return []
+    h = np.concatenate([word_hashes(words, table) for _, words in long])
+    ends = np.cumsum([len(words) for _, words in long])
+    # shingles of the whole text, without those across a paragraph's end, distinct within each paragraph
+    s = shingle_hashes(h, SHINGLE_WORDS)
+    of = np.searchsorted(ends, np.arange(len(s)), "right")
+    inside = np.arange(len(s)) + SHINGLE_WORDS <= ends[of]
+    s, of = s[inside], of[inside]
+    order = np.lexsort((s, of))
+    s, of = s[order], of[order]
+    new = np.concatenate(([True], (s[1:] != s[:-1]) | (of[1:] != of[:-1])))
+    s, of = s[new], of[new]
+    begin = np.searchsorted(of, np.arange(len(long)))
+    least = np.stack([np.minimum.reduceat(s * m, begin) for m in _MULTIPLY], axis=1)
+    band = mix64((mix64(least).reshape(-1, BANDS, ROWS) * _PLACE).sum(axis=2, dtype=np.uint64) ^ _BAND).view(np.int64)
+    sizes = np.diff(np.append(begin, len(s))).tolist()
+    starts = [0, *ends[:-1].tolist()]
+    keys = [int(np.uint64(xxhash.xxh3_64_intdigest(h[a:b].tobytes())).view(np.int64)) for a, b in zip(starts, ends.tolist(), strict=True)]
+    return [(number, key, n, x) for (number, _), key, n, x in zip(long, keys, sizes, band, strict=True)]
 
 
 def _units(docs: DataFrame) -> DataFrame:
@@ -140,8 +146,8 @@ def _side(table: DataFrame, s: str) -> DataFrame:
 def near_paragraphs(docs: DataFrame, units: DataFrame) -> DataFrame:
     """(doc_id, pos) of the paragraphs whose component of near copies has a document of lower doc_id."""
     rows = units.filter("kind = 1")
-    first = rows.groupBy("key").agg(F.min(F.struct("doc_id", "pos", "n")).alias("at"), F.min("bands").alias("bands"))
-    banded = first.select(F.explode("bands").alias("bucket"), F.col("key").alias("node"), F.struct("at.n").alias("info"))
+    first = rows.groupBy("key").agg(F.min("n").alias("n"), F.min("bands").alias("bands"))
+    banded = first.select(F.explode("bands").alias("bucket"), F.col("key").alias("node"), F.struct("n").alias("info"))
     members = written(shared_buckets(banded), "paragraph-buckets")
     nodes = written(rows.join(members.select(F.col("node").alias("key")).distinct(), "key").select("doc_id", "pos", "key"), "paragraph-nodes")
     where = nodes.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("at")).select("at.doc_id", "at.pos", F.col("key").alias("node"))
