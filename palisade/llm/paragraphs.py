@@ -3,8 +3,11 @@
 Texts are cut at two grains: paragraphs (lines) and, within them, sentences. Every sentence has one key over its whole words, the
 band in which only equal sentences meet. Every paragraph of at least PARAGRAPH_WORDS words has MinHash bands over its five-word
 shingles, tuned for high recall at the limit; paragraphs that share a band are candidates, confirmed by the exact Jaccard
-similarity of their shingles and clustered by connected components. What occurs, exactly or nearly, in a document of lower doc_id
-is marked; a run of marked sentences is removed when it has at least MIN_WORDS words, so common short sentences stay.
+similarity of their shingles and clustered by connected components. Besides, every run of WINDOW words that another document has
+is found wherever it begins: the least hash of the runs of PRINT_WORDS words within a window stands for it, the same one wherever the
+window occurs, so only windows whose least hash two documents have are compared, each by its own hash. What occurs, exactly or
+nearly, in a document of lower doc_id is marked; a run of marked words is removed when it has at least MIN_WORDS words, so common
+short sentences stay; a marked paragraph is removed whatever its length.
 
 Null or empty text stays as it is. Repetition within one document is left alone. A passage's first document (the least doc_id)
 keeps it; rows that repeat a doc_id count as one document. Rows with a null doc_id are never changed. A document that is removed
@@ -14,6 +17,7 @@ whole stays as a row with empty text. An empty table gives no rows. All other co
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +30,14 @@ from .common import ROWS_AT_ONCE, HashOf, ascii_words, map_batches, mix64, shing
 from .components import link_buckets, shared_buckets
 
 SHINGLE_WORDS, PERCENT = 5, 80
-#: Words of a run of repeated sentences from which it is removed; of a paragraph from which its near copies are looked for.
+#: Words of a run of repeated sentences from which it is removed; of a paragraph from which its copies are looked for.
 MIN_WORDS, PARAGRAPH_WORDS = 40, 10
+#: Words of a run that is a repeat wherever it begins; of the runs within it whose least hash stands for it (PIECE to its square).
+WINDOW, PIECE = 50, 5
+PRINT_WORDS = PIECE * PIECE
+#: Columns that name a text.
+ROW = ["doc_id"]
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def tune_bands(limit: float, recall: float, rows: int) -> tuple[int, int]:
@@ -124,6 +134,64 @@ def _units(docs: DataFrame) -> DataFrame:
     return map_batches(docs, {"doc_id": "long", "text": "string"}, make, "doc_id long, kind int, pos int, n int, key long, bands array<long>")
 
 
+def windows(text: str, table: HashOf) -> tuple[np.ndarray, np.ndarray]:
+    """(print, hash) of each run of WINDOW words, in order; the print is the least hash of its runs of PRINT_WORDS words."""
+    h = word_hashes(ascii_words(text), table)
+    n = len(h) - WINDOW + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x = shingle_hashes(h, PIECE)
+    runs = np.stack([x[k : len(h) - PRINT_WORDS + 1 + k] for k in range(0, PRINT_WORDS, PIECE)])
+    g = runs[0]
+    for other in runs[1:]:
+        g = mix64(g * _PLACE[0] + other)
+    least = np.lib.stride_tricks.sliding_window_view(g, WINDOW - PRINT_WORDS + 1).min(axis=1)
+    return least.view(np.int64), mix64(g[:n] * _PLACE[1] + g[WINDOW - PRINT_WORDS :][:n]).view(np.int64)
+
+
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos) of each run of WINDOW words that a document of lower doc_id has."""
+    types = {"doc_id": "long", "text": "string"}
+    names = ", ".join(f"{c} long" for c in ROW)
+
+    def prints():
+        table = HashOf()
+
+        def f(batch):
+            found = [np.unique(windows(t, table)[0]) for t in batch.column("text").to_pylist()]
+            return _repeated(batch, found) | {"print": np.concatenate(found)}
+
+        return f
+
+    def named():
+        table = HashOf()
+
+        def f(batch):
+            places, hashes = [], []
+            for t, p in zip(batch.column("text").to_pylist(), batch.column("prints"), strict=True):
+                least, own = windows(t, table)
+                at = np.flatnonzero(np.isin(least, p.values.to_numpy()))
+                places.append(at), hashes.append(own[at])
+            return _repeated(batch, places) | {"pos": np.concatenate(places).astype(np.int32), "window": np.concatenate(hashes)}
+
+        return f
+
+    rows = written(map_batches(docs, types, prints, f"{names}, print long"), "prints")
+    wanted = _shared(rows, "print").groupBy(*ROW).agg(F.collect_set("print").alias("prints"))
+    found = map_batches(docs.join(wanted, ROW), types | {"prints": "array<long>"}, named, f"{names}, pos int, window long")
+    return _shared(written(found, "windows"), "window").filter("doc_id > lo").select(*ROW, "pos")
+
+
+def _repeated(batch: pa.RecordBatch, found: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """The columns of ROW, each value as often as there are entries for its text."""
+    return {c: np.repeat(batch.column(c).to_numpy(), [len(x) for x in found]) for c in ROW}
+
+
+def _shared(rows: DataFrame, *key: str) -> DataFrame:
+    """The rows whose key several documents have, with the least of these as lo."""
+    return rows.join(rows.groupBy(*key).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi"), list(key))
+
+
 def _paragraph_sets(wanted: DataFrame) -> DataFrame:
     """(node, elements): shingles of the paragraphs that rows (text, pos, node) name."""
 
@@ -168,49 +236,53 @@ def near_paragraphs(docs: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, marked_sentences, marked_paragraphs): what has an earlier document, by number; docs: rows (doc_id, text)."""
+    """(doc_id, marked_sentences, marked_paragraphs, marked_windows): what has an earlier document, by number; docs: rows (doc_id, text)."""
     units = written(_units(docs), "passages")
-    rows = units.filter("kind = 0").select("doc_id", "pos", "key")
-    shared = rows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key", "lo")
-    equal = rows.join(shared, "key").filter("doc_id > lo").select("doc_id", "pos", F.lit(0).alias("kind"))
-    both = equal.unionByName(near_paragraphs(docs, units).select("doc_id", "pos", F.lit(1).alias("kind")))
+    equal = _shared(units.select(*ROW, "pos", "kind", "key"), "kind", "key").filter("doc_id > lo").select(*ROW, "pos", "kind")
+    both = equal.unionByName(near_paragraphs(docs, units).select(*ROW, "pos", F.lit(1).alias("kind")))
+    all_marks = both.unionByName(repeated_windows(docs).select(*ROW, "pos", F.lit(2).alias("kind")))
     marks = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("pos"))))
-    return both.groupBy("doc_id").agg(marks(0).alias("marked_sentences"), marks(1).alias("marked_paragraphs"))
-
-
-def cut_runs(text: str, marked: set[int], paragraphs: set[int], min_words: int = MIN_WORDS) -> tuple[str, int]:
-    """The text without its runs of marked sentences, and how many words that took."""
-    spans, of_line = sentences(text), lines(text)
-    near = [of_line[k] for k in sorted(paragraphs) if k < len(of_line)]
-    keep, run, words, removed, line = [], [], 0, 0, 0
-
-    def close():
-        nonlocal run, words, removed
-        if words >= min_words:
-            removed += words
-        else:
-            keep.extend(run)
-        run, words = [], 0
-
-    for k, (a, b) in enumerate(spans):
-        n = len(ascii_words(text[a:b]))
-        while line < len(near) and near[line][1] < b - 1:
-            line += 1
-        if not n or k in marked or (line < len(near) and near[line][0] <= a and b - 1 <= near[line][1]):
-            run.append((a, b))
-            words += n
-        else:
-            close()
-            keep.append((a, b))
-    close()
-    return ("".join(text[a:b] for a, b in keep), removed) if removed else (text, 0)
+    return all_marks.groupBy(*ROW).agg(marks(0).alias("marked_sentences"), marks(1).alias("marked_paragraphs"), marks(2).alias("marked_windows"))
+
+
+def cut_runs(text: str, marked: list[int], paragraphs: list[int], repeated: list[int], min_words: int = MIN_WORDS) -> tuple[str, int]:
+    """The text without its marked paragraphs and its runs of marked words, and how many words that took."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    begins, n = np.array([a for a, _ in spans]), len(spans)
+    cut, all_marks = np.zeros(n, bool), np.zeros(n, bool)
+    of_line = lines(text)
+    for chosen, parts in ((paragraphs, of_line), (marked, sentences(text))):
+        for k in chosen:
+            a, b = np.searchsorted(begins, parts[k])
+            all_marks[a:b] = True
+        if parts is of_line:
+            cut |= all_marks
+    for k in repeated:
+        all_marks[k : k + WINDOW] = True
+    for a, b in _runs(all_marks):
+        if b - a >= min_words:
+            cut[a:b] = True
+    out, at = [], 0
+    for a, b in _runs(cut):
+        begin, end = spans[a][0] if a else 0, spans[b][0] if b < n else len(text)
+        # behind the rest of a line its end stays
+        if 0 < a and b < n and "\n" in text[spans[b - 1][1] : end] and "\n" not in text[spans[a - 1][1] : begin]:
+            begin, end = spans[a - 1][1], spans[b - 1][1]
+        out.append(text[at:begin])
+        at = end
+    return "".join(out) + text[at:], int(cut.sum())
+
+
+def _runs(marks: np.ndarray) -> list[tuple[int, int]]:
+    edges = np.flatnonzero(np.diff(marks.astype(np.int8), prepend=0, append=0)).tolist()
+    return list(zip(edges[::2], edges[1::2], strict=True))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with repeated passages cut from text_col, and a column removed_words; no other column changes."""
     spark = df.sparkSession
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("doc_id is not null and text <> ''")
-    marks = removals(docs).select(F.col("doc_id").alias("__doc"), F.col("marked_sentences").alias("__sentences"), F.col("marked_paragraphs").alias("__paragraphs"))
+    marks = removals(docs).select(F.col("doc_id").alias("__doc"), *(F.col(f"marked_{c}").alias(f"__{c}") for c in ("sentences", "paragraphs", "windows")))
     joined = df.join(marks, F.col(f"`{id_col}`").cast("long") == F.col("__doc"), "left").drop("__doc")
     schema = T.StructType([*df.schema.fields, T.StructField("removed_words", T.LongType())])
     at = df.columns.index(text_col)
@@ -219,13 +291,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for whole in batches:
             for begin in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(begin, ROWS_AT_ONCE)
-                *own, marked, near = batch.columns
+                *own, marked, near, repeated = batch.columns
                 texts, counts = [], []
-                for t, m, p in zip(own[at].to_pylist(), marked.to_pylist(), near.to_pylist(), strict=True):
-                    t, n = cut_runs(t, set(m or ()), set(p or ())) if t and (m or p) else (t, 0)
+                for t, m, p, w in zip(own[at].to_pylist(), marked.to_pylist(), near.to_pylist(), repeated.to_pylist(), strict=True):
+                    t, n = cut_runs(t, m, p, w) if t and (m or p or w) else (t, 0)
                     texts.append(t)
                     counts.append(n)
                 own[at] = pa.array(texts, own[at].type)
-                yield pa.RecordBatch.from_arrays([*own, pa.array(counts, pa.int64())], names=[*batch.schema.names[:-2], "removed_words"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(counts, pa.int64())], names=[*batch.schema.names[:-3], "removed_words"])
 
     return joined.mapInArrow(run, schema)

@@ -349,3 +349,28 @@ def test_words_and_pieces_as_the_library():
     texts += ["".join(chr(c) for c in range(a, a + 7)) for a in range(0, 0x260, 7)]
     assert t.encode(texts) == [t.whole(x) for x in texts]
     assert t.encode([None]) == [b""]
+
+
+def test_passages_that_begin_anywhere(spark):
+    rng = np.random.default_rng(8)
+    fresh = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 10**9, n))
+    passage, short, near = fresh(50), fresh(49), [f"k{i}" for i in range(30)]
+    x, y, z, p, q = fresh(20), fresh(20), fresh(90), fresh(20), fresh(20)
+    rows = [(1, f"{fresh(7)} {passage} {short} {fresh(9)}\n" + " ".join(near)), (2, f"{x} {passage} {y}"), (3, f"{x[::-1]} {short} {y[::-1]}"), (4, z + "\n" + " ".join(near[:29] + ["changed"])), (5, f"{p} {passage}\n{q}")]
+    got = {r["doc_id"]: (r["text"], r["removed_words"]) for r in paragraphs.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0), 2: (f"{x} {y}", 50), 3: (rows[2][1], 0), 4: (z + "\n", 30), 5: (f"{p}\n{q}", 50)}
+
+
+def test_windows_equal_brute_force(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = sorted(pairs(df))
+    first: dict = {}
+    runs = {d: [tuple(w[k : k + 50]) for k in range(len(w) - 49)] for d, w in ((d, paragraphs.ascii_words(t)) for d, t in rows)}
+    for d, _ in rows:
+        for x in runs[d]:
+            first.setdefault(x, d)
+    want = {d: {k for k, x in enumerate(runs[d]) if first[x] < d} for d in runs}
+    got = collections.defaultdict(set)
+    for r in paragraphs.repeated_windows(df).collect():
+        got[r["doc_id"]].add(r["pos"])
+    assert any(want.values()) and got == {d: x for d, x in want.items() if x}
