@@ -3,12 +3,13 @@
 Each stage takes (spark, docs, sf_dir), works on all documents that its predecessor kept, and returns a DataFrame that run() writes
 as Parquet into the shared folder and reads again as the next stage's docs. All but the last return the columns of documents.
 
-Null columns: a document with a null text or without a letter goes at the first stage; other nulls pass through.
+Null columns: a document with a null text or without a letter goes at the first stage; other nulls pass through. Rows with a null or
+repeated doc_id are documents of their own; of rows with an equal doc_id and an equal text the second stage keeps one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import bpe, decontam, langid, paragraphs, setsketch
@@ -19,32 +20,51 @@ from palisade.llm.queries import BYTE_RANKS, piece_pattern, tokenizer_path
 LEAST_SCORE = 0.5
 
 
+def _hash_of_row() -> Column:
+    """The same for rows with an equal doc_id, or none, and an equal text only."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
+
+
+def with_own_ids(docs: DataFrame) -> DataFrame:
+    """docs with a column __own: doc_id, or, where ids are null or name several texts, a number for each id and text in the order of ids, nulls last."""
+    texts = written(docs.select("doc_id", F.xxhash64("text").alias("__hash")).distinct(), "ids")
+    if not texts.groupBy("doc_id").count().filter("count > 1 or doc_id is null").head(1):
+        return docs.withColumn("__own", F.col("doc_id"))
+    ranked = texts.sort(F.col("doc_id").asc_nulls_last(), "__hash").withColumn("__own", F.monotonically_increasing_id())
+    ids = written(ranked, "own-ids").select(F.col("doc_id").alias("__doc"), "__hash", "__own")
+    found = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__hash"))).select(docs["*"], "__own")
+    return written(found, "own-documents")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a learned language that has at least half of the text; lang becomes the prediction where it was null."""
     model = langid.train(docs.filter(langid.fold_of() != 2))
     columns = docs.columns
-    found = langid.identify(docs.select("doc_id", "text"), model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    own = docs.withColumn("__own", _hash_of_row())
+    found = langid.identify(own, model, id_col="__own").filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     found = found.groupBy(F.col("doc_id").alias("__doc")).agg(F.min("lang_pred").alias("__lang"))
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("__doc")))
+    joined = own.join(found, F.col("__own") == F.col("__doc"))
     return joined.withColumn("lang", F.coalesce("lang", "__lang")).select(*columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least doc_id of each group, over shingles of five words at a similarity of 0.8."""
-    kept = setsketch.near_duplicates(docs, shingle_words=5, percent=80).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    own = with_own_ids(docs)
+    kept = setsketch.near_duplicates(own, shingle_words=5, percent=80, id_col="__own").filter("kept").select(F.col("doc_id").alias("__own")).distinct()
+    return own.join(kept, "__own", "left_semi").dropDuplicates(["__own"]).select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that a document of lower doc_id has."""
-    done = paragraphs.remove_repeats(docs).drop("removed_words")
+    done = paragraphs.remove_repeats(with_own_ids(docs), id_col="__own").drop("removed_words")
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark passage."""
-    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    own = docs.withColumn("__own", _hash_of_row())
+    found = decontam.contamination(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__own").filter("contaminated").select(F.col("doc_id").alias("__own")).distinct()
+    return own.join(found, "__own", "left_anti").select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -374,3 +374,25 @@ def test_windows_equal_brute_force(spark):
     for r in paragraphs.repeated_windows(df).collect():
         got[r["doc_id"]].add(r["pos"])
     assert any(want.values()) and got == {d: x for d, x in want.items() if x}
+
+
+def test_pipeline_with_null_and_repeated_ids(spark):
+    import corpus_pipeline as c
+
+    rows = [r for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(150).collect() if r["text"]]
+    ids = [None if k % 3 == 0 else 7 if k % 3 == 1 else r["doc_id"] + 1000 for k, r in enumerate(rows)]
+    table = spark.createDataFrame([r.asDict() | {"doc_id": d} for d, r in zip(ids, rows, strict=True)], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    of = {}
+    for comp_of in jaccard_components(list(enumerate(r["text"] for r in rows)), 5).items():
+        of[rows[comp_of[0]]["text"]] = comp_of[1][1]
+    got = c.drop_near_duplicates(spark, table, SF).collect()
+    assert sorted(of[r["text"]] for r in got) == sorted(set(of.values()))
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect()[3]["text"]
+    clean, junk = "plain words about a garden and the rain that fell on it in the night ", "0 1 2 !!! 77"
+    passage = " ".join(f"u{k}" for k in range(60))
+    few = [(d, clean + x) for d in (None, 7) for x in ("", item, passage + f" {d}")] + [(None, junk), (7, junk)]
+    table = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in few], table.schema)
+    assert sorted(r["text"] for r in c.decontaminate(spark, table, SF).collect()) == sorted(t for _, t in few if item not in t)
+    real = spark.read.parquet(f"{SF}/documents.parquet")
+    assert junk not in {r["text"] for r in c.identify_language(spark, real.unionByName(table), SF).collect()}
+    assert sum(passage in r["text"] for r in c.cut_repeated_passages(spark, table, SF).collect()) == 1
