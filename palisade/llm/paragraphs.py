@@ -10,7 +10,8 @@ nearly, in a document of lower doc_id is marked; a run of marked words is remove
 short sentences stay; a marked paragraph is removed whatever its length.
 
 Null or empty text stays as it is. Repetition within one document is left alone. A passage's first document (the least doc_id)
-keeps it; rows that repeat a doc_id count as one document. Rows with a null doc_id are never changed. A document that is removed
+keeps it; rows that repeat a doc_id count as one document, also where their texts differ, but each text has its own marks. Rows with
+a null doc_id are never changed. A document that is removed
 whole stays as a row with empty text. An empty table gives no rows. All other columns pass through.
 """
 
@@ -22,7 +23,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +36,9 @@ MIN_WORDS, PARAGRAPH_WORDS = 40, 10
 #: Words of a run that is a repeat wherever it begins; of the runs within it whose least hash stands for it (PIECE to its square).
 WINDOW, PIECE = 50, 5
 PRINT_WORDS = PIECE * PIECE
-#: Columns that name a text.
-ROW = ["doc_id"]
+#: Columns that name a text: several texts may have one doc_id.
+ROW = ["doc_id", "version"]
+_TYPES, _NAMES = dict.fromkeys(ROW, "long") | {"text": "string"}, ", ".join(f"{c} long" for c in ROW)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -114,9 +116,9 @@ def _units(docs: DataFrame) -> DataFrame:
         table = HashOf()
 
         def f(batch):
-            out = {"doc_id": [], "kind": [], "pos": [], "n": [], "key": [], "bands": []}
-            ids, kinds, poss, ns, keys, bands = out.values()
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            out = {"doc_id": [], "version": [], "kind": [], "pos": [], "n": [], "key": [], "bands": []}
+            ids, versions, kinds, poss, ns, keys, bands = out.values()
+            for d, v, t in zip(*(batch.column(c).to_pylist() for c in (*ROW, "text")), strict=True):
                 own, words = sentence_keys(t)
                 kept = [k for k, n in enumerate(words) if n]
                 ids += [d] * len(kept)
@@ -127,11 +129,12 @@ def _units(docs: DataFrame) -> DataFrame:
                 bands += [None] * len(kept)
                 for number, key, n, band in paragraph_bands(t, table):
                     ids.append(d), kinds.append(1), poss.append(number), ns.append(n), keys.append(key), bands.append(band)
+                versions += [v] * (len(ids) - len(versions))
             return out
 
         return f
 
-    return map_batches(docs, {"doc_id": "long", "text": "string"}, make, "doc_id long, kind int, pos int, n int, key long, bands array<long>")
+    return map_batches(docs, _TYPES, make, f"{_NAMES}, kind int, pos int, n int, key long, bands array<long>")
 
 
 def windows(text: str, table: HashOf) -> tuple[np.ndarray, np.ndarray]:
@@ -150,10 +153,7 @@ def windows(text: str, table: HashOf) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos) of each run of WINDOW words that a document of lower doc_id has."""
-    types = {"doc_id": "long", "text": "string"}
-    names = ", ".join(f"{c} long" for c in ROW)
-
+    """(doc_id, version, pos) of each run of WINDOW words that a document of lower doc_id has."""
     def prints():
         table = HashOf()
 
@@ -176,9 +176,10 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
         return f
 
-    rows = written(map_batches(docs, types, prints, f"{names}, print long"), "prints")
+    docs = docs.select("doc_id", "text", _version(F.col("text")))
+    rows = written(map_batches(docs, _TYPES, prints, f"{_NAMES}, print long"), "prints")
     wanted = _shared(rows, "print").groupBy(*ROW).agg(F.collect_set("print").alias("prints"))
-    found = map_batches(docs.join(wanted, ROW), types | {"prints": "array<long>"}, named, f"{names}, pos int, window long")
+    found = map_batches(docs.join(wanted, ROW), _TYPES | {"prints": "array<long>"}, named, f"{_NAMES}, pos int, window long")
     return _shared(written(found, "windows"), "window").filter("doc_id > lo").select(*ROW, "pos")
 
 
@@ -212,14 +213,14 @@ def _side(table: DataFrame, s: str) -> DataFrame:
 
 
 def near_paragraphs(docs: DataFrame, units: DataFrame) -> DataFrame:
-    """(doc_id, pos) of the paragraphs whose component of near copies has a document of lower doc_id."""
+    """(doc_id, version, pos) of the paragraphs whose component of near copies has a document of lower doc_id."""
     rows = units.filter("kind = 1")
     first = rows.groupBy("key").agg(F.min("n").alias("n"), F.min("bands").alias("bands"))
     banded = first.select(F.explode("bands").alias("bucket"), F.col("key").alias("node"), F.struct("n").alias("info"))
     members = written(shared_buckets(banded), "paragraph-buckets")
-    nodes = written(rows.join(members.select(F.col("node").alias("key")).distinct(), "key").select("doc_id", "pos", "key"), "paragraph-nodes")
-    where = nodes.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("at")).select("at.doc_id", "at.pos", F.col("key").alias("node"))
-    sets = written(_paragraph_sets(docs.join(where, "doc_id").select("text", "pos", "node")), "paragraph-sets")
+    nodes = written(rows.join(members.select(F.col("node").alias("key")).distinct(), "key").select(*ROW, "pos", "key"), "paragraph-nodes")
+    where = nodes.groupBy("key").agg(F.min(F.struct(*ROW, "pos")).alias("at")).select("at.*", F.col("key").alias("node"))
+    sets = written(_paragraph_sets(docs.join(where, ROW).select("text", "pos", "node")), "paragraph-sets")
 
     def plausible(a, b):
         return 100 * F.least(a["n"], b["n"]) >= PERCENT * F.greatest(a["n"], b["n"])
@@ -232,11 +233,17 @@ def near_paragraphs(docs: DataFrame, units: DataFrame) -> DataFrame:
     comp = link_buckets(members, plausible, verify)
     of = nodes.join(comp.select(F.col("node").alias("key"), "comp"), "key")
     earliest = of.groupBy("comp").agg(F.min("doc_id").alias("lo"))
-    return of.join(earliest, "comp").filter("doc_id > lo").select("doc_id", "pos")
+    return of.join(earliest, "comp").filter("doc_id > lo").select(*ROW, "pos")
+
+
+def _version(text: Column) -> Column:
+    """What tells the texts of one doc_id apart."""
+    return F.xxhash64(text.cast("string")).alias("version")
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, marked_sentences, marked_paragraphs, marked_windows): what has an earlier document, by number; docs: rows (doc_id, text)."""
+    """(doc_id, version, marked_sentences, marked_paragraphs, marked_windows): what has an earlier document, by number; docs: rows (doc_id, text)."""
+    docs = docs.select("doc_id", "text", _version(F.col("text")))
     units = written(_units(docs), "passages")
     equal = _shared(units.select(*ROW, "pos", "kind", "key"), "kind", "key").filter("doc_id > lo").select(*ROW, "pos", "kind")
     both = equal.unionByName(near_paragraphs(docs, units).select(*ROW, "pos", F.lit(1).alias("kind")))
@@ -282,8 +289,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """df with repeated passages cut from text_col, and a column removed_words; no other column changes."""
     spark = df.sparkSession
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("doc_id is not null and text <> ''")
-    marks = removals(docs).select(F.col("doc_id").alias("__doc"), *(F.col(f"marked_{c}").alias(f"__{c}") for c in ("sentences", "paragraphs", "windows")))
-    joined = df.join(marks, F.col(f"`{id_col}`").cast("long") == F.col("__doc"), "left").drop("__doc")
+    marks = removals(docs).select(F.col("doc_id").alias("__doc"), F.col("version").alias("__version"), *(F.col(f"marked_{c}").alias(f"__{c}") for c in ("sentences", "paragraphs", "windows")))
+    own = (F.col(f"`{id_col}`").cast("long") == F.col("__doc")) & (_version(F.col(f"`{text_col}`")) == F.col("__version"))
+    joined = df.join(marks, own, "left").drop("__doc", "__version")
     schema = T.StructType([*df.schema.fields, T.StructField("removed_words", T.LongType())])
     at = df.columns.index(text_col)
 

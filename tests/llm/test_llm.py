@@ -396,3 +396,13 @@ def test_pipeline_with_null_and_repeated_ids(spark):
     real = spark.read.parquet(f"{SF}/documents.parquet")
     assert junk not in {r["text"] for r in c.identify_language(spark, real.unionByName(table), SF).collect()}
     assert sum(passage in r["text"] for r in c.cut_repeated_passages(spark, table, SF).collect()) == 1
+
+
+def test_passages_of_one_id_with_two_texts(spark):
+    rng = np.random.default_rng(9)
+    fresh = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    near, passage = fresh(60), ". ".join(fresh(20) for _ in range(4)) + "."
+    rows = [(1, f"{near}\n{passage}"), (5, f"{fresh(30)}\n{fresh(30)}\n{near} end"), (5, f"{fresh(70)}. {fresh(70)}"), (5, f"{passage} {fresh(30)}"), (6, f"{near} more")]
+    got = collections.Counter((r["doc_id"], r["text"], r["removed_words"]) for r in paragraphs.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    head, tail = rows[1][1].rpartition(near)[0], rows[3][1].rpartition(". ")[2]
+    assert got == collections.Counter([(1, rows[0][1], 0), (5, head, 61), (5, rows[2][1], 0), (5, tail, 80), (6, "", 61)])
