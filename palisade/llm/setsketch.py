@@ -8,8 +8,8 @@ is maximised over the similarity; a pair goes on unless the likeliest
 similarity lies below the limit and the limit itself is hopelessly unlikely (by a factor exp(-UNLIKELY)).
 What goes on is confirmed on the full sets. Equal sets are one class from the start, so copies never meet as pairs.
 
-With 40 bands of 5 registers a pair at similarity 0.8 shares no band with probability 1.2e-7; either test of the sketches loses it
-with about 3e-7 (five standard deviations).
+With 40 bands of 5 registers a pair at similarity 0.8 shares no band with probability 1.2e-7; the test of the lowest bits loses it
+with at most 3e-7 (the binomial tail: 1.8e-7 beyond 44 of 200 bits), that of the likelihood with 2.4e-7 for sets of equal size.
 
 Null or empty text, or text of white space: an empty set, linked with nothing, kept. Fewer words than a shingle: the whole sequence
 is one shingle. Equal sets are linked whatever their order. Rows that repeat a doc_id count as one document when linking. A null
@@ -18,6 +18,8 @@ doc_id has its class's least doc_id as component and is not kept. An empty table
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -32,8 +34,8 @@ M = BANDS * ROWS
 BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
 #: Log-likelihood by which the limit may fall short of the best similarity before a pair is dropped unconfirmed.
 UNLIKELY = 12.5
-#: Differing low bits up to which a pair is worth its likelihood, in standard deviations over the mean at the limit.
-DEVIATIONS = 5.0
+#: Probability up to which a pair at the limit may have more differing low bits than are worth its likelihood.
+LOSS = 3e-7
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = (_rng.integers(0, 1 << 31, M, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, M, dtype=np.uint32)
@@ -76,6 +78,14 @@ def low_bits(regs: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def most_differing(limit: float) -> int:
+    """The least number of differing low bits that a pair at the limit exceeds with probability LOSS at most."""
+    p, bits, above = (1 - limit) / 2, M, 0.0
+    while bits > 0 and (above := above + math.comb(M, bits) * p**bits * (1 - p) ** (M - bits)) <= LOSS:
+        bits -= 1
+    return bits
+
+
 def _log_b(x):
     return np.log(x) / np.log(BASE)
 
@@ -158,8 +168,7 @@ def near_duplicates(df: DataFrame, shingle_words: int = 5, percent: int = 80, id
         best, top, at = joint_estimate(x, y, n_a.to_numpy(float), n_b.to_numpy(float))
         return pd.Series((best >= limit) | (at(np.full(len(a), limit)) >= top - UNLIKELY))
 
-    share = (1 - limit) / 2
-    most_bits = int(M * share + DEVIATIONS * (M * share * (1 - share)) ** 0.5)
+    most_bits = most_differing(limit)
 
     def plausible(a: Column, b: Column) -> Column:
         apart = sum(F.bit_count(a["bits"][i].bitwiseXOR(b["bits"][i])) for i in range(-(-M // 64)))

@@ -406,3 +406,13 @@ def test_passages_of_one_id_with_two_texts(spark):
     got = collections.Counter((r["doc_id"], r["text"], r["removed_words"]) for r in paragraphs.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     head, tail = rows[1][1].rpartition(near)[0], rows[3][1].rpartition(". ")[2]
     assert got == collections.Counter([(1, rows[0][1], 0), (5, head, 61), (5, rows[2][1], 0), (5, tail, 80), (6, "", 61)])
+
+
+def test_differing_bits_lose_few_links():
+    import math
+
+    for limit in (0.5, 0.8, 0.95):
+        p, bits = (1 - limit) / 2, setsketch.most_differing(limit)
+        tail = lambda k: sum(math.comb(setsketch.M, i) * p**i * (1 - p) ** (setsketch.M - i) for i in range(k + 1, setsketch.M + 1))
+        assert tail(bits) <= 3e-7 < tail(bits - 1)
+    assert setsketch.most_differing(0.8) == 44
