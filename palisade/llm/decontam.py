@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashOf, map_batches, mix64
+from .common import map_batches, mix64
 
 #: Fixed masks: 1 is compared, 0 is ignored. Between them any single substitution inside a span leaves a seed whole.
 MASKS = ("110110110111", "111011011011", "101111001111", "111100111101")
@@ -36,10 +36,12 @@ _LOW = np.uint64((1 << FILTER_BITS) - 1)
 
 
 class CleanWords(dict):
-    """Hash of each word without its case and outer punctuation; 0 if nothing is left."""
+    """Hash of each word without its case and outer punctuation; 0 if nothing is left. Emptied at LIMIT words."""
+
+    LIMIT = 200_000
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= HashOf.LIMIT:
+        if len(self) >= self.LIMIT:
             self.clear()
         bare = word.lower()
         a, b = 0, len(bare)

@@ -1,24 +1,25 @@
 """Operator 3: passages that repeat across documents, removed from all but the first.
 
-Texts are cut at two grains: paragraphs (lines) and, within them, sentences. Every sentence has one key over its whole words, the
-band in which only equal sentences meet. Every paragraph of at least PARAGRAPH_WORDS words has MinHash bands over its five-word
-shingles, tuned for high recall at the limit; paragraphs that share a band are candidates, confirmed by the exact Jaccard
-similarity of their shingles and clustered by connected components. Besides, every run of WINDOW words that another document has
-is found wherever it begins: the least hash of the runs of PRINT_WORDS words within a window stands for it, the same one wherever the
-window occurs, so only windows whose least hash two documents have are compared, each by its own hash. What occurs, exactly or
-nearly, in a document of lower doc_id is marked; a run of marked words is removed when it has at least MIN_WORDS words, so common
-short sentences stay; a marked paragraph is removed whatever its length.
-
-Null or empty text stays as it is. Repetition within one document is left alone. A passage's first document (the least doc_id)
-keeps it; rows that repeat a doc_id count as one document, also where their texts differ, but each text has its own marks. Rows with
-a null doc_id are never changed. A document that is removed
-whole stays as a row with empty text. An empty table gives no rows. All other columns pass through.
+A paragraph is a run of words, and it is looked for in two ways. Every line of at least WINDOW words is one: it has MinHash bands
+over its five-word shingles, tuned for high recall at the limit; lines that share a band are candidates, confirmed by the exact
+Jaccard similarity of their shingles, and the confirmed are clustered by connected components. And every run of WINDOW words is one,
+wherever it begins: its band is the least hash of the runs of PRINT_WORDS words within it, one value for some sixteen neighbouring
+runs, so only runs whose band another document has are compared, each by its whole content. Runs that overlap add up, so a repeated
+passage is found to its true ends, whatever lines or sentences it begins and ends in.
+
+What a document of lower doc_id has, exactly (runs) or nearly (lines), is removed; nothing shorter than WINDOW words is, so common
+short lines and sentences stay. Of the documents with a passage the first (the least doc_id) keeps it. Whole texts that are equal
+are compared once, as one text.
+
+Null or empty text stays as it is. Repetition within one document is left alone. Rows that repeat a doc_id count as one document,
+also where their texts differ, but each text has its own passages. Rows with a null doc_id are never changed. A document that is
+removed whole stays as a row with empty text. An empty table gives no rows. All other columns pass through, but for columns named
+as the two that are added, which these replace.
 """
 
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -27,19 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ROWS_AT_ONCE, HashOf, ascii_words, map_batches, mix64, shingle_hashes, word_hashes, written
-from .components import link_buckets, shared_buckets
+from .common import Words, differing_bits, discard, least_values, lists, low_bits, map_batches, mix64, most_differing, shingle_hashes, slices, words_of, written
+from .components import link_similar, shared_buckets
 
 SHINGLE_WORDS, PERCENT = 5, 80
-#: Words of a run of repeated sentences from which it is removed; of a paragraph from which its copies are looked for.
-MIN_WORDS, PARAGRAPH_WORDS = 40, 10
-#: Words of a run that is a repeat wherever it begins; of the runs within it whose least hash stands for it (PIECE to its square).
-WINDOW, PIECE = 50, 5
-PRINT_WORDS = PIECE * PIECE
+#: Words from which a repeated run or line is a passage; of the runs within it whose least hash is its band (PIECE times PIECES).
+WINDOW, PIECE, PIECES = 50, 5, 4
+PRINT_WORDS = PIECE * PIECES
 #: Columns that name a text: several texts may have one doc_id.
 ROW = ["doc_id", "version"]
-_TYPES, _NAMES = dict.fromkeys(ROW, "long") | {"text": "string"}, ", ".join(f"{c} long" for c in ROW)
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ADDED = ("removed_words", "repeated_words")
 
 
 def tune_bands(limit: float, recall: float, rows: int) -> tuple[int, int]:
@@ -47,265 +45,241 @@ def tune_bands(limit: float, recall: float, rows: int) -> tuple[int, int]:
     return math.ceil(math.log(1 - recall) / math.log(1 - limit**rows)), rows
 
 
-#: Each band of each paragraph is shuffled, so two rows: eight bands where four rows would take fourteen. What they let through
-#: besides is dismissed by exact similarities.
-BANDS, ROWS = tune_bands(PERCENT / 100, 0.9995, rows=2)
+BANDS, ROWS = tune_bands(PERCENT / 100, 0.9995, rows=4)
+#: Least values of a line, the first of which make its bands; the lowest bits of all rule out most pairs below the limit.
+VALUES, LOSS = 128, 3e-7
 _rng = np.random.default_rng(31)
-_MULTIPLY = _rng.integers(0, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MULTIPLY = (_rng.integers(0, 1 << 31, VALUES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+_ADD = _rng.integers(0, 1 << 32, VALUES, dtype=np.uint32)
 _BAND = mix64(np.arange(7, 7 + BANDS, dtype=np.uint64))
 _PLACE = mix64(np.arange(77, 77 + ROWS, dtype=np.uint64)) | np.uint64(1)
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """(begin, end) of the sentences; a sentence ends behind . ! or ? with white space, or with its line. They cover the text."""
-    cut = text
-    for stop in ".!?":
-        cut = cut.replace(stop + " ", stop + "\n")
-    out, at = [], 0
-    for part in cut.split("\n"):
-        out.append((at, min(at + len(part) + 1, len(text))))
-        at += len(part) + 1
-    return out
+def line_runs(words: Words, row: int) -> list[tuple[int, int]]:
+    """(first word, words) of the lines of a row that are long enough to be passages."""
+    own = words.of(row)
+    begin = words.begin[own]
+    if len(begin) < WINDOW:
+        return []
+    a, b = words.offset[row], words.offset[row + 1]
+    of_line = np.searchsorted(np.flatnonzero(words.data[a:b] == 0x0A) + a, begin)
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(of_line)) + 1, [len(begin)]))
+    return [(int(x), int(n)) for x, n in zip(cuts[:-1], np.diff(cuts), strict=True) if n >= WINDOW]
 
 
-def lines(text: str) -> list[tuple[int, int]]:
-    out, at = [], 0
-    for part in text.split("\n"):
-        out.append((at, at + len(part)))
-        at += len(part) + 1
-    return out
+def line_set(hashes: np.ndarray) -> np.ndarray:
+    return np.unique(shingle_hashes(hashes, SHINGLE_WORDS))
 
 
-def sentence_keys(text: str) -> tuple[list[int], list[int]]:
-    """The key of each sentence and its number of words."""
-    words = [ascii_words(text[a:b]) for a, b in sentences(text)]
-    keys = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(w)) for w in words), np.uint64, len(words))
-    return keys.view(np.int64), [len(w) for w in words]
+def line_bands(least: np.ndarray) -> np.ndarray:
+    own = least[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS)
+    return mix64((mix64(own) * _PLACE).sum(axis=1, dtype=np.uint64) ^ _BAND).view(np.int64)
 
 
-def paragraph_bands(text: str, table: HashOf) -> list[tuple[int, int, int, np.ndarray]]:
-    """(number, key, shingles, bands) of each paragraph that is long enough."""
-    cut = ((number, ascii_words(text[a:b])) for number, (a, b) in enumerate(lines(text)) if b - a >= 2 * PARAGRAPH_WORDS - 1)
-    long = [(number, words) for number, words in cut if len(words) >= PARAGRAPH_WORDS]
-    if not long:
-        return []
-    h = np.concatenate([word_hashes(words, table) for _, words in long])
-    ends = np.cumsum([len(words) for _, words in long])
-    # shingles of the whole text, without those across a paragraph's end, distinct within each paragraph
-    s = shingle_hashes(h, SHINGLE_WORDS)
-    of = np.searchsorted(ends, np.arange(len(s)), "right")
-    inside = np.arange(len(s)) + SHINGLE_WORDS <= ends[of]
-    s, of = s[inside], of[inside]
-    order = np.lexsort((s, of))
-    s, of = s[order], of[order]
-    new = np.concatenate(([True], (s[1:] != s[:-1]) | (of[1:] != of[:-1])))
-    s, of = s[new], of[new]
-    begin = np.searchsorted(of, np.arange(len(long)))
-    least = np.stack([np.minimum.reduceat(s * m, begin) for m in _MULTIPLY], axis=1)
-    band = mix64((mix64(least).reshape(-1, BANDS, ROWS) * _PLACE).sum(axis=2, dtype=np.uint64) ^ _BAND).view(np.int64)
-    sizes = np.diff(np.append(begin, len(s))).tolist()
-    starts = [0, *ends[:-1].tolist()]
-    keys = [int(np.uint64(xxhash.xxh3_64_intdigest(h[a:b].tobytes())).view(np.int64)) for a, b in zip(starts, ends.tolist(), strict=True)]
-    return [(number, key, n, x) for (number, _), key, n, x in zip(long, keys, sizes, band, strict=True)]
-
-
-def _units(docs: DataFrame) -> DataFrame:
-    """Sentences (kind 0: key of each) and paragraphs (kind 1: key, n, bands) of all documents."""
-
-    def make():
-        table = HashOf()
-
-        def f(batch):
-            out = {"doc_id": [], "version": [], "kind": [], "pos": [], "n": [], "key": [], "bands": []}
-            ids, versions, kinds, poss, ns, keys, bands = out.values()
-            for d, v, t in zip(*(batch.column(c).to_pylist() for c in (*ROW, "text")), strict=True):
-                own, words = sentence_keys(t)
-                kept = [k for k, n in enumerate(words) if n]
-                ids += [d] * len(kept)
-                poss += kept
-                ns += [words[k] for k in kept]
-                keys += own[kept].tolist()
-                kinds += [0] * len(kept)
-                bands += [None] * len(kept)
-                for number, key, n, band in paragraph_bands(t, table):
-                    ids.append(d), kinds.append(1), poss.append(number), ns.append(n), keys.append(key), bands.append(band)
-                versions += [v] * (len(ids) - len(versions))
-            return out
-
-        return f
-
-    return map_batches(docs, _TYPES, make, f"{_NAMES}, kind int, pos int, n int, key long, bands array<long>")
-
-
-def windows(text: str, table: HashOf) -> tuple[np.ndarray, np.ndarray]:
+def windows(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(print, hash) of each run of WINDOW words, in order; the print is the least hash of its runs of PRINT_WORDS words."""
-    h = word_hashes(ascii_words(text), table)
-    n = len(h) - WINDOW + 1
+    n = len(hashes) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    x = shingle_hashes(h, PIECE)
-    runs = np.stack([x[k : len(h) - PRINT_WORDS + 1 + k] for k in range(0, PRINT_WORDS, PIECE)])
-    g = runs[0]
-    for other in runs[1:]:
-        g = mix64(g * _PLACE[0] + other)
-    least = np.lib.stride_tricks.sliding_window_view(g, WINDOW - PRINT_WORDS + 1).min(axis=1)
-    return least.view(np.int64), mix64(g[:n] * _PLACE[1] + g[WINDOW - PRINT_WORDS :][:n]).view(np.int64)
-
+    x = shingle_hashes(hashes, PIECE)
+    run = lambda words: np.stack([x[k : len(hashes) - words + 1 + k] for k in range(0, words, PIECE)])
+    first, *rest = run(PRINT_WORDS)
+    for other in rest:
+        first = mix64(first * _PLACE[0] + other)
+    least = np.lib.stride_tricks.sliding_window_view(first, WINDOW - PRINT_WORDS + 1).min(axis=1)
+    whole, *rest = run(WINDOW)
+    for other in rest:
+        whole = mix64(whole * _PLACE[1] + other)
+    return least.view(np.int64), whole.view(np.int64)
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, pos) of each run of WINDOW words that a document of lower doc_id has."""
-    def prints():
-        table = HashOf()
 
-        def f(batch):
-            found = [np.unique(windows(t, table)[0]) for t in batch.column("text").to_pylist()]
-            return _repeated(batch, found) | {"print": np.concatenate(found)}
-
-        return f
+def _version(text: Column) -> Column:
+    """What tells the texts of one doc_id apart."""
+    return F.xxhash64(text.cast("string")).alias("version")
 
-    def named():
-        table = HashOf()
 
-        def f(batch):
-            places, hashes = [], []
-            for t, p in zip(batch.column("text").to_pylist(), batch.column("prints"), strict=True):
-                least, own = windows(t, table)
-                at = np.flatnonzero(np.isin(least, p.values.to_numpy()))
-                places.append(at), hashes.append(own[at])
-            return _repeated(batch, places) | {"pos": np.concatenate(places).astype(np.int32), "window": np.concatenate(hashes)}
+_NAMES = "doc_id long, version long"
+_TYPES = dict.fromkeys(ROW, "long") | {"text": "string"}
 
-        return f
 
-    docs = docs.select("doc_id", "text", _version(F.col("text")))
-    rows = written(map_batches(docs, _TYPES, prints, f"{_NAMES}, print long"), "prints")
-    wanted = _shared(rows, "print").groupBy(*ROW).agg(F.collect_set("print").alias("prints"))
-    found = map_batches(docs.join(wanted, ROW), _TYPES | {"prints": "array<long>"}, named, f"{_NAMES}, pos int, window long")
-    return _shared(written(found, "windows"), "window").filter("doc_id > lo").select(*ROW, "pos")
+def outlines(docs: DataFrame) -> DataFrame:
+    """Of each text: its size, the distinct prints of its runs, and of its lines the place, the size of the set, a key, bands and bits."""
 
+    def f(batch):
+        words = words_of(batch.column(2))
+        prints, places, ns, keys, bands, bits = [], [], [], [], [], []
+        for row in range(batch.num_rows):
+            h = words.hashes[words.of(row)]
+            prints.append(np.unique(windows(h)[0]))
+            runs = line_runs(words, row)
+            sets = [line_set(h[a : a + n]) for a, n in runs]
+            least = [least_values(s, _MULTIPLY, _ADD) for s in sets]
+            places.append(np.array(runs, np.int32).reshape(-1))
+            ns.append(np.array([len(s) for s in sets], np.int32))
+            keys.append(np.array([xxhash.xxh3_64_intdigest(h[a : a + n].tobytes()) for a, n in runs], np.uint64).view(np.int64))
+            bands.append(np.concatenate([line_bands(x) for x in least]) if runs else np.zeros(0, np.int64))
+            bits.append(np.concatenate([low_bits(x) for x in least]) if runs else np.zeros(0, np.int64))
+        long, int_ = pa.int64(), pa.int32()
+        return {
+            "doc_id": batch.column(0), "version": batch.column(1), "chars": np.diff(words.offset), "words": np.diff(words.first),
+            "prints": lists(prints, long), "places": lists(places, int_), "ns": lists(ns, int_), "keys": lists(keys, long), "bands": lists(bands, long), "bits": lists(bits, long),
+        }
 
-def _repeated(batch: pa.RecordBatch, found: list[np.ndarray]) -> dict[str, np.ndarray]:
-    """The columns of ROW, each value as often as there are entries for its text."""
-    return {c: np.repeat(batch.column(c).to_numpy(), [len(x) for x in found]) for c in ROW}
+    kinds = "chars long, words long, prints array<long>, places array<int>, ns array<int>, keys array<long>, bands array<long>, bits array<long>"
+    return map_batches(docs, _TYPES, lambda: f, f"{_NAMES}, {kinds}")
 
 
-def _shared(rows: DataFrame, *key: str) -> DataFrame:
+def _shared(rows: DataFrame, key: str) -> DataFrame:
     """The rows whose key several documents have, with the least of these as lo."""
-    return rows.join(rows.groupBy(*key).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi"), list(key))
-
-
-def _paragraph_sets(wanted: DataFrame) -> DataFrame:
-    """(node, elements): shingles of the paragraphs that rows (text, pos, node) name."""
-
-    def make():
-        table = HashOf()
-
-        def one(text, pos):
-            a, b = lines(text)[pos]
-            return np.unique(shingle_hashes(word_hashes(ascii_words(text[a:b]), table), SHINGLE_WORDS)).view(np.int64)
-
-        return lambda batch: {"node": batch.column(2), "elements": [one(t, p) for t, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]}
-
-    return map_batches(wanted, {"text": "string", "pos": "int", "node": "long"}, make, "node long, elements array<long>")
-
-
-def _side(table: DataFrame, s: str) -> DataFrame:
-    return table.select(F.col("node").alias(s), F.col("elements").alias(f"elements_{s}"))
-
-
-def near_paragraphs(docs: DataFrame, units: DataFrame) -> DataFrame:
-    """(doc_id, version, pos) of the paragraphs whose component of near copies has a document of lower doc_id."""
-    rows = units.filter("kind = 1")
-    first = rows.groupBy("key").agg(F.min("n").alias("n"), F.min("bands").alias("bands"))
-    banded = first.select(F.explode("bands").alias("bucket"), F.col("key").alias("node"), F.struct("n").alias("info"))
-    members = written(shared_buckets(banded), "paragraph-buckets")
-    nodes = written(rows.join(members.select(F.col("node").alias("key")).distinct(), "key").select(*ROW, "pos", "key"), "paragraph-nodes")
-    where = nodes.groupBy("key").agg(F.min(F.struct(*ROW, "pos")).alias("at")).select("at.*", F.col("key").alias("node"))
-    sets = written(_paragraph_sets(docs.join(where, ROW).select("text", "pos", "node")), "paragraph-sets")
-
-    def plausible(a, b):
-        return 100 * F.least(a["n"], b["n"]) >= PERCENT * F.greatest(a["n"], b["n"])
+    return rows.join(rows.groupBy(key).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi"), key)
+
+
+def _lines(outline: DataFrame) -> DataFrame:
+    """(doc_id, version, pos, len, n, key, bands, bits) of every line."""
+    i, per = F.col("i"), VALUES // 64
+    each = outline.filter("size(keys) > 0").select("*", F.explode(F.sequence(F.lit(0), F.size("keys") - 1)).alias("i"))
+    return each.select(
+        *ROW, F.col("places")[2 * i].alias("pos"), F.col("places")[2 * i + 1].alias("len"), F.col("ns")[i].alias("n"), F.col("keys")[i].alias("key"),
+        F.slice("bands", i * BANDS + 1, F.lit(BANDS)).alias("bands"), F.slice("bits", i * per + 1, F.lit(per)).alias("bits"),
+    )
+
+
+def _details(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """For the texts that wanted names: place and hash of each run whose print is wanted, and the shingles of each wanted line."""
+
+    def f(batch):
+        words = words_of(batch.column(2))
+        places, hashes, sets = [], [], []
+        wanted_of = [c.to_pylist() for c in batch.columns[4:]]
+        for row in range(batch.num_rows):
+            h = words.hashes[words.of(row)]
+            p = batch.column(3)[row].values
+            least, own = windows(h)
+            at = np.flatnonzero(np.isin(least, p.to_numpy())) if p is not None and len(p) else np.zeros(0, np.int64)
+            places.append(at.astype(np.int32))
+            hashes.append(own[at])
+            sets.append([line_set(h[a : a + n]).view(np.int64) for a, n in zip(wanted_of[0][row] or (), wanted_of[1][row] or (), strict=True)])
+        flat = lists([s for row in sets for s in row], pa.int64())
+        ends = np.concatenate(([0], np.cumsum([len(row) for row in sets]))).astype(np.int32)
+        return {"doc_id": batch.column(0), "version": batch.column(1), "places": lists(places, pa.int32()), "hashes": lists(hashes, pa.int64()), "nodes": batch.column(6), "sets": pa.ListArray.from_arrays(pa.array(ends), flat)}
+
+    types = _TYPES | {"prints": "array<long>", "line_pos": "array<int>", "line_len": "array<int>", "nodes": "array<long>"}
+    return map_batches(docs.join(wanted, ROW), types, lambda: f, f"{_NAMES}, places array<int>, hashes array<long>, nodes array<long>, sets array<array<long>>")
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, whole_later, whole_first, marks) of the texts of docs (doc_id, text) that hold passages of other documents.
+
+    marks: the passages by first word and number of words; later: an earlier document has it. whole_*: the same of the whole text.
+    """
+    docs = docs.select("doc_id", "text", _version(F.col("text")))
+    outline = written(outlines(docs), "outlines")
+    ids = outline.select(*ROW, "chars", "words").distinct()
+    classes = ids.groupBy("version", "chars").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    copies = written(ids.join(classes, ["version", "chars"]).select(*ROW, (F.col("doc_id") == F.col("lo")).alias("first"), (F.expr("lo < hi") & (F.col("words") >= WINDOW)).alias("copied")), "copies")
+    own = outline.join(copies.filter("first").select(*ROW), ROW, "left_semi")
+
+    prints = written(own.select(*ROW, F.explode("prints").alias("print")), "prints")
+    lines = written(_lines(own), "lines")
+    discard(outline)
+    distinct = lines.groupBy("key").agg(F.min(F.struct(*ROW, "pos", "len", "n", "bits", "bands")).alias("x")).select("key", "x.*")
+    nodes = written(distinct, "distinct-lines")
+    members = shared_buckets(nodes.select(F.explode("bands").alias("bucket"), F.col("key").alias("node")))
+    met = written(members.select(F.col("node").alias("key")).distinct(), "met-lines")
+    infos = written(nodes.join(met, "key", "left_semi").select(F.col("key").alias("node"), "n", "bits", *ROW, "pos", "len"), "line-infos")
+
+    line_wants = infos.groupBy(*ROW).agg(F.collect_list(F.struct("pos", "len", "node")).alias("w"))
+    run_wants = _shared(prints, "print").groupBy(*ROW).agg(F.collect_set("print").alias("prints"))
+    wanted = run_wants.join(line_wants, ROW, "full").select(*ROW, "prints", F.col("w.pos").alias("line_pos"), F.col("w.len").alias("line_len"), F.col("w.node").alias("nodes"))
+    details = written(_details(docs, wanted), "details")
+    discard(prints, nodes, met)
+
+    runs = details.select(*ROW, F.explode(F.arrays_zip("places", "hashes")).alias("x")).select(*ROW, F.col("x.places").alias("pos"), F.col("x.hashes").alias("hash"))
+    in_runs = _shared(runs, "hash").select(*ROW, "pos", F.lit(WINDOW).alias("len"), (F.col("doc_id") > F.col("lo")).alias("later"))
+    sets = written(details.select(F.explode(F.arrays_zip("nodes", "sets")).alias("x")).select(F.col("x.nodes").alias("node"), F.col("x.sets").alias("elements")), "line-sets")
+    in_lines = _similar(lines, members, infos.select("node", "n", "bits"), sets)
+    marks = in_runs.unionByName(in_lines).groupBy(*ROW).agg(F.collect_list(F.struct("pos", "len", "later")).alias("marks"))
+    whole = copies.filter("copied").select(*ROW, (~F.col("first")).alias("whole_later"), F.col("first").alias("whole_first"))
+    out = written(marks.join(whole, ROW, "full").select(*ROW, F.coalesce("whole_later", F.lit(False)).alias("whole_later"), F.coalesce("whole_first", F.lit(False)).alias("whole_first"), "marks"), "marks")
+    discard(copies, lines, members, infos, details, sets)
+    return out
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        common = F.size(F.array_intersect("elements_a", "elements_b"))
-        both = pairs.join(_side(sets, "b"), "b").join(_side(sets, "a"), "a")
-        return both.filter(100 * common >= PERCENT * (F.size("elements_a") + F.size("elements_b") - common)).select("a", "b").distinct()
 
-    comp = link_buckets(members, plausible, verify)
-    of = nodes.join(comp.select(F.col("node").alias("key"), "comp"), "key")
-    earliest = of.groupBy("comp").agg(F.min("doc_id").alias("lo"))
-    return of.join(earliest, "comp").filter("doc_id > lo").select(*ROW, "pos")
+def _similar(lines: DataFrame, members: DataFrame, infos: DataFrame, sets: DataFrame) -> DataFrame:
+    """(doc_id, version, pos, len, later) of the lines whose component of equal and near copies several documents have."""
+    most = most_differing(PERCENT / 100, VALUES, LOSS)
 
+    def plausible(a: str, b: str) -> Column:
+        n_a, n_b = F.col(f"n_{a}"), F.col(f"n_{b}")
+        return (100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)) & (differing_bits(f"bits_{a}", f"bits_{b}", VALUES) <= most)
 
-def _version(text: Column) -> Column:
-    """What tells the texts of one doc_id apart."""
-    return F.xxhash64(text.cast("string")).alias("version")
+    comp = link_similar(members, infos, sets, PERCENT, plausible)
+    of = lines.select(*ROW, "pos", "len", "key").join(comp.select(F.col("node").alias("key"), "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    return _shared(of, "comp").select(*ROW, "pos", "len", (F.col("doc_id") > F.col("lo")).alias("later"))
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, marked_sentences, marked_paragraphs, marked_windows): what has an earlier document, by number; docs: rows (doc_id, text)."""
-    docs = docs.select("doc_id", "text", _version(F.col("text")))
-    units = written(_units(docs), "passages")
-    equal = _shared(units.select(*ROW, "pos", "kind", "key"), "kind", "key").filter("doc_id > lo").select(*ROW, "pos", "kind")
-    both = equal.unionByName(near_paragraphs(docs, units).select(*ROW, "pos", F.lit(1).alias("kind")))
-    all_marks = both.unionByName(repeated_windows(docs).select(*ROW, "pos", F.lit(2).alias("kind")))
-    marks = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("pos"))))
-    return all_marks.groupBy(*ROW).agg(marks(0).alias("marked_sentences"), marks(1).alias("marked_paragraphs"), marks(2).alias("marked_windows"))
-
-
-def cut_runs(text: str, marked: list[int], paragraphs: list[int], repeated: list[int], min_words: int = MIN_WORDS) -> tuple[str, int]:
-    """The text without its marked paragraphs and its runs of marked words, and how many words that took."""
-    spans = [m.span() for m in _WORD.finditer(text)]
-    begins, n = np.array([a for a, _ in spans]), len(spans)
-    cut, all_marks = np.zeros(n, bool), np.zeros(n, bool)
-    of_line = lines(text)
-    for chosen, parts in ((paragraphs, of_line), (marked, sentences(text))):
-        for k in chosen:
-            a, b = np.searchsorted(begins, parts[k])
-            all_marks[a:b] = True
-        if parts is of_line:
-            cut |= all_marks
-    for k in repeated:
-        all_marks[k : k + WINDOW] = True
-    for a, b in _runs(all_marks):
-        if b - a >= min_words:
-            cut[a:b] = True
+def cut_runs(words: Words, row: int, cut: np.ndarray) -> str:
+    """The row's text without the words marked in cut, and without the white space that only they needed."""
+    own = words.of(row)
+    origin = int(words.offset[row])
+    text = words.data[origin : words.offset[row + 1]].tobytes()
+    begins, ends, n = words.begin[own] - origin, words.end[own] - origin, len(cut)
     out, at = [], 0
-    for a, b in _runs(cut):
-        begin, end = spans[a][0] if a else 0, spans[b][0] if b < n else len(text)
+    edges = np.flatnonzero(np.diff(cut.astype(np.int8), prepend=0, append=0)).tolist()
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        begin, end = int(begins[a]) if a else 0, int(begins[b]) if b < n else len(text)
         # behind the rest of a line its end stays
-        if 0 < a and b < n and "\n" in text[spans[b - 1][1] : end] and "\n" not in text[spans[a - 1][1] : begin]:
-            begin, end = spans[a - 1][1], spans[b - 1][1]
+        if 0 < a and b < n and b"\n" in text[ends[b - 1] : end] and b"\n" not in text[ends[a - 1] : begin]:
+            begin, end = int(ends[a - 1]), int(ends[b - 1])
         out.append(text[at:begin])
         at = end
-    return "".join(out) + text[at:], int(cut.sum())
-
-
-def _runs(marks: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(marks.astype(np.int8), prepend=0, append=0)).tolist()
-    return list(zip(edges[::2], edges[1::2], strict=True))
+    return (b"".join(out) + text[at:]).decode()
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with repeated passages cut from text_col, and a column removed_words; no other column changes."""
-    spark = df.sparkSession
+    """df with repeated passages cut from text_col, and the columns removed_words (the words cut) and repeated_words (also those kept
+    here, as the first document with the passage); no other column changes."""
+    names = [c for c in df.columns if c.lower() not in ADDED]
+    df = df.select(*(F.col(f"`{c}`") for c in names))
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("doc_id is not null and text <> ''")
-    marks = removals(docs).select(F.col("doc_id").alias("__doc"), F.col("version").alias("__version"), *(F.col(f"marked_{c}").alias(f"__{c}") for c in ("sentences", "paragraphs", "windows")))
-    own = (F.col(f"`{id_col}`").cast("long") == F.col("__doc")) & (_version(F.col(f"`{text_col}`")) == F.col("__version"))
-    joined = df.join(marks, own, "left").drop("__doc", "__version")
-    schema = T.StructType([*df.schema.fields, T.StructField("removed_words", T.LongType())])
-    at = df.columns.index(text_col)
+    free = "__"
+    while any(c.lower().startswith(free) for c in names):
+        free += "_"
+    flags = ("whole_later", "whole_first")
+    m = "marks"
+    found = repeats(docs).select(*(F.col(c).alias(free + c) for c in (*ROW, *flags)), *(F.col(f"{m}.{c}").alias(free + c) for c in ("pos", "len", "later")))
+    own = (F.col(f"`{id_col}`").cast("long") == F.col(free + "doc_id")) & (_version(F.col(f"`{text_col}`")) == F.col(free + "version"))
+    joined = df.join(found, own, "left").drop(*(free + c for c in ROW))
+    schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.LongType()) for c in ADDED)])
+    at = names.index(text_col)
 
     def run(batches):
         for whole in batches:
-            for begin in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(begin, ROWS_AT_ONCE)
-                *own, marked, near, repeated = batch.columns
-                texts, counts = [], []
-                for t, m, p, w in zip(own[at].to_pylist(), marked.to_pylist(), near.to_pylist(), repeated.to_pylist(), strict=True):
-                    t, n = cut_runs(t, m, p, w) if t and (m or p or w) else (t, 0)
-                    texts.append(t)
-                    counts.append(n)
-                own[at] = pa.array(texts, own[at].type)
-                yield pa.RecordBatch.from_arrays([*own, pa.array(counts, pa.int64())], names=[*batch.schema.names[:-3], "removed_words"])
+            for batch in slices(whole):
+                columns = batch.columns[: len(names)]
+                later, first, pos, size, is_later = batch.columns[len(names) :]
+                words = words_of(columns[at].cast(pa.string()))
+                texts, removed, repeated = columns[at].to_pylist(), [], []
+                for row, (all_later, all_first) in enumerate(zip(later.to_pylist(), first.to_pylist(), strict=True)):
+                    n = int(words.first[row + 1] - words.first[row])
+                    cut, seen = np.full(n, bool(all_later)), np.full(n, bool(all_later or all_first))
+                    if pos[row].is_valid:
+                        begin, long, mark = (c[row].values.to_numpy(zero_copy_only=False) for c in (pos, size, is_later))
+                        cut |= _covered(begin[mark], long[mark], n)
+                        seen |= _covered(begin, long, n)
+                    if cut.any():
+                        texts[row] = cut_runs(words, row, cut)
+                    removed.append(int(cut.sum()))
+                    repeated.append(int(seen.sum()))
+                columns[at] = pa.array(texts, columns[at].type)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64()), pa.array(repeated, pa.int64())], names=[*batch.schema.names[: len(names)], *ADDED])
 
     return joined.mapInArrow(run, schema)
+
+
+def _covered(begin: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """Which of n words the runs hold."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, begin, 1)
+    np.add.at(change, begin + size, -1)
+    return np.cumsum(change[:n]) > 0

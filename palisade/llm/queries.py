@@ -40,7 +40,7 @@ def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = paragraphs.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "removed_words", (F.col("removed_words") > 0).alias("has_repeats"), F.length("text").cast("long").alias("n_chars_after"), F.sha2("text", 256).alias("text_sha256"))
+    return found.select("doc_id", "removed_words", "repeated_words", (F.col("repeated_words") > 0).alias("has_repeats"), F.length("text").cast("long").alias("n_chars_after"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op4_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,16 +18,15 @@ doc_id has its class's least doc_id as component and is not kept. An empty table
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashOf, ascii_words, map_batches, mix64, shingle_hashes, word_hashes, written
-from .components import link_buckets, shared_buckets
+from .common import all_shingles, differing_bits, discard, least_values, lists, low_bits, map_batches, mix64, most_differing, words_of, written
+from .components import link_similar, shared_buckets
 
 BANDS, ROWS = 40, 5
 M = BANDS * ROWS
@@ -41,19 +40,16 @@ _MULTIPLY = (_rng.integers(0, 1 << 31, M, dtype=np.uint32) << np.uint32(1)) | np
 _ADD = _rng.integers(0, 1 << 32, M, dtype=np.uint32)
 
 
-def shingle_set(text: str | None, k: int, table: HashOf) -> np.ndarray:
-    """Sorted distinct shingle hashes."""
-    return np.unique(shingle_hashes(word_hashes(ascii_words(text), table), k))
+def shingle_sets_of(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    return [np.unique(x) for x in all_shingles(words_of(texts), k)]
 
 
 def registers(elements: np.ndarray) -> np.ndarray:
     """The M registers of a set of 64-bit hashes; merge(registers(A), registers(B)) is registers(A | B)."""
     if not len(elements):
         return np.zeros(M, np.uint16)
-    x = (elements >> np.uint64(32)).astype(np.uint32) ^ elements.astype(np.uint32)
-    least = np.full(M, np.iinfo(np.uint32).max, np.uint32)
-    for at in range(0, len(x), 512):
-        np.minimum(least, (x[at : at + 512, None] * _MULTIPLY + _ADD).min(axis=0), out=least)
+    least = least_values(elements, _MULTIPLY, _ADD)
     exponential = -np.log1p(-(least + 0.5) / 2.0**32) / RATE
     return np.clip(np.floor(1 - np.log(exponential) / np.log(BASE)), 0, Q + 1).astype(np.uint16)
 
@@ -70,22 +66,6 @@ def bands(regs: np.ndarray) -> np.ndarray:
     return mix64((regs.reshape(BANDS, ROWS).astype(np.uint64) * _PLACE).sum(axis=1, dtype=np.uint64) ^ _BAND).view(np.int64)
 
 
-def low_bits(regs: np.ndarray) -> np.ndarray:
-    """The lowest bit of each register, packed to 64-bit integers: two sets at similarity j differ in about (1 - j) / 2 of them."""
-    out = np.zeros(-(-M // 64) * 8, np.uint8)
-    packed = np.packbits((regs & 1).astype(np.uint8))
-    out[: len(packed)] = packed
-    return out.view(np.int64)
-
-
-def most_differing(limit: float) -> int:
-    """The least number of differing low bits that a pair at the limit exceeds with probability LOSS at most."""
-    p, bits, above = (1 - limit) / 2, M, 0.0
-    while bits > 0 and (above := above + math.comb(M, bits) * p**bits * (1 - p) ** (M - bits)) <= LOSS:
-        bits -= 1
-    return bits
-
-
 def _log_b(x):
     return np.log(x) / np.log(BASE)
 
@@ -116,34 +96,28 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarra
 def sketch_documents(df: DataFrame, shingle_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, key, regs, bands, bits): key is equal for equal sets; the sketch is null for an empty set."""
 
-    def make():
-        table = HashOf()
+    def f(batch):
+        sets = shingle_sets_of(batch.column(1), shingle_words)
+        regs = [registers(s) if len(s) else None for s in sets]
+        return {
+            "doc_id": batch.column(0),
+            "n_shingles": [len(s) for s in sets],
+            "key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
+            "regs": [None if r is None else r.tobytes() for r in regs],
+            "bands": lists([None if r is None else bands(r) for r in regs], pa.int64()),
+            "bits": lists([None if r is None else low_bits(r) for r in regs], pa.int64()),
+        }
 
-        def f(batch):
-            sets = [shingle_set(t, shingle_words, table) for t in batch.column(1).to_pylist()]
-            regs = [registers(s) if len(s) else None for s in sets]
-            return {
-                "doc_id": batch.column(0),
-                "n_shingles": [len(s) for s in sets],
-                "key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                "regs": [None if r is None else r.tobytes() for r in regs],
-                "bands": [None if r is None else bands(r) for r in regs],
-                "bits": [None if r is None else low_bits(r) for r in regs],
-            }
-
-        return f
-
-    return map_batches(df, {id_col: "long", text_col: "string"}, make, "doc_id long, n_shingles long, key binary, regs binary, bands array<long>, bits array<long>")
+    return map_batches(df, {id_col: "long", text_col: "string"}, lambda: f, "doc_id long, n_shingles long, key binary, regs binary, bands array<long>, bits array<long>")
 
 
 def shingle_sets(df: DataFrame, shingle_words: int) -> DataFrame:
     """(node, elements) of rows (doc_id, text)."""
 
-    def make():
-        table = HashOf()
-        return lambda batch: {"node": batch.column(0), "elements": [shingle_set(t, shingle_words, table).view(np.int64) for t in batch.column(1).to_pylist()]}
+    def f(batch):
+        return {"node": batch.column(0), "elements": lists([s.view(np.int64) for s in shingle_sets_of(batch.column(1), shingle_words)], pa.int64())}
 
-    return map_batches(df, {"doc_id": "long", "text": "string"}, make, "node long, elements array<long>")
+    return map_batches(df, {"doc_id": "long", "text": "string"}, lambda: f, "node long, elements array<long>")
 
 
 def near_duplicates(df: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,38 +127,30 @@ def near_duplicates(df: DataFrame, shingle_words: int = 5, percent: int = 80, id
     classes = sketches.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
     of_class = written(sketches.select("doc_id", "n_shingles", "key").join(classes, "key", "left").select("doc_id", "n_shingles", "rep"), "classes")
     reps = sketches.filter("n_shingles > 0 and doc_id is not null").join(of_class.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
-    info = F.struct(F.col("n_shingles").alias("n"), "bits")
-    members = written(shared_buckets(reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"), info.alias("info"))), "buckets")
-    nodes = written(members.select("node").distinct(), "nodes")
-    candidates = written(reps.join(nodes, reps.doc_id == nodes.node, "left_semi").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "regs").dropDuplicates(), "registers")
-    sets = written(shingle_sets(docs.join(nodes, docs.doc_id == nodes.node, "left_semi"), shingle_words), "sets")
-    limit = percent / 100
+    members = shared_buckets(reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node")))
+    nodes = written(members.select(F.col("node").alias("doc_id")).distinct(), "nodes")
+    infos = written(reps.join(nodes, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bits", "regs").dropDuplicates(), "registers")
+    discard(sketches)
+    sets = written(shingle_sets(docs.join(nodes, "doc_id", "left_semi"), shingle_words), "sets")
+    limit, most_bits = percent / 100, most_differing(percent / 100, M, LOSS)
 
     @F.pandas_udf("boolean")
-    def likely(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
+    def hopeful(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
         if not len(a):
             return pd.Series([], dtype=bool)
         x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(-1, M) for s in (a, b))
         best, top, at = joint_estimate(x, y, n_a.to_numpy(float), n_b.to_numpy(float))
         return pd.Series((best >= limit) | (at(np.full(len(a), limit)) >= top - UNLIKELY))
 
-    most_bits = most_differing(limit)
-
-    def plausible(a: Column, b: Column) -> Column:
-        apart = sum(F.bit_count(a["bits"][i].bitwiseXOR(b["bits"][i])) for i in range(-(-M // 64)))
-        return (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])) & (apart <= most_bits)
-
-    def side(table: DataFrame, s: str) -> DataFrame:
-        return table.select(*(F.col(c).alias(s if c == "node" else f"{c}_{s}") for c in table.columns))
+    def likely(a: str, b: str) -> Column:
+        return hopeful(f"regs_{a}", f"regs_{b}", f"n_{a}", f"n_{b}")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        sized = pairs.join(side(candidates, "b"), "b").join(side(candidates, "a"), "a").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        hopeful = sized.filter(likely("regs_a", "regs_b", "n_a", "n_b")).select("a", "b").distinct()
-        both = hopeful.join(side(sets, "b"), "b").join(side(sets, "a"), "a")
-        common = F.size(F.array_intersect("elements_a", "elements_b"))
-        return both.filter(100 * common >= percent * (F.size("elements_a") + F.size("elements_b") - common)).select("a", "b").distinct()
+    def plausible(a: str, b: str) -> Column:
+        n_a, n_b = F.col(f"n_{a}"), F.col(f"n_{b}")
+        return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (differing_bits(f"bits_{a}", f"bits_{b}", M) <= most_bits)
 
-    comp = link_buckets(members, plausible, verify)
+    comp = link_similar(members, infos, sets, percent, plausible, likely)
+    discard(members, nodes, infos, sets)
     joined = of_class.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left")
     component = F.coalesce("comp", "rep", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

@@ -208,17 +208,61 @@ def test_passages(spark, docs, empty):
     assert paragraphs.remove_repeats(docs).count() == docs.count() and paragraphs.remove_repeats(empty).count() == 0
 
 
-def test_paragraph_marks_equal_brute_force(spark):
-    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    first: dict = {}
-    rows = sorted(pairs(df))
-    for d, t in rows:
-        for k in paragraphs.sentence_keys(t)[0].tolist():
-            first.setdefault(k, d)
-    got = {r["doc_id"]: set(r["marked_sentences"]) for r in paragraphs.removals(df).collect()}
-    for d, t in rows:
-        keys, words = paragraphs.sentence_keys(t)
-        assert got.get(d, set()) == {k for k, key in enumerate(keys.tolist()) if words[k] and first[key] < d}
+def line_words(text):
+    """(first word, words) of the lines of 50 words and more."""
+    at, out = 0, []
+    for line in text.split("\n"):
+        words = ascii_words(line)
+        if len(words) >= 50:
+            out.append((at, words))
+        at += len(words)
+    return out
+
+
+def ascii_words(text):
+    return text.encode().lower().split()
+
+
+def test_marks_equal_brute_force(spark):
+    """Every repeated run of 50 words, and the lines of every component of all pairs at an exact Jaccard similarity of 0.8."""
+    rng = np.random.default_rng(5)
+    base = [f"b{k}" for k in range(70)]
+    vary = lambda k: " ".join(f"z{x}" if hit else w for w, x, hit in zip(base, rng.integers(0, 10**9, 70), rng.random(70) < k / 70, strict=True))
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [(5000 + k, f"head {k}\n{vary(k % 5)}\ntail {k}") for k in range(50)]
+    first, firsts = {}, {}
+    runs = {d: [tuple(w[k : k + 50]) for k in range(len(w) - 49)] for d, w in ((d, ascii_words(t)) for d, t in rows)}
+    for d, _ in sorted(rows):
+        for x in runs[d]:
+            first.setdefault(x, d)
+    seen = {d: {k + i for k, x in enumerate(runs[d]) if first[x] < d for i in range(50)} for d in runs}
+    lines = [(d, at, w, {tuple(w[k : k + 5]) for k in range(len(w) - 4)}) for d, t in sorted(rows) for at, w in line_words(t)]
+    comp = list(range(len(lines)))
+    for a in range(len(lines)):
+        for b in range(a):
+            if comp[a] != comp[b] and 10 * len(lines[a][3] & lines[b][3]) >= 8 * len(lines[a][3] | lines[b][3]):
+                comp = [comp[b] if c == comp[a] else c for c in comp]
+    for (d, *_), c in zip(lines, comp, strict=True):
+        firsts.setdefault(c, d)
+    for (d, at, w, _), c in zip(lines, comp, strict=True):
+        if firsts[c] < d:
+            seen[d] |= set(range(at, at + len(w)))
+    copies: dict = {}
+    for d, t in sorted(rows):
+        if copies.setdefault(t, d) < d and len(ascii_words(t)) >= 50:
+            seen[d] = set(range(len(ascii_words(t))))
+    got = {r["doc_id"]: r["removed_words"] for r in paragraphs.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert any(len({d for (d, *_), x in zip(lines, comp, strict=True) if x == c}) > 10 for c in set(comp))
+    assert got == {d: len(x) for d, x in seen.items()}
+
+
+def test_repeated_words_count_the_first_document(spark):
+    rng = np.random.default_rng(6)
+    fresh = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 10**9, n))
+    passage, copy = fresh(60), fresh(80)
+    rows = [(3, f"{fresh(9)} {passage} {fresh(4)}"), (1, copy), (2, copy), (4, f"{fresh(3)} {passage}"), (5, fresh(200))]
+    df = spark.createDataFrame([(*r, "old", 5) for r in rows], "doc_id long, text string, removed_words string, __doc_id int")
+    got = {r["doc_id"]: (r["removed_words"], r["repeated_words"], r["__doc_id"]) for r in paragraphs.remove_repeats(df).collect()}
+    assert got == {1: (0, 80, 5), 2: (80, 80, 5), 3: (0, 60, 5), 4: (60, 60, 5), 5: (0, 0, 5)}
 
 
 def test_decontamination(spark, docs, empty):
@@ -330,16 +374,35 @@ def test_pipeline_keeps_clean_documents(spark):
     assert first.count() == 0
 
 
-def test_last_round_of_hubs(spark):
-    """Links that neither the first hub nor 64 hubs of a bucket are sure to find."""
-    from palisade.llm.common import written
-    from palisade.llm.components import link_buckets
-
-    n = 300
-    rows = [(k << 40, node) for k in (1, 2) for node in range(n) if k == 1 or node % 2]
-    members = written(spark.createDataFrame(rows, "bucket long, node long").withColumn("info", F.struct(F.lit(1).alias("n"))), "members")
-    got = link_buckets(members, lambda a, b: a["n"] == b["n"], lambda pairs: pairs.filter("abs(a - b) = 150 and least(a, b) % 3 = 0").distinct())
-    assert {r["node"]: r["comp"] for r in got.collect() if r["node"] != r["comp"]} == {k + 150: k for k in range(0, 150, 3)}
+def test_links_through_hubs_equal_all_pairs(spark, monkeypatch):
+    """Families of near copies with near misses and two centres, with hubs of buckets many times over and with none."""
+    from palisade.llm import components as c
+
+    rng = np.random.default_rng(11)
+    centre = rng.choice(10**6, 60, replace=False).tolist()
+    other = centre[:49] + list(range(10**7, 10**7 + 11))
+    sets = []
+    for k in range(160):
+        own = list(other if k % 3 == 0 else centre)
+        for at in rng.choice(60, rng.integers(0, 9), replace=False):
+            own[at] = int(rng.integers(2 * 10**7, 2 * 10**7 + 30))
+        sets.append(sorted(set(own[: int(rng.integers(50, 61))])))
+    want = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = set(sets[a]), set(sets[b])
+            if 100 * len(x & y) >= 80 * len(x | y) and want[a] != want[b]:
+                lo, hi = sorted((want[a], want[b]))
+                want = [lo if w == hi else w for w in want]
+    rows = spark.createDataFrame(list(enumerate(sets)), "node long, elements array<long>")
+    infos = rows.select("node", F.size("elements").alias("n"))
+    possible = lambda a, b: 100 * F.least(f"n_{a}", f"n_{b}") >= 80 * F.greatest(f"n_{a}", f"n_{b}")
+    for small, large, depth in ((1, 4, 4), (1, 4, 0), (16, 512, 6), (1000, 512, 6)):
+        monkeypatch.setattr(c, "SMALL", small), monkeypatch.setattr(c, "LARGE", large), monkeypatch.setattr(c, "DEPTH", depth)
+        members = c.shared_buckets(rows.select(F.lit(1).cast("long").alias("bucket"), "node").union(rows.filter("node % 2 = 0").select(F.lit(2).cast("long"), "node")))
+        got = {r["node"]: r["comp"] for r in c.link_similar(members, infos, rows, 80, possible).collect()}
+        assert [got.get(k, k) for k in range(len(sets))] == want
+    assert 3 < len(set(want)) < 100
 
 
 def test_words_and_pieces_as_the_library():
@@ -358,22 +421,7 @@ def test_passages_that_begin_anywhere(spark):
     x, y, z, p, q = fresh(20), fresh(20), fresh(90), fresh(20), fresh(20)
     rows = [(1, f"{fresh(7)} {passage} {short} {fresh(9)}\n" + " ".join(near)), (2, f"{x} {passage} {y}"), (3, f"{x[::-1]} {short} {y[::-1]}"), (4, z + "\n" + " ".join(near[:29] + ["changed"])), (5, f"{p} {passage}\n{q}")]
     got = {r["doc_id"]: (r["text"], r["removed_words"]) for r in paragraphs.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: (rows[0][1], 0), 2: (f"{x} {y}", 50), 3: (rows[2][1], 0), 4: (z + "\n", 30), 5: (f"{p}\n{q}", 50)}
-
-
-def test_windows_equal_brute_force(spark):
-    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    rows = sorted(pairs(df))
-    first: dict = {}
-    runs = {d: [tuple(w[k : k + 50]) for k in range(len(w) - 49)] for d, w in ((d, paragraphs.ascii_words(t)) for d, t in rows)}
-    for d, _ in rows:
-        for x in runs[d]:
-            first.setdefault(x, d)
-    want = {d: {k for k, x in enumerate(runs[d]) if first[x] < d} for d in runs}
-    got = collections.defaultdict(set)
-    for r in paragraphs.repeated_windows(df).collect():
-        got[r["doc_id"]].add(r["pos"])
-    assert any(want.values()) and got == {d: x for d, x in want.items() if x}
+    assert got == {1: (rows[0][1], 0), 2: (f"{x} {y}", 50), 3: (rows[2][1], 0), 4: (rows[3][1], 0), 5: (f"{p}\n{q}", 50)}
 
 
 def test_pipeline_with_null_and_repeated_ids(spark):
@@ -411,8 +459,10 @@ def test_passages_of_one_id_with_two_texts(spark):
 def test_differing_bits_lose_few_links():
     import math
 
-    for limit in (0.5, 0.8, 0.95):
-        p, bits = (1 - limit) / 2, setsketch.most_differing(limit)
-        tail = lambda k: sum(math.comb(setsketch.M, i) * p**i * (1 - p) ** (setsketch.M - i) for i in range(k + 1, setsketch.M + 1))
+    from palisade.llm.common import most_differing
+
+    for limit, n in ((0.5, 200), (0.8, 200), (0.95, 200), (0.8, 128)):
+        p, bits = (1 - limit) / 2, most_differing(limit, n, 3e-7)
+        tail = lambda k: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1, n + 1))
         assert tail(bits) <= 3e-7 < tail(bits - 1)
-    assert setsketch.most_differing(0.8) == 44
+    assert most_differing(0.8, 200, 3e-7) == 44
