@@ -1,19 +1,26 @@
 """Operator 5: benchmark decontamination by spaced seeds.
 
-A seed is a fixed mask over SPAN neighbouring words of which it looks at some and ignores the others; two places that differ only
-in ignored words have one hash. The hashes of all benchmark places under all masks are joined with those of every document place.
+A seed is a fixed mask over neighbouring words of which it looks at some and ignores the others; two places that differ only in
+ignored words have one hash. The hashes of all benchmark places under all masks are joined with those of every document place.
 A hit fixes a diagonal; along it the words of the item and of the document are compared without gaps, a word in common scoring 1
 and a substituted one -SUBSTITUTION. A document is contaminated by an item where the best run scores at least MIN_SCORE, or, for
-shorter items, all but a tenth of their words. Items of fewer words than SPAN are sought whole, from SHORTEST words on.
+shorter items, all but a tenth of their words.
+
+No such run is missed. The masks are all those of five compared words with at most one ignored. A run in which none of them fits has
+stretches of equal words of which any two neighbours have four words or fewer together, so two each on average; every substitution
+takes back what a stretch of two brings, and the run scores four at most, less than any item of five words needs. Items of four
+words are sought whole; those of fewer are not sought.
 
 Words are the blank-separated parts in lower case without punctuation at either end. Null or empty texts are clean; so is every
-document if the benchmark is empty. Null benchmark texts are left out; items that repeat are all reported. Rows that repeat give
-equal rows; extra columns are ignored. The benchmark goes to the executors in blocks of at most BLOCK_WORDS words, one pass over
-the documents for each block, so what is broadcast has a fixed bound whatever the benchmark's size.
+document if the benchmark is empty. Null benchmark texts and items are left out; items with equal words are one, named by the least of
+their ids. Rows that repeat give equal rows; extra columns are ignored. The benchmark goes to the executors in blocks of at most
+BLOCK_WORDS words (or one item, if that has more), one pass over the documents for each block, so what is broadcast has a bound
+whatever the benchmark's size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,18 +28,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, mix64
+from .common import map_batches, mix64, written
 
-#: Fixed masks: 1 is compared, 0 is ignored. Between them any single substitution inside a span leaves a seed whole.
-MASKS = ("110110110111", "111011011011", "101111001111", "111100111101")
-SPAN = len(MASKS[0])
+#: Fixed masks: 1 is compared, 0 is ignored.
+MASKS = ("11111", "101111", "110111", "111011", "111101")
+WEIGHT = 5
 MIN_SCORE, SUBSTITUTION, SHORTEST = 12, 2, 4
-BLOCK_WORDS = 2_000_000
-#: Odd factors of a mask's places.
-_FACTORS = mix64(np.arange(1, SPAN + 1, dtype=np.uint64)) | np.uint64(1)
+BLOCK_WORDS = 400_000
+#: Odd factors of the compared words.
+_FACTORS = mix64(np.arange(1, WEIGHT + 1, dtype=np.uint64)) | np.uint64(1)
 #: Low bits of a seed that a table of 2^FILTER_BITS flags looks at first; most places of a document go no further.
-FILTER_BITS = 22
+FILTER_BITS = 23
 _LOW = np.uint64((1 << FILTER_BITS) - 1)
+#: Pairs of places that are looked at together.
+PLACES_AT_ONCE = 1_000_000
 
 
 class CleanWords(dict):
@@ -65,9 +74,8 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     x = np.full(n, int(mask, 2) + (len(mask) << 32), np.uint64)
-    for j, c in enumerate(mask):
-        if c == "1":
-            x += words[j : j + n] * _FACTORS[j]
+    for factor, j in zip(_FACTORS, (j for j, c in enumerate(mask) if c == "1"), strict=False):
+        x += words[j : j + n] * factor
     return mix64(x)
 
 
@@ -87,30 +95,42 @@ class Index:
     def build(cls, items: list[tuple[int, str]]) -> Index:
         table = CleanWords()
         words = [clean_words(t, table) for _, t in items]
-        masks = list(MASKS) + ["1" * n for n in sorted({len(w) for w in words}) if SHORTEST <= n < SPAN]
-        found = [(seeds(w, m), k) for k, w in enumerate(words) for m in masks if len(m) == SPAN or len(m) == len(w)]
-        hashes = np.concatenate([h for h, _ in found]) if found else np.zeros(0, np.uint64)
-        item = np.concatenate([np.full(len(h), k) for h, k in found]) if found else np.zeros(0, int)
-        place = np.concatenate([np.arange(len(h)) for h, _ in found]) if found else np.zeros(0, int)
+        masks = [*MASKS, *("1" * n for n in range(SHORTEST, WEIGHT))]
+        found = [(seeds(w, m), k) for k, w in enumerate(words) for m in masks if (len(m) >= WEIGHT if len(w) >= WEIGHT else len(m) == len(w))]
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in found)])
+        item = np.concatenate([np.zeros(0, np.int32), *(np.full(len(h), k, np.int32) for h, k in found)])
+        place = np.concatenate([np.zeros(0, np.int32), *(np.arange(len(h), dtype=np.int32) for h, _ in found)])
         order = np.argsort(hashes, kind="stable")
         flags = np.zeros(1 << FILTER_BITS, bool)
         flags[hashes & _LOW] = True
         return cls([i for i, _ in items], words, masks, hashes[order], item[order], place[order], flags)
 
-    def overlaps(self, docs: list[np.ndarray]) -> list[dict[int, tuple[int, int]]]:
-        """For each document, item_id: (score, words in common) of the items that it holds."""
-        diagonals: list[set[tuple[int, int]]] = [set() for _ in docs]
-        bounds = np.concatenate(([0], np.cumsum([len(d) for d in docs]))).astype(int)
-        words = np.concatenate(docs) if docs else np.zeros(0, np.uint64)
+    def _hits(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
+        """Distinct rows (document, item, shift) of places that share a seed."""
         for mask in self.masks if len(self.hashes) else ():
             own = seeds(words, mask)
             maybe = np.flatnonzero(self.flags[own & _LOW])
             lo, hi = (np.searchsorted(self.hashes, own[maybe], side) for side in ("left", "right"))
             of = np.searchsorted(bounds, maybe, "right") - 1
-            good = np.flatnonzero((lo < hi) & (maybe + len(mask) <= bounds[of + 1]))
-            for i, d, first, end in zip(maybe[good].tolist(), of[good].tolist(), lo[good].tolist(), hi[good].tolist(), strict=True):
-                at = i - int(bounds[d])
-                diagonals[d].update(zip(self.item[first:end].tolist(), (at - self.place[first:end]).tolist(), strict=True))
+            good = (lo < hi) & (maybe + len(mask) <= bounds[of + 1])
+            lo, hi, of, at = lo[good], hi[good], of[good], maybe[good] - bounds[of[good]]
+            ends = np.cumsum(hi - lo)
+            begin = 0
+            while begin < len(lo):
+                upto = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PLACES_AT_ONCE, "right")))
+                n = hi[begin:upto] - lo[begin:upto]
+                entry = np.repeat(lo[begin:upto] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                yield np.unique(np.stack([np.repeat(of[begin:upto], n), self.item[entry], np.repeat(at[begin:upto], n) - self.place[entry]], axis=1), axis=0)
+                begin = upto
+
+    def overlaps(self, docs: list[np.ndarray]) -> list[dict[int, tuple[int, int]]]:
+        """For each document, item_id: (score, words in common) of the items that it holds."""
+        bounds = np.concatenate(([0], np.cumsum([len(d) for d in docs]))).astype(int)
+        words = np.concatenate(docs) if docs else np.zeros(0, np.uint64)
+        diagonals: list[set[tuple[int, int]]] = [set() for _ in docs]
+        for rows in self._hits(words, bounds):
+            for d, k, shift in rows.tolist():
+                diagonals[d].add((k, shift))
         return [self._confirmed(d, found) for d, found in zip(docs, diagonals, strict=True)]
 
     def _confirmed(self, doc: np.ndarray, diagonals: set[tuple[int, int]]) -> dict[int, tuple[int, int]]:
@@ -137,12 +157,11 @@ def best_run(same: np.ndarray) -> tuple[int, int]:
 
 def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, contaminated, n_items, item_ids, best_item, best_score, common_words) of every row."""
-    tests = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("t")).filter("item is not null and t is not null")
-    total = tests.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0
-    blocks = max(1, -(-total // block_words))
+    tests = _distinct_items(benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("t")).filter("item is not null and t is not null"))
+    blocks = _blocks(tests, block_words)
     out = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.array().cast("array<struct<item:long,score:int,common:int>>").alias("found"))
     for k in range(blocks):
-        own = tests.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).orderBy("item", "t").toArrow().to_pydict()
+        own = tests.filter(_block_of(blocks) == k).orderBy("item", "t").toArrow().to_pydict()
         out = _search(out, Index.build(list(zip(own["item"], own["t"], strict=True))), last=k == blocks - 1)
     hit = F.size("found") > 0
     first = F.when(hit, F.get(F.array_sort(F.transform("found", lambda x: F.struct((-x["score"]).alias("s"), (-x["common"]).alias("c"), x["item"].alias("i")))), F.lit(0)))
@@ -152,6 +171,34 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     )
 
 
+def _distinct_items(tests: DataFrame) -> DataFrame:
+    """Written rows (item, t, n) of the items that are long enough: one for each sequence of words, with the least id."""
+
+    def make():
+        table = CleanWords()
+
+        def f(batch):
+            words = [clean_words(t, table) for t in batch.column(1).to_pylist()]
+            return {"item": batch.column(0), "t": batch.column(1), "n": [len(w) for w in words], "key": [xxhash.xxh3_128_digest(w.tobytes()) for w in words]}
+
+        return f
+
+    rows = map_batches(tests, {"item": "long", "t": "string"}, make, "item long, t string, n long, key binary").filter(F.col("n") >= SHORTEST)
+    return written(rows.groupBy("key").agg(F.min(F.struct("item", "t", "n")).alias("x")).select("x.*"), "benchmark-items")
+
+
+def _block_of(blocks: int):
+    return F.pmod(F.xxhash64("item", "t"), F.lit(blocks))
+
+
+def _blocks(tests: DataFrame, block_words: int) -> int:
+    """Into how many blocks the items go by hash so that none with several items has more words than block_words."""
+    blocks = max(1, -(-(tests.agg(F.sum("n")).first()[0] or 0) // block_words))
+    while tests.groupBy(_block_of(blocks)).agg(F.sum("n").alias("n"), F.count("*").alias("k")).filter((F.col("n") > block_words) & (F.col("k") > 1)).head(1):
+        blocks *= 2
+    return blocks
+
+
 def _search(docs: DataFrame, index: Index, last: bool) -> DataFrame:
     """Adds the block's findings; the text goes on only to another block."""
     shipped = docs.sparkSession.sparkContext.broadcast(index)
