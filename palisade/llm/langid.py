@@ -36,12 +36,14 @@ def _letters() -> np.ndarray:
 
 def trigrams(text: str | None) -> np.ndarray:
     """Buckets of the trigrams over lower-case letters, runs of all else being one blank; empty if there is no letter."""
-    out, whole = [], text or ""
-    for at in range(0, len(whole), _SLICE):
-        codes = np.frombuffer(f" {whole[at : at + _SLICE].lower()} ".encode("utf-32-le", "surrogatepass"), "<u4").copy()
+    whole, out = f" {text.lower()} " if text else "", []
+    last, before = np.zeros(0, np.uint32), True
+    for at in range(0, len(whole), _SLICE):  # slices bound the memory; the last two codes and whether a letter came last go on
+        codes = np.frombuffer(whole[at : at + _SLICE].encode("utf-32-le", "surrogatepass"), "<u4").copy()
         letter = _letters()[codes]
         codes[~letter] = 32
-        codes = codes[letter | np.concatenate(([True], letter[:-1]))]
+        codes = np.concatenate((last, codes[letter | np.concatenate(([before], letter[:-1]))]))
+        last, before = codes[-2:], bool(letter[-1])
         if len(codes) >= 3:
             x = codes[:-2] * np.uint32(0x9E3779B1) + codes[1:-1] * np.uint32(0x85EBCA77) + codes[2:] * np.uint32(0xC2B2AE3D)
             out.append((x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(18))
