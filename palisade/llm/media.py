@@ -4,8 +4,10 @@ to numpy arrays, resized by area means over integral images, and written as NPY
 Payloads that are not images are stored losslessly as images: bytes are samples, WIDTH RGB pixels a row, as binary PPM where the
 number of rows is even and as BMP where it is odd; the form depends on the payload alone, so equal payloads are stored equally.
 
-Null or empty payload: one row of blanks. Bytes that are no image decode to an error (ValueError) in the plain functions and to
-null columns in tile_column(). Very long payloads become tall images. Repeated rows are equal; extra columns are ignored.
+Null or empty payload: one row of blanks. Bytes that are no image, or a broken one (a raster or header that breaks off, samples
+above the greatest, colours beyond the palette), decode to an error (ValueError) in the plain functions and to null columns with that
+error in tile_column(). Very long payloads become tall images. Repeated rows are equal; extra columns are ignored. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_batches, new_folder
+from .common import map_batches, written
 
 #: Pixels of a row; three samples each.
 WIDTH = 64
@@ -54,10 +56,13 @@ def encode_bmp(pixels: np.ndarray) -> bytes:
 
 def decode(data: bytes) -> np.ndarray:
     """Samples as an array: height x width for grey, height x width x 3 for colour."""
-    if data[:2] == b"BM":
-        return decode_bmp(data)
-    if len(data) > 2 and data[:1] == b"P" and data[1:2] in b"123456":
-        return decode_netpbm(data)
+    try:
+        if data[:2] == b"BM":
+            return decode_bmp(data)
+        if len(data) > 2 and data[:1] == b"P" and data[1:2] in b"123456":
+            return decode_netpbm(data)
+    except (OverflowError, IndexError, struct.error, MemoryError) as e:
+        raise ValueError(f"a broken image: {e}") from e
     raise ValueError("neither Netpbm nor BMP")
 
 
@@ -80,7 +85,7 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         found = re.findall(rb"[01]", rest) if kind == 1 else rest.split()
         if len(found) < n:
             raise ValueError("a Netpbm raster breaks off")
-        values = np.array(found[:n], dtype=np.int64)
+        values = np.array([int(x) for x in found[:n]], dtype=np.int64)
     else:
         at += 1
         size = -(-width // 8) * height if kind == 4 else n * (2 if most > 255 else 1)
@@ -90,6 +95,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
             values = np.unpackbits(np.frombuffer(data, np.uint8, size, at).reshape(height, -1), axis=1)[:, :width]
         else:
             values = np.frombuffer(data, ">u2" if most > 255 else np.uint8, n, at)
+    if n and not 0 <= values.min() <= values.max() <= most:
+        raise ValueError("a Netpbm sample is out of range")
     if kind in (1, 4):
         return np.where(values.reshape(shape) == 0, 255, 0).astype(np.uint8)  # 1 is black
     return values.reshape(shape).astype(np.uint16 if most > 255 else np.uint8)
@@ -107,6 +114,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     rows = np.frombuffer(data, np.uint8, stride * abs(height), begin).reshape(abs(height), stride)
     rows = rows[::-1] if height > 0 else rows
     if bits == 8:
+        if begin < 14 + head or (begin - 14 - head) % 4:
+            raise ValueError("a BMP palette of another kind")
         palette = np.frombuffer(data, np.uint8, begin - 14 - head, 14 + head).reshape(-1, 4)
         return palette[rows[:, :width], 2::-1]
     return rows[:, : width * bits // 8].reshape(abs(height), width, bits // 8)[:, :, 2::-1]
@@ -145,10 +154,15 @@ def npy(pixels: np.ndarray) -> bytes:
     return out.getvalue()
 
 
+def tile_of(pixels: np.ndarray, side: int) -> bytes:
+    """The image as an NPY tile of side x side samples of its own type."""
+    return npy(np.clip(np.round(area_resize(pixels, side, side)), 0, 65535 if pixels.dtype == np.uint16 else 255).astype(pixels.dtype))
+
+
 def tile(data: bytes, side: int = 32) -> tuple[bytes, str]:
-    """An image as an NPY tile of side x side samples, and its difference hash."""
+    """An image file as an NPY tile, and its difference hash."""
     pixels = decode(data)
-    return npy(np.clip(np.round(area_resize(pixels, side, side)), 0, 65535 if pixels.dtype == np.uint16 else 255).astype(pixels.dtype)), difference_hash(pixels)
+    return tile_of(pixels, side), difference_hash(pixels)
 
 
 def tile_column(df: DataFrame, id_col: str, media_col: str, side: int = 32) -> DataFrame:
@@ -172,36 +186,46 @@ def tile_column(df: DataFrame, id_col: str, media_col: str, side: int = 32) -> D
 
 def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A media table, written to the shared folder: (doc_id, n_bytes, media) with each text stored as an image."""
-    spark = df.sparkSession
 
-    def make():
-        def f(batch):
-            payloads = [payload_of(t) for t in batch.column(1).to_pylist()]
-            return {"doc_id": batch.column(0), "n_bytes": [n for _, n in payloads], "media": [store(p) for p, _ in payloads]}
+    def f(batch):
+        payloads = [payload_of(t) for t in batch.column(1).to_pylist()]
+        return {"doc_id": batch.column(0), "n_bytes": [n for _, n in payloads], "media": [store(p) for p, _ in payloads]}
 
-        return f
+    return written(map_batches(df, {id_col: "long", text_col: "string"}, lambda: f, "doc_id long, n_bytes long, media binary"), "media", "zstd")
 
-    table = map_batches(df, {id_col: "long", text_col: "string"}, make, schema := "doc_id long, n_bytes long, media binary")
-    path = new_folder(spark, "media")
-    table.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
 
+def write_tiles(media: DataFrame, side: int = 8) -> DataFrame:
+    """A tile table, written to the shared folder, of what is read back from the table of store_texts(): checksums of the payload and
+    of the stored form, the NPY tile of side x side samples and the difference hash."""
+    names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "tile", "dhash")
 
-def media_features(media: DataFrame) -> DataFrame:
-    """What is read back from the table of store_texts(): payload, checksums and the difference hash with the mean of a 4 x 4 tile."""
+    def one(data):
+        pixels = decode(data)
+        payload = pixels.tobytes()
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), tile_of(pixels, side), difference_hash(pixels)
 
-    def make():
-        def one(data):
-            pixels = decode(data)
-            payload = pixels.tobytes()
-            means = np.round(area_resize(grey(pixels), 4, 4)).astype(np.uint8).tobytes().hex()
-            return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), f"{difference_hash(pixels)}:{means}"
+    def f(batch):
+        return {"doc_id": batch.column(0), "n_bytes": batch.column(1)} | dict(zip(names, zip(*(one(x) for x in batch.column(2).to_pylist()), strict=True), strict=True))
+
+    table = map_batches(media, {"doc_id": "long", "n_bytes": "long", "media": "binary"}, lambda: f, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tile binary, dhash string")
+    return written(table, "tiles", "zstd")
+
+
+def media_features(tiles: DataFrame) -> DataFrame:
+    """The columns of the table of write_tiles() with a feature of each tile read back: its difference hash, that of the whole image
+    and the mean colours of its quarters; tile_sha256 is the digest of the NPY file."""
+    names = ("feature", "tile_sha256")
 
-        names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    def one(data, whole):
+        pixels = np.load(io.BytesIO(data))
+        means = np.round(area_resize(pixels, 2, 2)).astype(np.uint8).tobytes().hex()
+        return f"{difference_hash(pixels)}:{whole}:{means}", hashlib.sha256(data).hexdigest()
 
-        def f(batch):
-            return {"doc_id": batch.column(0), "n_bytes": batch.column(1)} | dict(zip(names, zip(*(one(x) for x in batch.column(2).to_pylist()), strict=True), strict=True))
+    kept = {"doc_id": "long", "n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string"}
 
-        return f
+    def f(batch):
+        *own, data, whole = batch.columns
+        made = zip(*(one(d, w) for d, w in zip(data.to_pylist(), whole.to_pylist(), strict=True)), strict=True)
+        return dict(zip(kept, own, strict=True)) | dict(zip(names, made, strict=True))
 
-    return map_batches(media, {"doc_id": "long", "n_bytes": "long", "media": "binary"}, make, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_batches(tiles, kept | {"tile": "binary", "dhash": "string"}, lambda: f, ", ".join(f"{c} {t}" for c, t in kept.items()) + ", feature string, tile_sha256 string")
