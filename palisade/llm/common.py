@@ -37,10 +37,10 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """df as a table written to the shared folder and read again: lineage is cut, and a lost executor loses nothing."""
     path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     again = df.sparkSession.read.schema(df.schema).parquet(path)
     again.written_to = path
     return again
@@ -123,12 +123,28 @@ def least_values(elements: np.ndarray, multiply: np.ndarray, add: np.ndarray) ->
     return least
 
 
+def least_values_of(elements: np.ndarray, ends: np.ndarray, multiply: np.ndarray, add: np.ndarray) -> np.ndarray:
+    """least_values of several sets, set k being elements[ends[k]:ends[k + 1]], none of them empty."""
+    x = (elements >> np.uint64(32)).astype(np.uint32) ^ elements.astype(np.uint32)
+    out, at = np.empty((len(ends) - 1, len(multiply)), np.uint32), 0
+    while at < len(out):
+        upto = max(at + 1, int(np.searchsorted(ends, ends[at] + 512, "right")) - 1)
+        if upto == at + 1:
+            out[at] = least_values(elements[ends[at] : ends[upto]], multiply, add)
+        else:
+            own = x[ends[at] : ends[upto], None] * multiply + add
+            out[at:upto] = np.minimum.reduceat(own, ends[at:upto] - ends[at], axis=0)
+        at = upto
+    return out
+
+
 def low_bits(values: np.ndarray) -> np.ndarray:
-    """The lowest bit of each value, packed to 64-bit integers: of least values of sets at similarity j, about (1 - j) / 2 differ."""
-    out = np.zeros(-(-len(values) // 64) * 8, np.uint8)
-    packed = np.packbits((values & 1).astype(np.uint8))
-    out[: len(packed)] = packed
-    return out.view(np.int64)
+    """The lowest bit of each value (of each row of values), packed to 64-bit integers: of least values of sets at similarity j, about (1 - j) / 2 differ."""
+    rows = np.atleast_2d(values)
+    out = np.zeros((len(rows), -(-rows.shape[1] // 64) * 8), np.uint8)
+    packed = np.packbits((rows & 1).astype(np.uint8), axis=1)
+    out[:, : packed.shape[1]] = packed
+    return out.view(np.int64) if values.ndim > 1 else out[0].view(np.int64)
 
 
 def most_differing(limit: float, bits: int, loss: float) -> int:

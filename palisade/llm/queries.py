@@ -28,7 +28,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(media.store_texts(_table(spark, sf_dir, "documents")))
+    return media.media_features(media.write_tiles(media.store_texts(_table(spark, sf_dir, "documents"))))
 
 
 def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

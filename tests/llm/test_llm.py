@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -155,11 +156,23 @@ def test_perfect_hash():
 
 def test_media_round_trip_and_formats(spark, docs, empty):
     text = {d: t for d, t in pairs(docs)}
-    for r in media.media_features(media.store_texts(docs)).collect():
+    tiles = media.write_tiles(media.store_texts(docs))
+    stored = {(r["doc_id"], r["media_sha256"]): r for r in tiles.collect()}
+    for r in media.media_features(tiles).collect():
+        data = media.store(media.payload_of(text[r["doc_id"]])[0])
+        pixels, npy = media.decode(data), stored[r["doc_id"], r["media_sha256"]]["tile"]
+        # the tile and its features by plain means over the areas
+        small = np.load(__import__("io").BytesIO(npy))
+        want = plain_resize(pixels, 8, 8)
+        assert small.shape == (8, 8, 3) and small.dtype == np.uint8 and np.abs(small - want).max() <= 0.5 + 1e-6
+        dhash = lambda x: np.packbits(np.round(plain_resize(x.mean(axis=2), 8, 9), 6)[:, :-1] > np.round(plain_resize(x.mean(axis=2), 8, 9), 6)[:, 1:]).tobytes().hex()
+        if pixels.shape[0] < 40:
+            assert r["feature"] == f"{dhash(small)}:{dhash(pixels)}:{np.round(plain_resize(small, 2, 2)).astype(np.uint8).tobytes().hex()}"
+        assert r["tile_sha256"] == hashlib.sha256(npy).hexdigest() and r["media_sha256"] == hashlib.sha256(data).hexdigest() and r["media_bytes"] == len(data)
         payload, n = media.payload_of(text[r["doc_id"]])
         assert len(payload) % 192 == 0 and len(payload) > 0
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-    assert media.media_features(media.store_texts(empty)).count() == 0
+    assert media.media_features(media.write_tiles(media.store_texts(empty))).count() == 0
     x = np.random.default_rng(0).integers(0, 256, (5, 7, 3), dtype=np.uint8)
     assert (media.decode(media.encode_ppm(x)) == x).all() and (media.decode(media.encode_bmp(x)) == x).all()
     assert media.decode(b"P2\n# c\n2 2\n255\n1 2 3 4").tolist() == [[1, 2], [3, 4]]
@@ -168,11 +181,27 @@ def test_media_round_trip_and_formats(spark, docs, empty):
     exact = np.arange(48.0).reshape(6, 8)
     assert np.allclose(media.area_resize(exact, 3, 4), exact.reshape(3, 2, 4, 2).mean(axis=(1, 3)))
     assert np.isclose(media.area_resize(exact, 1, 3)[0, 0], (exact[:, :2].sum() + exact[:, 2].sum() * 2 / 3) / (6 * 8 / 3))
-    table = spark.createDataFrame([(1, bytearray(media.encode_ppm(x))), (2, None), (3, bytearray(b"GIF")), (4, bytearray(b"P6 9 9 255 x"))], "id long, m binary")
+    palette = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 0, 0, 0, 14 + 40 + 8, 40, 2, 1, 1, 8, 0, 0, 0, 0, 0, 0) + bytes([1, 2, 3, 0, 4, 5, 6, 0])
+    assert media.decode(palette + bytes([0, 1, 0, 0])).tolist() == [[[3, 2, 1], [6, 5, 4]]]
+    broken = [b"GIF", b"P6 9 9 255 x", b"P2 1 1 255 " + b"9" * 20, b"P2 1 1 255 300", b"P2 1 1 255 -1", b"P5 1 1 9 \xff", palette + bytes([0, 2, 0, 0]), palette[:40], b"BM", b"P", b"P2 1 1 255 a", b"P5 99999999999 99999999999 255 x", b"P3 0 1 255 "]
+    for data in broken:
+        with pytest.raises(ValueError):
+            media.decode(data)
+    table = spark.createDataFrame([(1, bytearray(media.encode_ppm(x))), (2, None), *((3 + k, bytearray(b)) for k, b in enumerate(broken))], "id long, m binary")
     rows = {r["id"]: r for r in media.tile_column(table, "id", "m").collect()}
     assert rows[1]["error"] is None and (rows[1]["height"], rows[1]["width"], rows[1]["channels"]) == (5, 7, 3)
     assert np.load(__import__("io").BytesIO(rows[1]["tile"])).shape == (32, 32, 3)
-    assert all(rows[k]["error"] for k in (2, 3, 4))
+    assert all(rows[k]["error"] and rows[k]["tile"] is None for k in range(2, 3 + len(broken)))
+
+
+def plain_resize(x, height, width):
+    """Area means by the share of each old pixel in each new one."""
+
+    def shares(old, new):
+        edge = np.linspace(0, old, new + 1)
+        return np.clip(np.minimum(edge[1:, None], np.arange(1, old + 1)) - np.maximum(edge[:-1, None], np.arange(old)), 0, None) * new / old
+
+    return np.einsum("ay,yx...,bx->ab...", shares(x.shape[0], height), np.asarray(x, float), shares(x.shape[1], width))
 
 
 def test_language_mixture(spark, docs, empty):
@@ -192,6 +221,39 @@ def test_language_mixture(spark, docs, empty):
     assert all(h == (zlib.crc32(str(d).encode()) % 4 == 2) for d, h in got.items())
 
 
+def test_trigrams_do_not_depend_on_slices(monkeypatch):
+    text = "Ein  Satz, 3 Wörter! \n und noch ÉTÉ ... " * 40
+    whole = langid.trigrams(text).tolist()
+    for size in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(langid, "_SLICE", size)
+        assert langid.trigrams(text).tolist() == whole
+    assert langid.trigrams("12 !").tolist() == langid.trigrams("").tolist() == []
+
+
+def test_mixture_equals_a_plain_search(spark):
+    """Proportions by many plain steps of expectation-maximisation from other starts, and the set by the same criterion."""
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 50, (3, langid.BUCKETS)) * (rng.random((3, langid.BUCKETS)) < 0.2)
+    model = langid.Model(["aa", "bb", "cc"], counts)
+    text = " ".join("".join(chr(97 + x) for x in rng.integers(0, 26, 6)) for _ in range(200))
+    grams = langid.trigrams(text)
+
+    def plain(own):
+        p = model.p[own][:, grams]
+        share = rng.dirichlet(np.ones(len(own)))
+        for _ in range(3000):
+            share = (share[:, None] * p / (share @ p)).mean(axis=1)
+        return share, np.log(share @ p).sum()
+
+    found = model.mixture(text)
+    own = [model.langs.index(lang) for lang, _ in found]
+    share, value = plain(own)
+    assert np.allclose(share, [x for _, x in found], atol=5e-3)
+    penalty = langid.PENALTY / 2 * np.log(len(grams))
+    singles = [np.log(model.p[k][grams]).sum() - penalty for k in range(3)]
+    assert value - len(own) * penalty >= max(singles) - 1e-6 * abs(max(singles))
+
+
 def test_passages(spark, docs, empty):
     filler = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en' and n_chars between 400 and 900").limit(6).collect()]
     sents = [f"Common passage part {c} goes on for ten words here." for c in "abcdef"]
@@ -282,16 +344,55 @@ def test_decontamination(spark, docs, empty):
     # every place against every item, without seeds
     table = decontam.CleanWords()
     tests = {i: decontam.clean_words(t, table) for i, t in items.items()}
-    got = {r["doc_id"]: r["item_ids"] for r in decontam.contamination(docs.filter("doc_id < 60"), bench).collect()}
-    for d, t in pairs(docs.filter("doc_id < 60")):
-        own = decontam.clean_words(t, table)
-        for i, x in tests.items():
-            if len(own) and len(x) >= decontam.SPAN:
-                runs = [len(set(own.tolist()) & set(x.tolist())) > 5 and decontam.best_run(x[max(0, -s) : len(own) - s] == own[max(0, s) : s + len(x)])[0] for s in range(1 - len(x), len(own))]
-                if i in got[d]:
-                    assert max(runs) >= min(12, len(x) - len(x) // 10)
-                else:
-                    assert max(runs) < 20
+    own = {d: decontam.clean_words(t, table) for d, t in pairs(docs.filter("doc_id < 50")) + rows}
+    more = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, k int").select("doc_id", "text").union(docs.filter("doc_id < 50 and doc_id > 7").select("doc_id", "text"))
+    own = {d: own[d] if d > 7 else decontam.clean_words(dict(rows)[d], table) for d in own if d > 0}
+    got = {r["doc_id"]: set(r["item_ids"]) for r in decontam.contamination(more, bench).collect()}
+    assert got == {d: {i for i, x in tests.items() if holds(w, x)} for d, w in own.items()} and any(got.values())
+
+
+def holds(doc, item):
+    """Whether any diagonal has a run that scores enough."""
+    need = min(decontam.MIN_SCORE, len(item) - len(item) // 10)
+    if len(item) < decontam.SHORTEST or np.isin(doc, item).sum() < need:
+        return False
+    return any(decontam.best_run(item[max(0, -s) : max(0, len(doc) - s)] == doc[max(0, s) : s + len(item)])[0] >= need for s in range(1 - len(item), len(doc)))
+
+
+def test_no_substitutions_escape_the_seeds():
+    """All placings of one and two substitutions in items of 12 to 24 words, and the proof for any number by the worst run without a seed."""
+    for n in range(12, 25):
+        index = decontam.Index.build([(1, " ".join(f"w{k}" for k in range(n)))])
+        item = index.words[0]
+        docs = [item]
+        for a in range(n):
+            for b in range(a, n):
+                doc = item.copy()
+                doc[[a, b]] = np.array([7, 9], np.uint64)
+                docs.append(doc)
+        for doc, found in zip(docs, index.overlaps(docs), strict=True):
+            assert (1 in found) == holds(doc, item)
+    span, top = max(map(len, decontam.MASKS)), {0: 0}
+    while True:  # states: which of the last words were equal; the best score of a run that no mask fits
+        more = dict(top)
+        for state, score in top.items():
+            for same in (0, 1):
+                last = (state << 1 | same) & ((1 << span) - 1)
+                if not any(last & int(m, 2) == int(m, 2) for m in decontam.MASKS):
+                    more[last] = max(more.get(last, 0), score + (1 if same else -decontam.SUBSTITUTION), 0)
+        if more == top:
+            break
+        top = more
+    assert max(top.values()) == 4
+
+
+def test_benchmark_copies_and_block_bound(spark):
+    items = [(9, "one two three four five six seven"), (4, "One two three, four five six seven!"), (5, "eight nine ten eleven"), (6, "too few words"), (7, "a b c d e " * 40), (None, "no id at all here for this"), (8, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame([(1, "x one two three four five six seven y"), (2, "eight nine ten eleven"), (3, "too few words"), (4, "a b c d e " * 300)], "doc_id long, text string")
+    for block in (10, 10**6):
+        got = {r["doc_id"]: (r["n_items"], r["item_ids"]) for r in decontam.contamination(df, bench, block_words=block).collect()}
+        assert got == {1: (1, [4]), 2: (1, [5]), 3: (0, []), 4: (1, [7])}
 
 
 def test_chat(spark):
