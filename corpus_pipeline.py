@@ -3,8 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on all documents that its predecessor kept, and returns a DataFrame that run() writes
 as Parquet into the shared folder and reads again as the next stage's docs. All but the last return the columns of documents.
 
-Null columns: a document with a null text or without a letter goes at the first stage; other nulls pass through. Rows with a null or
-repeated doc_id are documents of their own; of rows with an equal doc_id and an equal text the second stage keeps one.
+In every stage a row is known by its doc_id and text together, so rows with a null doc_id, and rows that repeat one with another
+text, are documents of their own; rows with equal doc_id and text are one document, of which the second stage keeps one row. Nulls
+in other columns pass through, columns of any name too, and an empty table gives an empty one. What else each stage does with null
+and empty texts and with ties its docstring states.
 """
 
 from __future__ import annotations
@@ -20,55 +22,81 @@ from palisade.llm.queries import BYTE_RANKS, piece_pattern, tokenizer_path
 LEAST_SCORE = 0.5
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 def _hash_of_row() -> Column:
     """The same for rows with an equal doc_id, or none, and an equal text only."""
     return F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
 
 
-def with_own_ids(docs: DataFrame) -> DataFrame:
-    """docs with a column __own: doc_id, or, where ids are null or name several texts, a number for each id and text in the order of ids, nulls last."""
-    texts = written(docs.select("doc_id", F.xxhash64("text").alias("__hash")).distinct(), "ids")
+def with_own_ids(docs: DataFrame, own: str) -> DataFrame:
+    """docs with a column own: doc_id, or, where ids are null or name several texts, a number for each id and text in the order of ids, nulls last."""
+    texts = written(docs.select("doc_id", F.xxhash64("text").alias("hash")).distinct(), "ids")
     if not texts.groupBy("doc_id").count().filter("count > 1 or doc_id is null").head(1):
-        return docs.withColumn("__own", F.col("doc_id"))
-    ranked = texts.sort(F.col("doc_id").asc_nulls_last(), "__hash").withColumn("__own", F.monotonically_increasing_id())
-    ids = written(ranked, "own-ids").select(F.col("doc_id").alias("__doc"), "__hash", "__own")
-    found = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__hash"))).select(docs["*"], "__own")
+        return docs.withColumn(own, F.col("doc_id"))
+    ranked = texts.sort(F.col("doc_id").asc_nulls_last(), "hash").withColumn("own", F.monotonically_increasing_id())
+    ids = written(ranked, "own-ids").select(F.col("doc_id").alias(f"{own}doc"), F.col("hash").alias(f"{own}hash"), F.col("own").alias(own))
+    found = docs.join(ids, docs["doc_id"].eqNullSafe(F.col(f"{own}doc")) & (F.xxhash64(docs["text"]) == F.col(f"{own}hash"))).select(docs["*"], own)
     return written(found, "own-documents")
 
 
+def _columns(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a learned language that has at least half of the text; lang becomes the prediction where it was null."""
+    """Keeps documents in a learned language that has at least half of the text; lang becomes the prediction where it was null.
+
+    Null and empty texts and texts without a letter go. Of languages with equal proportions the model's first counts. Learns from
+    the labelled documents of docs; if none is labelled, all go. Rows with equal doc_id and text stay or go together.
+    """
     model = langid.train(docs.filter(langid.fold_of() != 2))
-    columns = docs.columns
-    own = docs.withColumn("__own", _hash_of_row())
-    found = langid.identify(own, model, id_col="__own").filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    found = found.groupBy(F.col("doc_id").alias("__doc")).agg(F.min("lang_pred").alias("__lang"))
-    joined = own.join(found, F.col("__own") == F.col("__doc"))
-    return joined.withColumn("lang", F.coalesce("lang", "__lang")).select(*columns)
+    row, found, lang = (_free(docs, f"__{name}") for name in ("row", "found", "predicted"))
+    rows = docs.withColumn(row, _hash_of_row())
+    kept = langid.identify(rows, model, id_col=row).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    kept = kept.groupBy(F.col("doc_id").alias(found)).agg(F.min("lang_pred").alias(lang))
+    joined = rows.join(kept, F.col(row) == F.col(found))
+    return joined.withColumn("lang", F.coalesce("lang", lang)).select(*_columns(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each group, over shingles of five words at a similarity of 0.8."""
-    own = with_own_ids(docs)
-    kept = setsketch.near_duplicates(own, shingle_words=5, percent=80, id_col="__own").filter("kept").select(F.col("doc_id").alias("__own")).distinct()
-    return own.join(kept, "__own", "left_semi").dropDuplicates(["__own"]).select(*docs.columns)
+    """Keeps the document of least doc_id of each group, over shingles of five words at a similarity of 0.8.
+
+    Null ids come last; of texts with one doc_id the order is that of their hashes. Null and empty texts are in no group and stay. Of
+    rows with equal doc_id and text one stays: the texts are equal, and so are the rows but for their other columns.
+    """
+    name = _free(docs, "__own")
+    own = with_own_ids(docs, name)
+    kept = setsketch.near_duplicates(own, shingle_words=5, percent=80, id_col=name).filter("kept").select(F.col("doc_id").alias(name)).distinct()
+    return own.join(kept, name, "left_semi").dropDuplicates([name]).select(*_columns(docs))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that a document of lower doc_id has."""
-    done = paragraphs.remove_repeats(with_own_ids(docs), id_col="__own").drop("removed_words")
-    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Cuts passages that a document of lower doc_id has, and counts n_chars again.
+
+    Null and empty texts stay as they are, with n_chars null for a null text; a document that is cut whole stays with an empty text.
+    Null ids come last, so theirs are cut; of texts with one doc_id the order is that of their hashes.
+    """
+    name = _free(docs, "__own")
+    done = paragraphs.remove_repeats(with_own_ids(docs, name), id_col=name, added=(_free(docs, "__removed"), _free(docs, "__repeated")))
+    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*_columns(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark passage."""
-    own = docs.withColumn("__own", _hash_of_row())
-    found = decontam.contamination(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__own").filter("contaminated").select(F.col("doc_id").alias("__own")).distinct()
-    return own.join(found, "__own", "left_anti").select(*docs.columns)
+    """Drops documents that hold a benchmark passage, whatever their doc_id; null and empty texts are clean and stay."""
+    row, found = _free(docs, "__row"), _free(docs, "__found")
+    rows = docs.withColumn(row, _hash_of_row())
+    hits = decontam.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=row).filter("contaminated").select(F.col("doc_id").alias(found)).distinct()
+    return rows.join(hits, F.col(row) == F.col(found), "left_anti").select(*_columns(docs))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes the texts and decodes the ids again: (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+    """Encodes the texts and decodes the ids again: (doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; null and empty texts have no ids."""
     return bpe.round_trip_digests(docs, tokenizer_path(BYTE_RANKS), piece_pattern())
 
 
