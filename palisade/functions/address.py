@@ -100,23 +100,34 @@ def ipv6_network(value: Column, slash: Column) -> Column:
     return _v6(F.when(value.contains(":"), value), slash)
 
 
-@F.pandas_udf(T.StringType())
-def v6_masked(start: pd.Series, plen: pd.Series) -> pd.Series:
-    return pd.Series([None if s is None or p != p else f"{int(s, 16) >> (128 - int(p)) << (128 - int(p)):032x}" for s, p in zip(start, plen, strict=True)], dtype=object)
+_HALF, _LEAST, _MOST = 16, "0" * 16, "f" * 16
 
 
-@F.pandas_udf(T.StringType())
-def v6_moved(value: pd.Series, by: pd.Series) -> pd.Series:
-    """One further or back; past the last address stands `g`, which sorts after it."""
-    top = 1 << 128
+def v6_masked(start: Column, plen: Column) -> Column:
+    """The first address of the network of this prefix length, in 32 hexadecimal digits."""
+    whole = F.floor(plen / 4).cast("int")
+    bits = plen % 4
+    digit = F.conv(F.substring(start, whole + 1, F.lit(1)), 16, 10).cast("int")
+    size = F.when(bits == 1, 8).when(bits == 2, 4).otherwise(2)
+    part = F.when(bits == 0, "").otherwise(F.lower(F.conv((digit - digit % size).cast("string"), 10, 16)))
+    return F.rpad(F.concat(F.substring(start, F.lit(1), whole), part), 32, "0")
 
-    def move(v, b):
-        if v is None:
-            return None
-        n = (top if v == "g" else int(v, 16)) + int(b)
-        return "g" if n == top else f"{n:032x}"
 
-    return pd.Series([move(v, b) for v, b in zip(value, by, strict=True)], dtype=object)
+def _half_moved(half: Column, by: int) -> Column:
+    number = F.conv(half, 16, 10).cast("decimal(20,0)") + F.lit(by)
+    return F.lpad(F.lower(F.conv(number.cast("string"), 10, 16)), _HALF, "0")
+
+
+def v6_after(address: Column) -> Column:
+    """The next address; past the last one stands `g`, which sorts after it."""
+    high, low = F.substring(address, 1, _HALF), F.substring(address, _HALF + 1, _HALF)
+    return F.when(low != _MOST, F.concat(high, _half_moved(low, 1))).when(high != _MOST, F.concat(_half_moved(high, 1), F.lit(_LEAST))).otherwise("g")
+
+
+def v6_before(address: Column) -> Column:
+    """The address before; null before the first one."""
+    high, low = F.substring(address, 1, _HALF), F.substring(address, _HALF + 1, _HALF)
+    return F.when(address == "g", _MOST * 2).when(low != _LEAST, F.concat(high, _half_moved(low, -1))).when(high != _LEAST, F.concat(_half_moved(high, -1), F.lit(_MOST)))
 
 
 def slash_allowed(type_: Column) -> Column:

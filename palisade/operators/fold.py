@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..plans.scratch import written
 from . import compile as C
 
 
@@ -41,25 +42,35 @@ def next_generation(feed_state: DataFrame, feed: str) -> int:
     return (row[0] or 0) + 1
 
 
-def fold(state: State, pages: list[DataFrame], feed: str, now: int, snapshot: bool = False, ttl_days: int = 0, generation: int = 0, cursor: int | None = None, layer: str = "cti") -> State:
-    """The state after a pull. Each page is merged, then its withdrawals apply; a generation that is not newer changes nothing."""
+def fold(state: State, pages: list[DataFrame] | DataFrame, feed: str, now: int, snapshot: bool = False, ttl_days: int = 0, generation: int = 0, cursor: int | None = None, layer: str = "cti", stream: str | None = None, batch: int | None = None) -> State:
+    """The state after a pull. In each page adds are merged, then its withdrawals apply, so a later page may add again what an earlier
+    one withdrew; a generation that is not newer changes nothing, nor does a batch that its stream has already folded.
+
+    pages: contributions page by page, or all at once with a column page in whose order they apply. All pages take one pass: what is
+    known before stays if no page withdraws it, and an add stays if no page from its own on does.
+    """
+    own = state.feed_state.filter(F.lower("feed") == feed.lower())
     stored = next_generation(state.feed_state, feed) - 1
-    if generation > 0 and generation <= stored:
+    again = stream is not None and bool(own.filter((F.col("stream") == stream) & (F.col("batch") >= batch)).head(1))
+    if again or 0 < generation <= stored:
         return State(state.indicators, state.public_feeds, state.feed_state, applied=False)
     if snapshot:
         state = State(evict_feed(state.indicators, feed), state.public_feeds, state.feed_state)
     if ttl_days > 0:
         state = evict_expired(state, feed, ttl_days, now)
-    indicators, public = state.indicators, state.public_feeds
-    for page in pages:
-        rows = C.with_identity(page.withColumn("layer", F.lit(layer)).filter("value is not null and value <> ''"))
-        adds = C.by_layer(rows.filter("action is null or action <> '-'"))
-        old = indicators.withColumn("src_ord", F.lit(-1).cast("long")).withColumn("row_ord", F.lit(-1).cast("long"))
-        indicators = C.withdraw(C.merge(C.one_spelling(old.unionByName(adds)) if layer == "cti" else old.unionByName(adds)), rows.filter("action = '-'"))
-        public = C.public_feeds(page.withColumn("layer", F.lit(layer)), public)
+    if isinstance(pages, list):
+        pages = C.all_of([p.withColumn("page", F.lit(k).cast("long")) for k, p in enumerate(pages)])
+    rows = C.identified(pages.withColumn("layer", F.lit(layer)))
+    gone = rows.filter("action = '-'").groupBy("key").agg(F.max("page").alias("gone"))
+    kept = rows.filter("action is null or action <> '-'").join(gone, "key", "left").filter("gone is null or page > gone")
+    adds = C.by_layer(kept)
+    old = C.withdraw(state.indicators, gone)
+    both = written(C.before_all(old).unionByName(C.one_spelling(adds, state.indicators) if layer == "cti" else adds), "folded")
+    indicators = written(C.merge(both), "indicators")
+    public = C.public_feeds(pages.withColumn("layer", F.lit(layer)), state.public_feeds)
     spark = indicators.sparkSession
-    own = spark.createDataFrame([(feed, generation or stored + 1, now, cursor)], S.FEED_STATE)
-    return State(indicators, public, state.feed_state.filter(F.lower("feed") != feed.lower()).unionByName(own))
+    mine = spark.createDataFrame([(feed, generation or stored + 1, now, cursor, stream, batch)], S.FEED_STATE)
+    return State(indicators, public, state.feed_state.filter(F.lower("feed") != feed.lower()).unionByName(mine))
 
 
 def build_prevalence(sightings: DataFrame, value: str, edge: str, source: str) -> DataFrame:
@@ -67,6 +78,17 @@ def build_prevalence(sightings: DataFrame, value: str, edge: str, source: str) -
     return sightings.groupBy(F.col(value).alias("value")).agg(F.count("*").alias("fleet_count"), F.countDistinct(edge).cast("int").alias("edge_count"), F.countDistinct(source).cast("int").alias("source_count"))
 
 
+def prevalence_facts(sightings: DataFrame, edge: str, epoch: int) -> DataFrame:
+    """One row: how many edges report at all, and when that was taken."""
+    return sightings.agg(F.countDistinct(edge).cast("int").alias("reporting_edges"), F.lit(epoch).cast("bigint").alias("epoch"))
+
+
+def reporting_edges(prevalence: DataFrame, facts: DataFrame) -> int:
+    """The edges that report; 0 when that is unknown or the table is cold."""
+    warm = (prevalence.agg(F.max("fleet_count")).first()[0] or 0) > 0
+    return (facts.agg(F.max("reporting_edges")).first()[0] or 0) if warm else 0
+
+
 def prevalence_of(values: DataFrame, value_col: str, prevalence: DataFrame) -> DataFrame:
     """values with their counts: 0 where absent, null where the table is cold (counts nothing)."""
     warm = (prevalence.agg(F.max("fleet_count")).first()[0] or 0) > 0

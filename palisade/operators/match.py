@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -58,11 +58,34 @@ def match_v6(observed: DataFrame, indicators: DataFrame) -> DataFrame:
     return _by_prefix(observed, indicators, 6, "ip6", "ip6_start", A.v6_masked)
 
 
+def _in_ranges(points: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(value, record) of the points (value, bucket, part, pos) that lie in disjoint ranges (bucket, part, ip_start, ip_end, record).
+
+    Each point finds the last range that begins at or before it: in its part of its bucket by a window, else the last one of the
+    parts before. A point stays one row, and no range is repeated; a window holds a part, or one row for each part of a bucket.
+    """
+    last = lambda w: F.last("at", ignorenulls=True).over(w)
+    begins = ranges.select("bucket", "part", F.col("ip_start").alias("pos"), F.lit(None).cast("string").alias("value"), F.struct("ip_start", "ip_end").alias("at"))
+    asked = points.select("bucket", "part", "pos", "value", F.lit(None).cast(begins.schema["at"].dataType).alias("at"))
+    w = Window.partitionBy("bucket", "part").orderBy("pos", F.col("value").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    own = begins.unionByName(asked).withColumn("at", last(w)).filter("value is not null")
+    ends = ranges.groupBy("bucket", "part").agg(F.max(F.struct("ip_start", "ip_end")).alias("at"))
+    parts = ends.unionByName(points.select("bucket", "part", F.lit(None).cast(begins.schema["at"].dataType).alias("at")).distinct()).groupBy("bucket", "part").agg(F.max("at").alias("at"))
+    earlier = parts.select("bucket", "part", last(Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    found = own.join(earlier, ["bucket", "part"]).withColumn("at", F.coalesce("at", "earlier")).filter("pos <= at.ip_end")
+    return found.select("value", F.col("at.ip_start").alias("ip_start")).join(ranges, "ip_start").select("value", *S.RECORD_COLUMNS)
+
+
 def match_v4_ranges(observed: DataFrame, ranges4: DataFrame) -> DataFrame:
-    """The same by disjoint ranges: equal /16 buckets, then at most one range holds the address."""
-    cut = ranges4.drop("bucket").withColumn("b", F.explode(F.sequence(F.shiftright("ip_start", 16), F.shiftright("ip_end", 16))))
-    points = observed.filter("kind = 4 and bad = 0").select("value", "ip4", F.shiftright("ip4", 16).alias("b"))
-    return points.join(cut, "b").filter("ip4 between ip_start and ip_end").select("value", *S.RECORD_COLUMNS)
+    """The same by disjoint ranges, as flatten_v4() gives and versions hold."""
+    points = observed.filter("kind = 4 and bad = 0").select("value", F.col("ip4").alias("pos"), F.shiftright("ip4", 24).alias("bucket"), F.shiftright("ip4", 16).alias("part"))
+    return _in_ranges(points, ranges4.withColumn("part", F.shiftright("ip_start", 16)))
+
+
+def match_v6_ranges(observed: DataFrame, ranges6: DataFrame) -> DataFrame:
+    """As match_v4_ranges() for IPv6."""
+    points = observed.filter("kind = 6 and bad = 0").select("value", F.col("ip6").alias("pos"), F.substring("ip6", 1, 8).alias("bucket"), F.substring("ip6", 1, 12).alias("part"))
+    return _in_ranges(points, ranges6.withColumn("part", F.substring("ip_start", 1, 12)))
 
 
 def _bits(flag: Column, bit: int) -> Column:
@@ -100,10 +123,11 @@ def empty(spark, ddl: str) -> DataFrame:
     return spark.createDataFrame([], ddl)
 
 
-def lookup(df: DataFrame, value_col: str, indicators: DataFrame | None, public: DataFrame | None = None, overlay: DataFrame | None = None, skip_private: bool = False) -> DataFrame:
+def lookup(df: DataFrame, value_col: str, indicators: DataFrame | None, public: DataFrame | None = None, overlay: DataFrame | None = None, skip_private: bool = False, ranges: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """df with the result columns of each value. Distinct values are matched once; values under a full whitelist skip the database.
 
-    public: (feed), the feeds that may be named; a missing indicators or overlay simply never matches.
+    public: (feed), the feeds that may be named; a missing indicators or overlay simply never matches. ranges: the disjoint IPv4 and
+    IPv6 ranges of the indicators, as versions hold them; without them addresses are matched by prefix expansion.
     """
     spark = df.sparkSession
     indicators = empty(spark, S.INDICATORS) if indicators is None else indicators
@@ -112,13 +136,30 @@ def lookup(df: DataFrame, value_col: str, indicators: DataFrame | None, public:
     entry = overlay.select("value", F.struct("action", "suppress_full", "confidence", "type_mask", "category_mask", "tags").alias("o"))
     seen = written(classify(df.select(F.col(value_col).alias("value")).distinct()).join(entry, "value", "left"), "observed")
     probe = seen.filter("o is null or o.action <> '-' or not o.suppress_full")
-    found = written(match_strings(probe, indicators).unionByName(match_v4(probe, indicators)).unionByName(match_v6(probe, indicators)), "found")
+    four, six = (match_v4_ranges(probe, ranges[0]), match_v6_ranges(probe, ranges[1])) if ranges else (match_v4(probe, indicators), match_v6(probe, indicators))
+    found = written(match_strings(probe, indicators).unionByName(four).unionByName(six), "found")
     named = found.select("value", F.explode("feeds").alias("f")).join(public.select(F.lower("feed").alias("low")).distinct(), F.lower("f") == F.col("low"), "left_semi").groupBy("value").agg(F.array_sort(F.collect_set("f")).alias("public"))
     record = found.select("value", F.struct(*S.RECORD_COLUMNS).alias("m")).join(named, "value", "left")
     result = resolve(seen.join(record, "value", "left"), skip_private).withColumnRenamed("value", "__value")
     return df.join(result, F.col(value_col).eqNullSafe(F.col("__value"))).drop("__value")
 
 
+def overlay_only(values: DataFrame, value_col: str, overlay: DataFrame) -> DataFrame:
+    """(value, line): what the overlay alone says of each value."""
+    own = overlay.select(F.col("value").alias("__value"), "action", "suppress_full", "confidence")
+    mode = F.when(F.col("action") != "-", 0).when(F.col("suppress_full"), 1).otherwise(2)
+    name = F.when(F.col("action") == "-", "whitelist").when(F.col("action") == "T", "tag").otherwise("add")
+    hit = F.concat_ws("  ", F.lit("HIT"), F.concat(F.lit("ioc="), F.col(value_col)), F.concat(F.lit("action="), name), F.concat(F.lit("suppress="), mode), F.concat(F.lit("confidence="), "confidence"))
+    line = F.when(F.col("action").isNull(), F.concat(F.lit("MISS  ioc="), F.col(value_col))).otherwise(hit)
+    return values.join(own, F.col(value_col) == F.col("__value"), "left").select(F.col(value_col).alias("value"), line.alias("line"))
+
+
+def prevalence_report(rows: DataFrame, value_col: str) -> DataFrame:
+    """(value, line) of what prevalence_of() gives."""
+    line = F.concat_ws("  ", F.concat(F.lit("key="), F.col(value_col)), F.concat(F.lit("count="), F.coalesce("fleet_count", F.lit(0))), F.concat(F.lit("collectors="), F.coalesce("edge_count", F.lit(0))), F.concat(F.lit("sources="), F.coalesce("source_count", F.lit(0))), F.when(F.coalesce("fleet_count", F.lit(0)) == 0, "(absent = rare)"))
+    return rows.select(F.col(value_col).alias("value"), line.alias("line"))
+
+
 def fold_events(results: DataFrame, event_col: str) -> DataFrame:
     """One row for each event: any match, any whitelist, the highest confidence that counts, unions of masks and feeds."""
     t = F.col("type_mask")

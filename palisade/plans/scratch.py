@@ -5,19 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df written under spark.checkpoint.dir (in local mode without it: a temporary folder) and read again."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path of its own under spark.checkpoint.dir, or in local mode without it under a temporary folder."""
     base, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not base:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = _own.setdefault(context.applicationId, tempfile.mkdtemp(prefix="palisade-"))
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        if context.applicationId not in _own:
+            _own[context.applicationId] = tempfile.mkdtemp(prefix="palisade-")
+        base = _own[context.applicationId]
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df written into the shared folder and read again."""
+    path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

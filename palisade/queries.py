@@ -14,7 +14,8 @@ from .functions import text as X
 from .operators import compile as C
 from .operators import fold as FO
 from .operators import match as M
-from .plans.scratch import written
+from .plans.scratch import new_folder, written
+from .plans.store import Snapshot, Store
 from .sources import feeds, pull, stix
 
 #: Unix seconds that folds are judged by.
@@ -42,7 +43,7 @@ def part_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _contrib(p, row_ord=k, value=value, type=F.when(k % 5 == 0, "domain").otherwise("ip"), confidence=k % 101, category_mask=F.expr("shiftleft(1, cast(p_partkey % 11 as int))"), feed=F.col("p_brand"), tlp_mask=F.expr("shiftleft(1, cast(p_partkey % 4 as int))"), labels=F.array(F.concat(F.lit("l"), (k % 7).cast("string"))), layer=layer)
 
 
-def _part_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+def part_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(C.compile_contributions(part_contributions(spark, sf_dir)), "indicators")
 
 
@@ -68,11 +69,11 @@ def _shown(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def merge_identity(spark, sf_dir):
-    return _shown(_part_indicators(spark, sf_dir), F.col("ip4_start").alias("s"), F.col("ip4_end").alias("e"), "str")
+    return _shown(part_indicators(spark, sf_dir), F.col("ip4_start").alias("s"), F.col("ip4_end").alias("e"), "str")
 
 
 def flatten_ranges(spark, sf_dir):
-    return C.flatten_v4(_part_indicators(spark, sf_dir)).select(F.col("ip_start").alias("s"), F.col("ip_end").alias("e"), "confidence", "confidence_r", "type_mask", "tlp_mask", "category_mask", F.array_join("feeds", ",").alias("feeds"))
+    return C.flatten_v4(part_indicators(spark, sf_dir)).select(F.col("ip_start").alias("s"), F.col("ip_end").alias("e"), "confidence", "confidence_r", "type_mask", "tlp_mask", "category_mask", F.array_join("feeds", ",").alias("feeds"))
 
 
 def observed(spark, sf_dir) -> DataFrame:
@@ -87,25 +88,33 @@ _OBS = """, obs AS (
 )"""
 
 
-def match_ipv4_range(spark, sf_dir):
-    seen = M.classify(observed(spark, sf_dir).select("value").distinct())
-    found = M.match_v4(seen, _part_indicators(spark, sf_dir)).join(seen.select("value", "ip4"), "value")
-    return found.select(F.col("ip4").alias("ip"), "confidence", "confidence_r", "type_mask", "tlp_mask", "category_mask", F.array_join("feeds", ",").alias("feeds"))
+def _seen(spark, sf_dir) -> DataFrame:
+    return written(M.classify(observed(spark, sf_dir).select("value").distinct()), "seen")
 
 
-def match_ipv4_disjoint(spark, sf_dir):
-    seen = M.classify(observed(spark, sf_dir).select("value").distinct())
-    ranges = C.flatten_v4(_part_indicators(spark, sf_dir))
-    return M.match_v4_ranges(seen, ranges).join(seen.select("value", "ip4"), "value").select(F.col("ip4").alias("ip"), "confidence", "confidence_r", "type_mask", "tlp_mask", "category_mask", F.array_join("feeds", ",").alias("feeds"))
+def _with_ip(found: DataFrame, seen: DataFrame) -> DataFrame:
+    return found.join(seen.select("value", "ip4"), "value").select(F.col("ip4").alias("ip"), "confidence", "confidence_r", "type_mask", "tlp_mask", "category_mask", F.array_join("feeds", ",").alias("feeds"))
+
+
+def match_ipv4_range(spark, sf_dir, indicators: DataFrame | None = None):
+    """By prefix expansion. indicators: as part_indicators() gives, if they are there already."""
+    seen = _seen(spark, sf_dir)
+    return _with_ip(M.match_v4(seen, part_indicators(spark, sf_dir) if indicators is None else indicators), seen)
+
+
+def match_ipv4_disjoint(spark, sf_dir, ranges: DataFrame | None = None):
+    """By disjoint ranges. ranges: as flatten_v4() gives, if they are there already."""
+    seen = _seen(spark, sf_dir)
+    ranges = written(C.flatten_v4(part_indicators(spark, sf_dir)), "ranges") if ranges is None else ranges
+    return _with_ip(M.match_v4_ranges(seen, ranges), seen)
 
 
 _MATCH4 = """SELECT ip, max(confidence) AS confidence, max(confidence_r) AS confidence_r, bit_or(type_mask) AS type_mask, bit_or(tlp_mask) AS tlp_mask, bit_or(category_mask) AS category_mask,
   array_to_string(list_sort(list_distinct(list_filter(flatten(list(string_split(feeds, ','))), lambda x: x <> ''))), ',') AS feeds FROM (SELECT DISTINCT ip FROM obs WHERE ip IS NOT NULL) o JOIN ind ON ip BETWEEN s AND e GROUP BY ip"""
 
 
-def match_strings(spark, sf_dir):
-    seen = M.classify(observed(spark, sf_dir).select("value").distinct())
-    return _shown(M.match_strings(seen, _part_indicators(spark, sf_dir)), "value")
+def match_strings(spark, sf_dir, indicators: DataFrame | None = None):
+    return _shown(M.match_strings(_seen(spark, sf_dir), part_indicators(spark, sf_dir) if indicators is None else indicators), "value")
 
 
 def _overlay(spark) -> DataFrame:
@@ -115,8 +124,18 @@ def _overlay(spark) -> DataFrame:
     return n.select(F.concat(F.lit("host"), k.cast("string"), F.lit(".example")).alias("value"), action.alias("action"), ((k % 3 == 0) & (k % 2 == 0)).alias("suppress_full"), (k + 40).cast("int").alias("confidence"), F.when(k % 3 == 1, 4).otherwise(1).cast("int").alias("type_mask"), F.lit(16).alias("category_mask"), F.array(F.concat(F.lit("o"), (k % 2).cast("string"))).alias("tags"))
 
 
-def _looked_up(spark, sf_dir, skip: bool) -> DataFrame:
-    return M.lookup(observed(spark, sf_dir), "value", _part_indicators(spark, sf_dir), C.public_feeds(part_contributions(spark, sf_dir)), _overlay(spark), skip)
+def _looked_up(spark, sf_dir, skip: bool, snapshot: Snapshot | None = None) -> DataFrame:
+    if snapshot is not None:
+        return snapshot.lookup(observed(spark, sf_dir), "value", skip)
+    return M.lookup(observed(spark, sf_dir), "value", part_indicators(spark, sf_dir), C.public_feeds(part_contributions(spark, sf_dir)), _overlay(spark), skip)
+
+
+def published(spark, sf_dir) -> Snapshot:
+    """The indicators of part_contributions() and the overlay as a version in a store of their own, opened and checked."""
+    store = Store(spark, new_folder(spark, "store"))
+    contrib = part_contributions(spark, sf_dir)
+    store.publish({"indicators": C.compile_contributions(contrib), "public_feeds": C.public_feeds(contrib), "overlay": _overlay(spark)})
+    return store.open(check=True)
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -124,8 +143,13 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.select("event_id", "status", "kind", "flags", "type_mask", "confidence", "confidence_r", "tlp_mask", "category_mask", j("feeds"), "ovl_type_mask", "ovl_confidence", "ovl_category_mask", j("tags"), j("labels"), j("overlay_tags"))
 
 
-def overlay_policy(spark, sf_dir):
-    return _flat(_looked_up(spark, sf_dir, False))
+def overlay_policy(spark, sf_dir, snapshot: Snapshot | None = None):
+    return _flat(_looked_up(spark, sf_dir, False, snapshot))
+
+
+def published_policy(spark, sf_dir):
+    """overlay_policy by a published version and its disjoint ranges."""
+    return overlay_policy(spark, sf_dir, published(spark, sf_dir))
 
 
 def skip_private(spark, sf_dir):
@@ -156,8 +180,8 @@ def _policy_sql(skip: str, tail: str = "SELECT * FROM final") -> str:
 ) {tail}"""
 
 
-def event_fold(spark, sf_dir):
-    return M.fold_events(_looked_up(spark, sf_dir, False), "user_id").withColumn("feeds", F.array_join("feeds", ","))
+def event_fold(spark, sf_dir, snapshot: Snapshot | None = None):
+    return M.fold_events(_looked_up(spark, sf_dir, False, snapshot), "user_id").withColumn("feeds", F.array_join("feeds", ","))
 
 
 _EVENT_TAIL = """SELECT user_id, bool_or(flags & 1 <> 0) AS match, bool_or(flags & 8 <> 0) AS whitelisted, max(greatest(CASE WHEN type_mask & 1 <> 0 THEN confidence ELSE 0 END, CASE WHEN type_mask & 2 <> 0 THEN confidence_r ELSE 0 END, ovl_confidence)) AS confidence,
@@ -168,13 +192,34 @@ def _v6(k) -> tuple:
     return F.format_string("2001:db8:%x::%x", k % 13, k % 50)
 
 
-def match_ipv6_range(spark, sf_dir):
-    """Networks of suppliers (/32, /48, /128) over addresses of customers."""
-    s, c = F.col("s_suppkey"), F.col("c_custkey")
+def six_indicators(spark, sf_dir) -> DataFrame:
+    """Networks of suppliers (/32, /48, /128)."""
+    s = F.col("s_suppkey")
     plen = F.when(s % 3 == 0, "32").when(s % 3 == 1, "48").otherwise("128")
     own = _contrib(_t(spark, sf_dir, "supplier"), row_ord=s, value=F.concat(_v6(s), F.lit("/"), plen), confidence=s % 101, feed=F.lit("six"))
-    seen = M.classify(_t(spark, sf_dir, "customer").select(F.format_string("2001:db8:%x::%x", c % 17, c % 70).alias("value")).distinct())
-    return M.match_v6(seen, C.compile_contributions(own)).join(seen.select("value", "ip6"), "value").select("ip6", "confidence", "type_mask")
+    return written(C.compile_contributions(own), "indicators")
+
+
+def _six_seen(spark, sf_dir) -> DataFrame:
+    c = F.col("c_custkey")
+    return written(M.classify(_t(spark, sf_dir, "customer").select(F.format_string("2001:db8:%x::%x", c % 17, c % 70).alias("value")).distinct()), "seen")
+
+
+def match_ipv6_range(spark, sf_dir, indicators: DataFrame | None = None):
+    """Networks of suppliers over addresses of customers, by prefix expansion."""
+    seen = _six_seen(spark, sf_dir)
+    return M.match_v6(seen, six_indicators(spark, sf_dir) if indicators is None else indicators).join(seen.select("value", "ip6"), "value").select("ip6", "confidence", "type_mask")
+
+
+def match_ipv6_disjoint(spark, sf_dir):
+    """The same by disjoint ranges."""
+    seen = _six_seen(spark, sf_dir)
+    ranges = written(C.flatten_v6(six_indicators(spark, sf_dir)), "ranges")
+    return M.match_v6_ranges(seen, ranges).join(seen.select("value", "ip6"), "value").select("ip6", "confidence", "type_mask")
+
+
+def flatten_ranges_v6(spark, sf_dir):
+    return C.flatten_v6(six_indicators(spark, sf_dir)).select(F.col("ip_start").alias("s"), F.col("ip_end").alias("e"), "confidence", "type_mask")
 
 
 _V6 = """WITH n AS (SELECT s_suppkey % 101 AS confidence, s_suppkey % 3 AS t, '20010db8' AS a, lpad(to_hex(s_suppkey % 13), 4, '0') AS b, lpad(to_hex(s_suppkey % 50), 20, '0') AS c FROM supplier),
@@ -251,7 +296,7 @@ def _event_contrib(spark, sf_dir, half: int, action=None) -> DataFrame:
 
 def _state(spark, sf_dir) -> FO.State:
     contrib = _event_contrib(spark, sf_dir, 0)
-    updated = spark.createDataFrame([("feed0", 3, NOW - 50 * 86400, None), ("feed1", 2, NOW - 86400, None)], S.FEED_STATE)
+    updated = spark.createDataFrame([("feed0", 3, NOW - 50 * 86400, None, None, None), ("feed1", 2, NOW - 86400, None, None, None)], S.FEED_STATE)
     return FO.State(written(C.compile_contributions(contrib), "indicators"), C.public_feeds(contrib), updated)
 
 
@@ -316,7 +361,7 @@ SELECT 's' || k || '.example' AS value, 'domain' AS type, action, confidence, 4
 
 def feed_stats(spark, sf_dir):
     contrib = part_contributions(spark, sf_dir)
-    return C.build_statistics(contrib, _part_indicators(spark, sf_dir))
+    return C.build_statistics(contrib, part_indicators(spark, sf_dir))
 
 
 _STATS = _PART + """ SELECT (SELECT count(*) FROM contrib) AS contributions, 0::BIGINT AS withdrawals, (SELECT count(DISTINCT lower(feed)) FROM contrib) AS feeds, count(s) AS networks_v4, 0::BIGINT AS networks_v6, count(str) AS strings,
@@ -328,11 +373,16 @@ def public_feed_set(spark, sf_dir):
 
 
 def window_slices(spark, sf_dir):
-    """Slices of the events' time range with at most a tenth of the events each; each probe is one aggregate."""
-    seconds = _t(spark, sf_dir, "events").select(F.unix_timestamp("ts").alias("s"))
-    lo, hi, n = seconds.agg(F.min("s"), F.max("s"), F.count("*")).first()
-    slices = list(pull.bisect(lo, hi, lambda a, b: seconds.filter(F.col("s").between(a, b)).count() > n // 4)) if n else []
-    return spark.createDataFrame(slices, "lo bigint, hi bigint")
+    """Slices of the events' time range with at most a quarter of the events each."""
+    seconds = written(_t(spark, sf_dir, "events").select(F.unix_timestamp("ts").alias("s")).filter("s is not null").groupBy("s").agg(F.count("*").alias("n")), "seconds")
+    lo, hi, n = seconds.agg(F.min("s"), F.max("s"), F.sum("n")).first()
+    return spark.createDataFrame(pull.bisect_counts(seconds, lo, hi, n // 4) if n else [], "lo bigint, hi bigint")
+
+
+_SLICES = """WITH RECURSIVE ev AS (SELECT CAST(floor(epoch(ts)) AS BIGINT) AS s, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1), total AS (SELECT min(s) AS lo, max(s) AS hi, CAST(sum(n) AS BIGINT) // 4 AS most FROM ev),
+ cuts(a, b) AS (SELECT lo, hi FROM total UNION ALL SELECT CASE k WHEN 0 THEN a ELSE a + (b - a) // 2 + 1 END, CASE k WHEN 0 THEN a + (b - a) // 2 ELSE b END
+   FROM (SELECT a, b, sum(n) AS n FROM cuts JOIN ev ON s BETWEEN a AND b GROUP BY a, b) x, total, (VALUES (0), (1)) t(k) WHERE b > a AND x.n > most)
+SELECT a AS lo, b AS hi FROM (SELECT a, b, coalesce(sum(n), 0) AS n FROM cuts LEFT JOIN ev ON s BETWEEN a AND b GROUP BY a, b) x, total WHERE NOT (b > a AND x.n > most)"""
 
 
 _FLATTEN = _PART + """, ev AS (SELECT s AS pos FROM ind WHERE s IS NOT NULL UNION SELECT e + 1 FROM ind WHERE s IS NOT NULL), cut AS (SELECT pos AS cs, lead(pos) OVER (ORDER BY pos) - 1 AS ce FROM ev),
@@ -340,6 +390,27 @@ _FLATTEN = _PART + """, ev AS (SELECT s AS pos FROM ind WHERE s IS NOT NULL UNIO
    list_sort(list_distinct(list_filter(flatten(list(string_split(tags, ','))), lambda x: x <> ''))) AS tags, list_sort(list_distinct(list_filter(flatten(list(string_split(labels, ','))), lambda x: x <> ''))) AS labels FROM cut JOIN ind ON s <= cs AND e >= ce WHERE ce IS NOT NULL GROUP BY cs, ce)
 """
 
+# Neighbours are one range if their records are equal, tags and labels in order of the networks' width and of first appearance.
+_RANGES = _PART + """, ls AS (SELECT s, e, label AS x, min(k) AS k FROM contrib WHERE s IS NOT NULL AND label IS NOT NULL GROUP BY ALL), ts AS (SELECT s, e, tag AS x, min(k) AS k FROM contrib WHERE s IS NOT NULL AND tag IS NOT NULL GROUP BY ALL),
+ lists AS (SELECT s, e, coalesce(l, []) AS l, coalesce(t, []) AS t FROM (SELECT s, e, list(x ORDER BY k) AS l FROM ls GROUP BY s, e) a FULL JOIN (SELECT s, e, list(x ORDER BY k) AS t FROM ts GROUP BY s, e) b USING (s, e)),
+ ev AS (SELECT s AS pos FROM ind WHERE s IS NOT NULL UNION SELECT e + 1 FROM ind WHERE s IS NOT NULL), cut AS (SELECT pos AS cs, lead(pos) OVER (ORDER BY pos) - 1 AS ce FROM ev),
+ cov AS (SELECT cs, ce, max(confidence) AS confidence, max(confidence_r) AS confidence_r, bit_or(type_mask) AS type_mask, bit_or(tlp_mask) AS tlp_mask, bit_or(category_mask) AS category_mask, array_to_string(list_sort(list_distinct(list_filter(flatten(list(string_split(feeds, ','))), lambda x: x <> ''))), ',') AS feeds,
+   flatten(list(coalesce(l, []) ORDER BY e - s DESC)) AS l, flatten(list(coalesce(t, []) ORDER BY e - s DESC)) AS t FROM cut JOIN ind ON s <= cs AND e >= ce LEFT JOIN lists USING (s, e) WHERE ce IS NOT NULL GROUP BY cs, ce),
+ rec AS (SELECT cs >> 24 AS b, cs, ce, {'c': confidence, 'r': confidence_r, 'm': type_mask, 'p': tlp_mask, 'g': category_mask, 'f': feeds, 'l': list_filter(l, lambda x, i: list_position(l, x) = i), 't': list_filter(t, lambda x, i: list_position(t, x) = i)} AS r FROM cov),
+ brk AS (SELECT *, CASE WHEN lag(ce) OVER w = cs - 1 AND lag(r) OVER w = r THEN 0 ELSE 1 END AS fresh FROM rec WINDOW w AS (PARTITION BY b ORDER BY cs)), isl AS (SELECT *, sum(fresh) OVER (PARTITION BY b ORDER BY cs) AS g FROM brk)
+SELECT min(cs) AS s, max(ce) AS e, CAST(any_value(r.c) AS INT) AS confidence, CAST(any_value(r.r) AS INT) AS confidence_r, CAST(any_value(r.m) AS INT) AS type_mask, CAST(any_value(r.p) AS INT) AS tlp_mask, CAST(any_value(r.g) AS INT) AS category_mask, any_value(r.f) AS feeds FROM isl GROUP BY b, g"""
+
+# The /32, /48 and /128 networks of suppliers under each other: a cut begins at a start or behind an end, in hexadecimal.
+_RANGES6 = _V6[: _V6.index(" o AS (")].rstrip(",\n ") + """, i AS (SELECT s, e, max(confidence) AS confidence FROM r GROUP BY s, e), low AS (SELECT s, e, confidence, length(rtrim(s, '0')) AS z FROM i),
+ nx AS (SELECT e, CASE WHEN right(e, 20) = repeat('f', 20) THEN CASE WHEN right(e, 24) = repeat('f', 24) THEN '20010db9' || repeat('0', 24) ELSE '20010db8' || lpad(lower(to_hex(CAST('0x' || substr(e, 9, 4) AS BIGINT) + 1)), 4, '0') || repeat('0', 20) END
+   ELSE left(e, 28) || lpad(lower(to_hex(CAST('0x' || right(e, 4) AS BIGINT) + 1)), 4, '0') END AS past FROM i),
+ ev AS (SELECT s AS pos FROM i UNION SELECT past FROM nx), cut AS (SELECT pos AS cs, lead(pos) OVER (ORDER BY pos) AS next FROM ev),
+ cov AS (SELECT cs, next, max(confidence) AS confidence FROM cut JOIN i ON s <= cs AND e >= cs WHERE next IS NOT NULL GROUP BY cs, next),
+ brk AS (SELECT *, CASE WHEN lag(next) OVER w = cs AND lag(confidence) OVER w = confidence THEN 0 ELSE 1 END AS fresh FROM cov WINDOW w AS (ORDER BY cs)), isl AS (SELECT *, sum(fresh) OVER (ORDER BY cs) AS g FROM brk),
+ done AS (SELECT min(cs) AS s, max(next) AS n, CAST(any_value(confidence) AS INT) AS confidence FROM isl GROUP BY g)
+SELECT s, CASE WHEN right(n, 24) = repeat('0', 24) THEN CASE WHEN n = '20010db9' || repeat('0', 24) THEN '20010db8' || repeat('f', 24) ELSE NULL END
+   WHEN right(n, 20) = repeat('0', 20) THEN '20010db8' || lpad(lower(to_hex(CAST('0x' || substr(n, 9, 4) AS BIGINT) - 1)), 4, '0') || repeat('f', 20) ELSE left(n, 28) || lpad(lower(to_hex(CAST('0x' || right(n, 4) AS BIGINT) - 1)), 4, '0') END AS e, confidence, 1 AS type_mask FROM done"""
+
 
 def covered_addresses(spark, sf_dir):
     """Addresses under each record of the disjoint ranges, which doesn't depend on where neighbours are joined."""
@@ -347,20 +418,24 @@ def covered_addresses(spark, sf_dir):
 
 
 QUERIES = (
-    extract_observables, page_hosts, normalize_ipv4, masks, merge_identity, flatten_ranges, covered_addresses, match_strings, match_ipv4_range, match_ipv4_disjoint, match_ipv6_range, overlay_policy, skip_private, event_fold, prevalence_build, prevalence_lookup, fold_withdraw, fold_snapshot, fold_ttl, fold_generation,
-    dictionary_json, misp_attributes, stix_patterns, feed_stats, public_feed_set, window_slices,
+    extract_observables, page_hosts, normalize_ipv4, masks, merge_identity, flatten_ranges, flatten_ranges_v6, covered_addresses, match_strings, match_ipv4_range, match_ipv4_disjoint, match_ipv6_range, match_ipv6_disjoint, overlay_policy, published_policy, skip_private, event_fold, prevalence_build, prevalence_lookup,
+    fold_withdraw, fold_snapshot, fold_ttl, fold_generation, dictionary_json, misp_attributes, stix_patterns, feed_stats, public_feed_set, window_slices,
 )
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in QUERIES}
+    from . import feed_queries
+
+    return {f.__name__: f for f in QUERIES} | feed_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    from . import feed_queries
+
+    return feed_queries.oracle_sql() | {
         "extract_observables": _EXTRACT, "page_hosts": "SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host, CASE WHEN contains(url, '@') THEN 'email' WHEN contains(url, '://') THEN 'url' ELSE 'domain' END AS type FROM pages", "normalize_ipv4": _NORMALIZE, "masks": _MASKS,
         "merge_identity": _PART + " SELECT * FROM ind", "covered_addresses": _FLATTEN + " SELECT confidence, confidence_r, type_mask, tlp_mask, category_mask, feeds, CAST(sum(ce - cs + 1) AS BIGINT) AS addresses FROM cov GROUP BY ALL",
-        "match_strings": _PART + _OBS + " SELECT DISTINCT str AS value, ind.* EXCLUDE (s, e, str) FROM obs JOIN ind ON host = str", "match_ipv4_range": _PART + _OBS + _MATCH4, "match_ipv4_disjoint": _PART + _OBS + _MATCH4, "match_ipv6_range": _V6,
+        "match_strings": _PART + _OBS + " SELECT DISTINCT str AS value, ind.* EXCLUDE (s, e, str) FROM obs JOIN ind ON host = str", "match_ipv4_range": _PART + _OBS + _MATCH4, "match_ipv4_disjoint": _PART + _OBS + _MATCH4, "match_ipv6_range": _V6, "match_ipv6_disjoint": _V6, "flatten_ranges": _RANGES, "flatten_ranges_v6": _RANGES6, "window_slices": _SLICES, "published_policy": _policy_sql("false"),
         "overlay_policy": _policy_sql("false"), "skip_private": _policy_sql("true"), "event_fold": _policy_sql("false", _EVENT_TAIL), "prevalence_build": _PREV, "prevalence_lookup": _PREV_LOOKUP,
         "fold_withdraw": _fold_sql("true", True, "user_id % 7 = 0"), "fold_snapshot": _fold_sql("f <> 'feed1'", True), "fold_ttl": _fold_sql("f <> 'feed0'", True), "fold_generation": _fold_sql("true", False),
         "dictionary_json": _DICT, "misp_attributes": _MISP, "stix_patterns": _STIX, "feed_stats": _STATS, "public_feed_set": "SELECT min(p_brand) AS feed FROM part WHERE p_partkey % 3 = 0 GROUP BY lower(p_brand)",

@@ -13,20 +13,21 @@ RECORD = "confidence int, confidence_r int, type_mask int, tlp_mask int, categor
 INDICATORS = f"{IDENTITY}, {RECORD}"
 OVERLAY_ROWS = "value string, action string, suppress_full boolean, confidence int, type_mask int, category_mask int, tags array<string>"
 PREVALENCE = "value string, fleet_count bigint, edge_count int, source_count int"
-FEED_STATE = "feed string, generation bigint, updated bigint, cursor bigint"
+PREVALENCE_FACTS = "reporting_edges int, epoch bigint"
+FEED_STATE = "feed string, generation bigint, updated bigint, cursor bigint, stream string, batch bigint"
 
 IDENTITY_COLUMNS = ["key", "kind", "plen", "ip4_start", "ip4_end", "ip6_start", "ip6_end", "str"]
 RECORD_COLUMNS = ["confidence", "confidence_r", "type_mask", "tlp_mask", "category_mask", "feeds", "tags", "labels"]
 
 
+# Error numbers.
+OK, ENOENT, EFORMAT, EVERSION, ECHECKSUM, ENOMEM, EIO = 0, -3, -4, -5, -6, -7, -8
+ERRORS = {OK: "ok", EINVAL: "invalid argument", ETOOLONG: "value too long", ENOENT: "no such file", EFORMAT: "bad format", EVERSION: "unsupported version", ECHECKSUM: "checksum mismatch", ENOMEM: "out of memory", EIO: "input or output error"}
+
+
 class EngineError(Exception):
     """An error with the number that callers of the engine know it by."""
 
     def __init__(self, code: int, message: str):
-        super().__init__(message)
+        super().__init__(f"{ERRORS[code]}: {message}")
         self.code = code
-
-
-# Error numbers.
-OK, ENOENT, EFORMAT, EVERSION, ECHECKSUM, ENOMEM, EIO = 0, -3, -4, -5, -6, -7, -8
-ERRORS = {OK: "ok", EINVAL: "invalid argument", ETOOLONG: "value too long", ENOENT: "no such file", EFORMAT: "bad format", EVERSION: "unsupported version", ECHECKSUM: "checksum mismatch", ENOMEM: "out of memory", EIO: "input or output error"}

@@ -1,4 +1,5 @@
-"""Feed files to contributions. Every reader keeps the rows' order: a file is read whole and its lines are numbered."""
+"""Feed files to contributions. Every reader keeps the rows' order: files of lines are read in splits, their lines numbered by where they
+lie; a file of one JSON document is read whole, and one of a document a line (.jsonl) in splits."""
 
 from __future__ import annotations
 
@@ -28,7 +29,7 @@ def stem(path: str, stix: bool = False) -> str:
 
 def format_of(path: str) -> str:
     """The reader of a file in a build, by its name."""
-    name = os.path.basename(path).lower()
+    name = os.path.basename(path).lower().replace(".jsonl", ".json")
     if ".tags.json" in name:
         return "tags_json"
     if ".stix.json" in name or name.endswith(".stix"):
@@ -43,7 +44,7 @@ def format_of(path: str) -> str:
 
 def fold_format_of(path: str) -> str:
     """The reader of a segment in a fold."""
-    name = os.path.basename(path).lower()
+    name = os.path.basename(path).lower().replace(".jsonl", ".json")
     if ".stix.json" in name or name.endswith(".stix"):
         return "stix"
     if ".misp.json" in name or name.endswith(".json"):
@@ -54,19 +55,42 @@ def fold_format_of(path: str) -> str:
 
 
 def whole(spark: SparkSession, path: str) -> DataFrame:
+    """(value): the file as one document; of a .jsonl file (row, value): each line."""
+    if path.lower().endswith(".jsonl"):
+        return lines(spark, path).filter("trim(line) <> ''").select(F.col("row_ord").alias("row"), F.col("line").alias("value"))
     return spark.read.text(path, wholetext=True)
 
 
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(row_ord, line) of a file, read in splits: the number is the place of the split and of the line within its task."""
+    rows = spark.read.text(path)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.select(F.shiftleft(F.shiftright(F.col("_metadata.file_block_start"), 16), 33).bitwiseOR(at).alias("row_ord"), F.col("value").alias("line"))
+
+
 def lines_of(files: DataFrame) -> DataFrame:
-    """(row_ord, line) of a file read whole."""
+    """(row_ord, line) of a file read whole, or of lines()."""
+    if "line" in files.columns:
+        return files
     return files.select(F.posexplode(F.split("value", "\r?\n")).alias("row_ord", "line")).select(F.col("row_ord").cast("long").alias("row_ord"), "line")
 
 
+def _carried(files: DataFrame) -> list[str]:
+    """What documents may say about themselves: their place, and the page of a pull that they came on."""
+    return [c for c in ("page", "row") if c in files.columns]
+
+
+def _numbered(files: DataFrame, n: Column) -> Column:
+    """The order of a document's n-th entry."""
+    return n.cast("long") + (F.col("row") if "row" in files.columns else F.lit(0).cast("long"))
+
+
 def contributions(rows: DataFrame, src_ord: int, layer: str, **columns: Column) -> DataFrame:
     defaults = {"src_ord": F.lit(src_ord).cast("long"), "row_ord": F.col("row_ord"), "action": F.lit("+"), "confidence": F.lit(50), "category_mask": F.lit(0), "tlp_mask": F.lit(S.CLEAR), "labels": F.array().cast(NO_LABELS), "layer": F.lit(layer)}
     made = defaults | columns
     kinds = dict(x.split() for x in S.CONTRIB.split(", "))
-    return rows.select(*(made[c].cast(t).alias(c) for c, t in kinds.items())).filter("value is not null and value <> ''")
+    page = [F.col("page").cast("long").alias("page")] if "page" in rows.columns else []
+    return rows.select(*(made[c].cast(t).alias(c) for c, t in kinds.items()), *page).filter("value is not null and value <> ''")
 
 
 def _or(c: Column, default) -> Column:
@@ -123,7 +147,7 @@ def read_list(files: DataFrame, feed: str, layer: str = "cti", src_ord: int = 0)
 def read_tags(files: DataFrame, feed: str, layer: str = "tags", src_ord: int = 0) -> DataFrame:
     """value,tag,tag...; a row without a tag is dropped."""
     rows = lines_of(files).filter(~F.col("line").rlike(r"^\s*(?:#|$)")).withColumn("t", X.tokens(F.col("line"))).filter("size(t) >= 2")
-    return contributions(rows, src_ord, layer, value=F.get("t", F.lit(0)), type=F.lit("auto"), confidence=F.lit(100), labels=F.array_distinct(F.slice("t", 2, 4096)), feed=F.lit(feed))
+    return contributions(rows, src_ord, layer, value=F.get("t", F.lit(0)), type=F.lit("auto"), confidence=F.lit(100), labels=F.array_distinct(F.slice("t", F.lit(2), F.size("t"))), feed=F.lit(feed))
 
 
 def read_tags_json(files: DataFrame, feed: str, layer: str = "tags", src_ord: int = 0) -> DataFrame:
@@ -155,9 +179,10 @@ def read_lookup(files: DataFrame, feed: str, layer: str = "cti", src_ord: int =
 
 
 def misp_attributes(files: DataFrame) -> DataFrame:
-    """(row_ord, a, info, level, etags) of every attribute of an event export or an attribute search."""
+    """(row_ord, a, info, level, etags) of every attribute of an event export or an attribute search, with the page of files that have one."""
     kind = f"Event {EVENT}, Attribute array<{ATTRIBUTE}>, response string"
-    doc = files.select(F.from_json("value", kind).alias("d"))
+    carried = _carried(files)
+    doc = files.select(*carried, F.from_json("value", kind).alias("d"))
     doc = doc.withColumn("search", F.from_json("d.response", f"struct<Attribute:array<{ATTRIBUTE}>>")).withColumn("events", F.from_json("d.response", f"array<struct<Event:{EVENT}>>"))
     none = F.array().cast(f"array<{ATTRIBUTE}>")
     no_tags = F.array().cast("array<struct<name:string>>")
@@ -170,7 +195,7 @@ def misp_attributes(files: DataFrame) -> DataFrame:
     single = F.filter(F.array(F.struct(F.col("d.Event").alias("Event"))), lambda x: x["Event"].isNotNull())
     listed = F.when(F.size(single) > 0, single).otherwise(F.coalesce("events", F.array().cast(f"array<struct<Event:{EVENT}>>")))
     every = F.concat(searched, F.flatten(F.transform(F.filter(listed, lambda x: x["Event"].isNotNull()), lambda x: of_event(x["Event"]))))
-    return doc.select(F.posexplode(every).alias("n", "x")).select(F.col("n").cast("long").alias("row_ord"), "x.*")
+    return doc.select(*carried, F.posexplode(every).alias("n", "x")).select(*(c for c in carried if c == "page"), _numbered(files, F.col("n")).alias("row_ord"), "x.*")
 
 
 def read_misp(files: DataFrame, feed: str, layer: str = "cti", src_ord: int = 0, delta: bool = False) -> DataFrame:
@@ -206,12 +231,14 @@ OVERLAY_ACTIONS = {"WHITELIST": "-", "whitelist": "-", "-": "-", "suppress": "-"
 
 
 def read_overlay(files: DataFrame) -> DataFrame:
-    """Overlay rows; a missing or repeated value, one over 4096 bytes, or no entries or more than 65536 refuse the whole file."""
-    entry = "struct<ioc:string,ioc_value:string,action:string,confidence:int,category:string,suppress_mode:string,tags:array<string>>"
-    rows = files.select(F.posexplode(F.from_json("value", f"tenant_id int, entries array<{entry}>")["entries"]).alias("n", "e")).withColumn("value", F.coalesce("e.ioc", "e.ioc_value"))
-    seen = rows.agg(F.count("*").alias("n"), F.countDistinct("value").alias("d"), F.count_if(F.col("value").isNull() | (F.col("value") == "")).alias("missing"), F.max(F.octet_length("value")).alias("longest")).first()
-    if not 0 < seen["n"] <= 65536 or seen["missing"] or seen["d"] != seen["n"] or (seen["longest"] or 0) > 4096:
-        raise S.EngineError(S.EFORMAT, f"overlay refused: {seen['n']} entries, {seen['d']} values, {seen['missing']} without one, longest {seen['longest']}")
+    """Overlay rows. A missing or repeated value, one over 4096 bytes, a tag that is no string, no entries or more than 65536, or a file
+    over 8 MiB refuse the whole file."""
+    entry = "struct<ioc:string,ioc_value:string,action:string,confidence:int,category:string,suppress_mode:string,tags:string>"
+    rows = files.select(F.octet_length("value").alias("size"), F.posexplode(F.from_json("value", f"tenant_id int, entries array<{entry}>")["entries"]).alias("n", "e")).withColumn("value", F.coalesce("e.ioc", "e.ioc_value"))
+    strings = F.coalesce(F.schema_of_variant(F.try_parse_json("e.tags")).isin("ARRAY<STRING>", "ARRAY<VOID>", "VOID"), F.col("e.tags").isNull())
+    seen = rows.agg(F.count("*").alias("n"), F.countDistinct("value").alias("d"), F.count_if(F.col("value").isNull() | (F.col("value") == "")).alias("missing"), F.max(F.octet_length("value")).alias("longest"), F.count_if(~strings).alias("tags"), F.max("size").alias("size")).first()
+    if not 0 < seen["n"] <= 65536 or seen["missing"] or seen["d"] != seen["n"] or (seen["longest"] or 0) > 4096 or seen["tags"] or seen["size"] > 8 << 20:
+        raise S.EngineError(S.EFORMAT, f"overlay refused: {seen['n']} entries, {seen['d']} values, {seen['missing']} without one, longest {seen['longest']}, {seen['tags']} with tags that are no strings, {seen['size']} bytes")
     actions = F.create_map(*(F.lit(x) for pair in OVERLAY_ACTIONS.items() for x in pair))
     action = F.coalesce(F.try_element_at(actions, F.coalesce("e.action", F.lit("add"))), F.lit("+"))
     category = F.lower("e.category")
@@ -222,5 +249,5 @@ def read_overlay(files: DataFrame) -> DataFrame:
     full = F.when(action != "-", False).when(F.col("e.suppress_mode").isNull() | (F.col("e.suppress_mode") == "full"), True).otherwise(False)
     return rows.select(
         "value", action.alias("action"), full.alias("suppress_full"), F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce("e.confidence", default))).cast("int").alias("confidence"), F.when(action == "T", S.TAGS).otherwise(S.CTI).cast("int").alias("type_mask"),
-        F.when(action == "+", F.coalesce(mask, F.lit(S.CATEGORIES["C2"]))).otherwise(F.coalesce(mask, F.lit(0))).cast("int").alias("category_mask"), F.coalesce("e.tags", F.array().cast(NO_LABELS)).alias("tags"),
+        F.when(action == "+", F.coalesce(mask, F.lit(S.CATEGORIES["C2"]))).otherwise(F.coalesce(mask, F.lit(0))).cast("int").alias("category_mask"), F.coalesce(F.from_json("e.tags", NO_LABELS), F.array().cast(NO_LABELS)).alias("tags"),
     )

@@ -9,6 +9,8 @@ import time
 import urllib.request
 from collections.abc import Callable, Iterator
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schema as S
@@ -44,6 +46,21 @@ def bisect(lo: int, hi: int, over: Callable[[int, int], bool]) -> Iterator[tuple
             yield a, b
 
 
+def bisect_counts(stamps: DataFrame, lo: int, hi: int, most: int) -> list[tuple[int, int]]:
+    """The slices of bisect() with at most so many rows each, for a table (s: Unix seconds, n: rows). One job for each level of halving counts all open slices."""
+    todo, done = [(lo, hi)], []
+    while todo:
+        begins = F.array(*(F.lit(a).cast("bigint") for a, _ in todo))
+        ends = F.array(*(F.lit(b).cast("bigint") for _, b in todo))
+        at = F.size(F.filter(begins, lambda x: x <= F.col("s"))) - 1
+        counted = stamps.withColumn("at", at).filter((F.col("at") >= 0) & (F.col("s") <= F.get(ends, F.col("at")))).groupBy("at").agg(F.sum("n").alias("n")).collect()
+        n = {r["at"]: r["n"] for r in counted}
+        over = [b > a and n.get(k, 0) > most for k, (a, b) in enumerate(todo)]
+        done += [x for x, o in zip(todo, over, strict=True) if not o]
+        todo = [x for (a, b), o in zip(todo, over, strict=True) if o for x in ((a, a + (b - a) // 2), (a + (b - a) // 2 + 1, b))]
+    return sorted(done)
+
+
 def post(url: str, key: str, body: dict) -> list[dict]:
     request = urllib.request.Request(url.rstrip("/") + "/attributes/restSearch", json.dumps(body).encode(), {"Authorization": key, "Content-Type": "application/json", "Accept": "application/json"})
     with urllib.request.urlopen(request, timeout=120) as answer:
@@ -51,14 +68,23 @@ def post(url: str, key: str, body: dict) -> list[dict]:
     return (found.get("response") or found).get("Attribute") or []
 
 
-def download(url: str, dest: str) -> None:
-    """A GET to a new name, then a rename."""
-    with urllib.request.urlopen(url, timeout=120) as answer, open(dest + ".new", "wb") as f:
+def download(url: str, dest: str, key: str | None = None, body: dict | None = None) -> None:
+    """A GET, or a POST of a body, to a new name, then a rename."""
+    headers = {"Content-Type": "application/json", "Accept": "application/json"} if body is not None else {}
+    request = urllib.request.Request(url, None if body is None else json.dumps(body).encode(), headers | ({"Authorization": key} if key else {}))
+    with urllib.request.urlopen(request, timeout=120) as answer, open(dest + ".new", "wb") as f:
         while part := answer.read(1 << 20):
             f.write(part)
     os.replace(dest + ".new", dest)
 
 
+def download_misp(feed: dict) -> None:
+    """One page of a MISP search over the feed's window into its file."""
+    if not all(feed.get(k) for k in ("url", "key", "dest")):
+        raise S.EngineError(S.EINVAL, "a misp feed needs url, key and dest")
+    download(feed["url"].rstrip("/") + "/attributes/restSearch", feed["dest"], feed["key"], {"returnFormat": "json", "last": feed.get("since", "7d"), "to_ids": 1, "limit": 10_000})
+
+
 class _Slice(InputPartition):
     def __init__(self, lo: int, hi: int):
         self.lo, self.hi = lo, hi
@@ -80,24 +106,27 @@ class MispReader(DataSourceReader):
         return [_Slice(a, b) for a, b in bisect(self.lo, self.hi, over)]
 
     def read(self, partition) -> Iterator[tuple]:
+        number = 0
         for page in range(1, MAX_PAGES + 1):
             rows = post(self.url, self.key, self._body(partition.lo, partition.hi, self.page_size, page))
             for row in rows:
-                stamp = str(row.get("timestamp") or "0")
-                yield partition.lo, int(stamp) if stamp.isdigit() else 0, json.dumps({"Attribute": [row]})
+                stamp = row.get("timestamp")
+                yield partition.lo, number, None if stamp is None else str(stamp), json.dumps({"Attribute": [row]})
+                number += 1
             if len(rows) < self.page_size:
                 return
+        raise S.EngineError(S.EIO, f"the slice from {partition.lo} to {partition.hi} has more than {MAX_PAGES} pages")
 
 
 class MispSource(DataSource):
-    """spark.read.format("misp_pull"): one row for each attribute, as a document that read_misp() takes."""
+    """spark.read.format("misp_pull"): one row for each attribute, as a document that read_misp() takes, with its slice and its number there."""
 
     @classmethod
     def name(cls) -> str:
         return "misp_pull"
 
     def schema(self) -> str:
-        return "slice bigint, timestamp bigint, value string"
+        return "slice bigint, row bigint, timestamp string, value string"
 
     def reader(self, schema) -> MispReader:
         return MispReader(self.options)

@@ -26,7 +26,6 @@ PATHS = {
 }
 HASHES = {"md5": "md5", "sha-1": "sha1", "sha1": "sha1", "sha-256": "sha256", "sha256": "sha256", "sha-512": "sha512", "sha512": "sha512", "ssdeep": "ssdeep"}
 OBSERVABLES = ("ipv4-addr", "ipv6-addr", "domain-name", "url", "email-addr", "mac-addr", "mutex", "windows-registry-key", "autonomous-system", "user-account", "directory", "file", "artifact", "x509-certificate")
-DEEPEST, LONGEST = 32, 8 << 20
 
 _LEXER = re.compile(r"""\s*(?:(?P<text>'(?:\\.|[^'\\])*'?)|(?P<hex>[hH]'[^']*'?)|(?P<op>!=|<=|>=|==?|[<>])|(?P<punct>[\[\](),])|(?P<number>-?[0-9]+(?![\w:-]))|(?P<word>[^\s\[\]()=!<>,]+))""", re.S)
 _ESCAPED = re.compile(r"\\(u[0-9a-fA-F]{4}|.)", re.S)
@@ -72,12 +71,12 @@ def _lex(pattern: str) -> Iterator[tuple[str, str]]:
 
 def pattern_values(pattern: str | None) -> list[tuple[str, str]]:
     """(type, value) of each literal that a pattern compares for equality with an indexable path, on whichever side of AND or OR."""
-    if not pattern or len(pattern) > LONGEST:
+    if not pattern:
         return []
     items = list(_lex(pattern))
     if any(kind == "word" and text == "FOLLOWEDBY" for kind, text in items):
         return []
-    out, depth, path, k = [], 0, None, 0
+    out, path, k = [], None, 0
 
     def add(kind, text):
         of = path_type(path) if path else None
@@ -88,11 +87,7 @@ def pattern_values(pattern: str | None) -> list[tuple[str, str]]:
     while k < len(items):
         kind, text = items[k]
         after = items[k + 1] if k + 1 < len(items) else ("", "")
-        if kind == "punct":
-            depth += {"[": 1, "(": 1, "]": -1, ")": -1}.get(text, 0)
-            if depth > DEEPEST:
-                break
-        elif kind == "word" and text == "IN" and path and after == ("punct", "("):
+        if kind == "word" and text == "IN" and path and after == ("punct", "("):
             k += 2
             while k < len(items) and items[k] != ("punct", ")"):
                 if items[k][0] in ("text", "hex", "number"):
@@ -137,20 +132,21 @@ def objects_of(files: DataFrame) -> DataFrame:
     listed = F.from_json(text, f"array<{OBJECT}>")
     single = F.from_json(text, OBJECT)
     is_list = F.ltrim(text).startswith("[")
-    rows = files.select(bundle.alias("b"), F.when(is_list, listed).alias("l"), F.when(~is_list, single).alias("s"))
+    carried = feeds._carried(files)
+    rows = files.select(*carried, bundle.alias("b"), F.when(is_list, listed).alias("l"), F.when(~is_list, single).alias("s"))
     rows = rows.filter("b.spec_version is null or b.type is distinct from 'bundle' or b.spec_version in ('2.0', '2.1')")
     every = F.coalesce("l", F.when(F.col("b.type") == "bundle", F.coalesce("b.objects", F.array().cast(f"array<{OBJECT}>"))), F.array("s"))
-    rows = rows.select(every.alias("os"))
+    rows = rows.select(*carried, every.alias("os"))
     marks = F.filter("os", lambda o: (o["type"] == "marking-definition") & o["id"].isNotNull())
     named = F.transform(marks, lambda o: F.struct(o["id"].alias("id"), F.coalesce(o["definition"]["tlp"], F.get(F.filter(F.transform(F.map_values(F.coalesce(o["extensions"], F.create_map().cast("map<string,struct<tlp_2_0:string>>"))), lambda x: x["tlp_2_0"]), lambda x: x.isNotNull()), F.lit(0)), F.when(F.lower(o["name"]).startswith("tlp:"), F.substring(o["name"], F.lit(5), F.length(o["name"])))).alias("tlp")))
     rows = rows.withColumn("own", F.filter(named, lambda x: x["tlp"].isNotNull())).withColumn("has_indicator", F.exists("os", lambda o: o["type"] == "indicator"))
-    return rows.select("own", "has_indicator", F.posexplode("os").alias("n", "o")).select(F.col("n").cast("long").alias("row_ord"), "own", "has_indicator", "o")
+    return rows.select(*carried, "own", "has_indicator", F.posexplode("os").alias("n", "o")).select(*(c for c in carried if c == "page"), feeds._numbered(rows, F.col("n")).alias("row_ord"), "own", "has_indicator", "o")
 
 
 def _tlp(rows: DataFrame) -> DataFrame:
     """Adds tlp: the strictest of the markings and tlp: labels; amber where there is none."""
     known = F.create_map(*(F.lit(x) for pair in TLP_MARKINGS.items() for x in pair))
-    refs = F.slice(F.coalesce("o.object_marking_refs", F.array().cast(STRINGS)), 1, 6)
+    refs = F.coalesce("o.object_marking_refs", F.array().cast(STRINGS))
     by_ref = F.transform(refs, lambda r: F.coalesce(F.try_element_at(known, r), F.get(F.transform(F.filter("own", lambda x: x["id"] == r), lambda x: x["tlp"]), F.lit(0))))
     by_label = F.transform(F.filter(F.coalesce("o.labels", F.array().cast(STRINGS)), lambda x: F.lower(x).startswith("tlp:")), lambda x: F.substring(x, F.lit(5), F.length(x)))
     ranked = F.array_sort(F.transform(F.filter(F.concat(by_ref, by_label), lambda x: x.isNotNull()), lambda x: F.struct((-_rank(x)).alias("r"), F.when(F.lower(x).contains("strict"), 0).otherwise(1).alias("s"), F.lower(x).alias("t"))))
@@ -173,7 +169,7 @@ def read_stix(spark: SparkSession, files: DataFrame, feed: str, layer: str = "ct
     now: Unix seconds that validity is judged by.
     """
     rows = _tlp(objects_of(files)).filter("o.spec_version is null or o.spec_version in ('2.0', '2.1')")
-    types, labels = F.slice(F.coalesce("o.indicator_types", F.array().cast(STRINGS)), 1, 8), F.slice(F.coalesce("o.labels", F.array().cast(STRINGS)), 1, 8)
+    types, labels = F.coalesce("o.indicator_types", F.array().cast(STRINGS)), F.coalesce("o.labels", F.array().cast(STRINGS))
     quiet = F.when(~F.col("o.name").rlike(r'["\\]') & (F.col("o.name") != ""), F.array("o.name")).otherwise(F.array().cast(STRINGS))
     strict = F.when(F.col("tlp").contains("strict"), F.array(F.lit("tlp:amber+strict"))).otherwise(F.array().cast(STRINGS))
     rows = rows.withColumn("made", F.array_distinct(F.concat(quiet, types, strict))).withColumn("category", _category(types, labels))
@@ -200,6 +196,6 @@ def read_stix(spark: SparkSession, files: DataFrame, feed: str, layer: str = "ct
     listed = listed.when(kind == "x509-certificate", F.concat(hashed, F.array(F.when(F.col("o.serial_number").isNotNull(), one("x509", F.col("o.serial_number"))).otherwise(one("filename", F.col("o.name"))))))
     listed = listed.otherwise(F.concat(hashed, F.array(one("filename", F.col("o.name")))))
     seen = sco.withColumn("p", F.explode(listed)).select("*", F.col("p.t").alias("t"), F.col("p.v").alias("v"))
-    columns = ["row_ord", "action", "t", "v", "score", "category", "tlp", "made"]
+    columns = [*(c for c in rows.columns if c == "page"), "row_ord", "action", "t", "v", "score", "category", "tlp", "made"]
     both = pairs.select(*columns).unionByName(seen.select(*columns)).filter("v is not null")
     return feeds.contributions(both, src_ord, layer, action=F.col("action"), value=X.stix_value(F.col("t"), F.col("v")), type=F.col("t"), confidence=F.col("score"), category_mask=F.col("category"), feed=F.lit(feed), tlp_mask=X.tlp_mask(F.col("tlp")), labels=F.col("made"))

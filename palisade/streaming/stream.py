@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.fold import fold
-from ..operators.match import fold_events, lookup
+from ..operators.match import fold_events
+from ..plans.build import publish_fold
 from ..plans.store import Store
 
 
 def fold_stream(contrib: DataFrame, root: str, feed: str, clock, checkpoint: str, seconds: int = 300, available_now: bool = False):
-    """Folds a stream of contributions, one version each trigger; the batch's number is its generation, so a batch that comes again changes nothing."""
+    """Folds a stream of contributions, one version each trigger. The state of the feed names the stream (by its checkpoint) and its last
+    batch, so a batch that comes again changes nothing; generations go on from whatever the feed has reached."""
     spark: SparkSession = contrib.sparkSession
 
     def one(batch: DataFrame, number: int) -> None:
         store = Store(spark, root)
-        before = store.open()
-        done = fold(before.state, [batch], feed, clock(), generation=number + 1)
+        before = store.open(check=True)
+        done = fold(before.state, [batch], feed, clock(), stream=checkpoint, batch=number)
         if done.applied:
-            store.publish({"indicators": done.indicators, "public_feeds": done.public_feeds, "feed_state": done.feed_state, "overlay": before.overlay, "prevalence": before.prevalence})
+            publish_fold(store, before, done)
 
     writer = contrib.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{seconds} seconds")).start()
@@ -28,8 +30,7 @@ def match_stream(observed: DataFrame, value_col: str, event_col: str, root: str,
     """Matches each micro-batch against the version that is current when it starts; sink(events, number) gets one row for each event."""
 
     def one(batch: DataFrame, number: int) -> None:
-        at = Store(batch.sparkSession, root).open(strict=False)
-        sink(fold_events(lookup(batch, value_col, at.indicators, at.public_feeds, at.overlay, skip_private), event_col), number)
+        sink(fold_events(Store(batch.sparkSession, root).open(strict=False).lookup(batch, value_col, skip_private), event_col), number)
 
     writer = observed.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

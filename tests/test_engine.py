@@ -1,14 +1,17 @@
 """Builds, folds and lookups on small fixtures, with the answers that the engine must give."""
 
+import contextlib
 import http.server
 import ipaddress
 import json
 import random
+import shutil
 import threading
 
 import pytest
 from pyspark.sql import functions as F
 
+from palisade import cli
 from palisade import schema as S
 from palisade.functions import address as A
 from palisade.functions import text as X
@@ -16,105 +19,179 @@ from palisade.operators import compile as C
 from palisade.operators import fold as FO
 from palisade.operators import match as M
 from palisade.plans import build as B
-from palisade.plans.store import Store
+from palisade.plans.store import Store, validate_ranges
 from palisade.sources import feeds, pull, stix
 from palisade.streaming import stream
 
 NOW = 1_700_000_000
-PUB = """ip,198.51.100.10,80,scanner,pubfeed,green
-domain,evil.example,70,malware,pubfeed,amber
-ip,10.1.2.3,60,c2,pubfeed,green
-ip,2001:db8::5,75,botnet,pubfeed,green
-domain,wl.example,90,c2,pubfeed,red
-domain,soft.example,65,c2,pubfeed,green
-ip,198.51.100.0/24,50,scanner,pubfeed,clear
-ip,2001:db8::/48,40,botnet,pubfeed,clear
+#: Feeds of our own making: two public rows over one network and address, a restricted row on one address of it and one on another.
+OPEN = """# value lines of the open feed
+ip,192.0.2.64/26,35,spam,Harbour,clear
+ip,192.0.2.77,62,phish,harbour,amber
+domain,ship.test,44,ransomware,harbour,red
+ip,2001:db8:77::/48,21,tor,harbour
+ip,2001:db8:77::beef,88,proxy,harbour,green
+ip,172.16.5.5,12,exploit,harbour
+domain,quiet.test,91,attack,harbour,red
+domain,muted.test,57,botnet,harbour
 """
-SECRET = "ip,198.51.100.10,95,malware,hush,red\nip,198.51.100.20,85,ransomware,hush,red\n"
-LABELS = {"response": {"Attribute": [
-    {"type": "ip-dst", "category": "Network activity", "to_ids": True, "value": "198.51.100.10", "Tag": [{"name": "tlp:green"}], "Event": {"info": "campaign-x", "threat_level_id": "2"}},
-    {"type": "ip-dst", "category": "Network activity", "to_ids": True, "value": "10.1.2.3", "Tag": [{"name": "tlp:green"}], "Event": {"info": "campaign-y", "threat_level_id": "2"}},
+CLOSED = "ip,192.0.2.77,99,c2,vault,red\nip,192.0.2.80,71,malware,vault,red\n"
+EVENTS = {"response": {"Attribute": [
+    {"type": "ip-src", "category": "Payload delivery", "value": "192.0.2.77", "Tag": [{"name": "tlp:white"}, {"name": "apt"}], "Event": {"info": "tide", "threat_level_id": "1"}},
+    {"type": "ip-src", "category": "Attribution", "value": "172.16.5.5", "Event": {"info": "reef", "threat_level_id": "3"}},
 ]}}
-OVERLAY = {"entries": [{"ioc": "wl.example", "action": "whitelist"}, {"ioc": "soft.example", "action": "whitelist", "suppress_mode": "score"}, {"ioc": "add.example", "action": "add", "confidence": 70, "category": "malware"}, {"ioc": "tag.example", "action": "tag", "tags": ["vip", "owner:it"]}]}
+SITE = {"entries": [{"ioc": "quiet.test", "action": "suppress"}, {"ioc": "muted.test", "action": "-", "suppress_mode": "score"}, {"ioc": "raised.test", "action": "add", "confidence": 33, "category": "spam"}, {"ioc": "named.test", "action": "T", "tags": ["owner:ops", "lab"]}]}
 
 
 @pytest.fixture(scope="module")
 def root(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("db")
-    files = {"pub.csv": PUB, "secret.csv": SECRET, "labels.misp.json": json.dumps(LABELS), "assets.tags": "10.1.2.3,asset,dmz\n198.51.100.10,crown-jewel\n", "carto.tags": "198.51.100.10,dmz-edge,crown-jewel\n", "overlay.json": json.dumps(OVERLAY)}
+    files = {"open.csv": OPEN, "closed.csv": CLOSED, "tide.misp.json": json.dumps(EVENTS), "rooms.tags": "172.16.5.5,printer,floor2\n192.0.2.77,gate\n", "more.tags": "192.0.2.77,edge,gate\n", "site.json": json.dumps(SITE)}
     for name, body in files.items():
         (d / name).write_text(body)
-    own = [("pub.csv", "csv", "cti"), ("secret.csv", "csv", "cti_r"), ("labels.misp.json", "misp", "cti"), ("assets.tags", "tags", "tags"), ("carto.tags", "tags", "tags"), ("overlay.json", "overlay", None)]
+    own = [("open.csv", "csv", "cti"), ("closed.csv", "csv", "cti_r"), ("tide.misp.json", "misp", "cti"), ("rooms.tags", "tags", "tags"), ("more.tags", "tags", "tags"), ("site.json", "overlay", None)]
     (d / "conf.json").write_text(json.dumps({"output": str(d / "store"), "feeds": [{"type": t, "path": str(d / n)} | ({"layer": layer} if layer else {}) for n, t, layer in own]}))
     B.build(spark, B.load_config(str(d / "conf.json")), str(d / "store"), NOW)
     return str(d / "store")
 
 
-def ask(spark, root, *values, skip=False):
-    at = Store(spark, root).open()
-    rows = M.lookup(spark.createDataFrame([(v,) for v in values], "v string"), "v", at.indicators, at.public_feeds, at.overlay, skip).collect()
-    return {r["v"]: r for r in rows}
+def ask(spark, root, *values, skip=False, by_ranges=True):
+    at, rows = Store(spark, root).open(check=True), spark.createDataFrame([(v,) for v in values], "v string")
+    found = at.lookup(rows, "v", skip) if by_ranges else M.lookup(rows, "v", at.indicators, at.public_feeds, at.overlay, skip)
+    return {r["v"]: r for r in found.collect()}
 
 
-def test_policy_table(spark, root):
-    values = ["198.51.100.10", "198.51.100.20", "198.51.100.9", "198.51.100.255", "198.51.101.0", "2001:db8::5", "2001:DB8::5", "2001:db8::6", "2001:db8:1::", "10.1.2.3", "10.9.9.9", "evil.example", "evil.exampl", "evil.example.", "wl.example", "soft.example", "add.example", "tag.example", "a" * 4096, "a" * 4097, "a\0b", "", None]
+def test_layers_tell_what_they_may(spark, root):
+    """Public and restricted rows, tags and labels on one address; either way of matching gives the same."""
+    values = ["192.0.2.77", "192.0.2.80", "192.0.2.64", "192.0.2.127", "192.0.2.128", "192.0.2.63", "ship.test", "ship.tes", "2001:DB8:77::BEEF", "2001:db8:77:1::", "2001:db8:78::", None]
     r = ask(spark, root, *values)
-    x = r["198.51.100.10"]
-    assert x["flags"] == S.MATCH + S.THRT and x["type_mask"] == 7 and (x["confidence"], x["confidence_r"]) == (80, 95)
-    assert x["tlp_mask"] == S.GREEN + S.CLEAR and x["category_mask"] == 256 + 1 and x["feeds"] == ["labels.misp", "pubfeed"]
-    assert set(x["tags"]) == {"crown-jewel", "dmz-edge"} and x["labels"] == ["misp-event:campaign-x"]
-    x = r["198.51.100.20"]
-    assert x["type_mask"] == 3 and (x["confidence"], x["confidence_r"]) == (50, 85) and x["tlp_mask"] == S.CLEAR and not x["category_mask"] & 64 and x["feeds"] == ["pubfeed"]
-    assert all(r[v]["confidence"] == 50 and r[v]["type_mask"] == 1 for v in ("198.51.100.9", "198.51.100.255")) and r["198.51.101.0"]["status"] == 0
-    assert [r[v]["confidence"] for v in ("2001:db8::5", "2001:DB8::5", "2001:db8::6")] == [75, 75, 40] and r["2001:db8:1::"]["status"] == 0
-    assert r["10.1.2.3"]["flags"] == S.PRIVATE + S.MATCH + S.THRT and r["10.1.2.3"]["confidence"] >= 60 and r["10.1.2.3"]["labels"] == ["misp-event:campaign-y"]
-    assert r["10.9.9.9"]["flags"] == S.PRIVATE and r["10.9.9.9"]["status"] == 0
-    x = r["evil.example"]
-    assert (x["confidence"], x["tlp_mask"], x["category_mask"], x["kind"]) == (70, S.AMBER, 2, 0)
-    assert r["evil.exampl"]["status"] == r["evil.example."]["status"] == 0
-    assert r["wl.example"]["flags"] == S.OVERLAY + S.SUPPRESSED and r["wl.example"]["confidence"] == 0
-    assert r["soft.example"]["flags"] & (S.WHITELISTED + S.MATCH) == S.WHITELISTED + S.MATCH and r["soft.example"]["confidence"] == 65
-    x = r["add.example"]
-    assert x["flags"] == S.OVERLAY + S.MATCH and (x["ovl_confidence"], x["ovl_category_mask"], x["type_mask"]) == (70, 2, 0)
-    assert "owner:it" in r["tag.example"]["overlay_tags"] and not r["tag.example"]["flags"] & S.MATCH
-    assert [r[v]["status"] for v in ("a" * 4096, "a" * 4097, "a\0b", "", None)] == [0, -2, -1, -1, -1]
-    x = ask(spark, root, "10.1.2.3", skip=True)["10.1.2.3"]
-    assert x["flags"] == S.PRIVATE + S.PRIVATE_SKIP + S.THRT and x["type_mask"] == 0 and set(x["tags"]) == {"asset", "dmz"} and x["labels"] == []
+    x = r["192.0.2.77"]
+    assert (x["flags"], x["type_mask"], x["kind"], x["status"]) == (S.MATCH + S.THRT, S.CTI + S.CTI_R + S.TAGS, 4, 1)
+    assert (x["confidence"], x["confidence_r"], x["tlp_mask"], x["category_mask"]) == (90, 99, S.CLEAR + S.AMBER, 128 + 4 + 2)
+    assert (x["feeds"], x["tags"], x["labels"]) == (["Harbour", "tide.misp"], ["gate", "edge"], ["misp-event:tide", "apt"])
+    x = r["192.0.2.80"]  # restricted: its score, but neither its category, its markings nor its feed
+    assert (x["type_mask"], x["confidence"], x["confidence_r"], x["tlp_mask"], x["category_mask"], x["feeds"]) == (S.CTI + S.CTI_R, 35, 71, S.CLEAR, 128, ["Harbour"])
+    assert [r[v]["confidence"] for v in ("192.0.2.64", "192.0.2.127", "2001:DB8:77::BEEF", "2001:db8:77:1::")] == [35, 35, 88, 21]
+    assert [r[v]["status"] for v in ("192.0.2.128", "192.0.2.63", "2001:db8:78::", "ship.tes", None)] == [0, 0, 0, 0, -1]
+    assert (r["ship.test"]["category_mask"], r["ship.test"]["tlp_mask"], r["ship.test"]["kind"]) == (64, S.RED, 0)
+    assert ask(spark, root, *values, by_ranges=False) == r
+
+
+def test_overlay_rules(spark, root):
+    r = ask(spark, root, "quiet.test", "muted.test", "raised.test", "named.test")
+    x = r["quiet.test"]
+    assert (x["flags"], x["confidence"], x["feeds"], x["status"]) == (S.OVERLAY + S.SUPPRESSED, 0, [], 1)
+    x = r["muted.test"]
+    assert (x["flags"], x["confidence"]) == (S.OVERLAY + S.WHITELISTED + S.MATCH + S.THRT, 57)
+    x = r["raised.test"]
+    assert (x["flags"], x["ovl_confidence"], x["ovl_category_mask"], x["type_mask"]) == (S.OVERLAY + S.MATCH, 33, 128, 0)
+    x = r["named.test"]
+    assert (x["flags"], x["overlay_tags"], x["status"]) == (S.OVERLAY, ["owner:ops", "lab"], 1)
+
+
+def test_private_addresses(spark, root):
+    plain, skipped = (ask(spark, root, "172.16.5.5", "172.31.0.1", skip=s) for s in (False, True))
+    x = plain["172.16.5.5"]
+    assert (x["flags"], x["confidence"], x["category_mask"], x["labels"]) == (S.PRIVATE + S.MATCH + S.THRT, 50, 32 + 1, ["misp-event:reef"])
+    x = skipped["172.16.5.5"]
+    assert (x["flags"], x["type_mask"], x["confidence"], x["tags"], x["labels"]) == (S.PRIVATE + S.PRIVATE_SKIP + S.THRT, 0, 0, ["printer", "floor2"], [])
+    assert plain["172.31.0.1"]["flags"] == skipped["172.31.0.1"]["flags"] == S.PRIVATE
+
+
+def test_values_that_cannot_be_looked_up(spark, root):
+    long, over = "é" * 2048, "é" * 2048 + "x"
+    r = ask(spark, root, long, over, "x\0", "", None)
+    assert [r[v]["status"] for v in (long, over, "x\0", "", None)] == [0, S.ETOOLONG, S.EINVAL, S.EINVAL, S.EINVAL] and all(x["flags"] == 0 for x in r.values())
+
+
+def test_a_batch_answers_like_single_lookups(spark, root):
+    values = ["192.0.2.77", "ship.test", "raised.test", "172.16.5.5", "2001:db8:77::1", "nothing"]
+    whole = ask(spark, root, *values)
+    assert {v: ask(spark, root, v)[v] for v in values} == whole and sum(x["status"] == 1 for x in whole.values()) == 5
 
 
 def test_event_fold_and_report(spark, root):
     at = Store(spark, root).open()
-    rows = M.lookup(spark.createDataFrame([(1, "198.51.100.10"), (1, "add.example"), (2, "nothing")], "e int, v string"), "v", at.indicators, at.public_feeds, at.overlay)
+    rows = at.lookup(spark.createDataFrame([(1, "192.0.2.77"), (1, "raised.test"), (2, "nothing"), (3, "muted.test")], "e int, v string"), "v")
     e = {r["e"]: r for r in M.fold_events(rows, "e").collect()}
-    assert e[1]["match"] and e[1]["confidence"] == 95 and e[1]["category_mask"] == 256 + 1 + 2 and e[1]["feeds"] == ["labels.misp", "pubfeed"] and not e[2]["match"]
+    assert (e[1]["match"], e[1]["confidence"], e[1]["category_mask"], e[1]["feeds"]) == (True, 99, 128 + 4 + 2, ["Harbour", "tide.misp"]) and not e[2]["match"] and e[3]["whitelisted"]
     lines = {r["value"]: r["line"] for r in M.report(rows, "v").collect()}
-    assert lines["198.51.100.10"].startswith("HIT Type=CTI+CTI_R+TAGS Confidence=80 TLP=GREEN Category=Attack,Scanner") and lines["nothing"].startswith("MISS")
-    assert M.hits(rows).first()["hits"] == 2
+    assert lines["192.0.2.77"] == "HIT Type=CTI+CTI_R+TAGS Confidence=90 TLP=AMBER Category=Malware,Phishing,Spam Feeds=Harbour,tide.misp Tags=gate,edge Labels=misp-event:tide,apt" and lines["nothing"] == "MISS Type=UNK Confidence=0 TLP=(none) Category=(none) Feeds=(none)"
+    assert M.hits(rows).first()["hits"] == 3
+    only = {r["value"]: r["line"] for r in M.overlay_only(spark.createDataFrame([("quiet.test",), ("x",)], "v string"), "v", at.overlay).collect()}
+    assert only == {"quiet.test": "HIT  ioc=quiet.test  action=whitelist  suppress=1  confidence=100", "x": "MISS  ioc=x"}
+
+
+def copied(spark, root, path):
+    at, store = Store(spark, root).open(), Store(spark, str(path))
+    store.publish({name: getattr(at, name) for name in ("indicators", "public_feeds", "feed_state", "overlay")})
+    return store
 
 
 def test_withdrawal_generations_and_reload(spark, root, tmp_path):
-    copy = str(tmp_path / "store")
-    at = Store(spark, root).open()
-    tables = lambda s: {"indicators": s.indicators, "public_feeds": s.public_feeds, "feed_state": s.feed_state, "overlay": at.overlay}
-    store = Store(spark, copy)
-    store.publish(tables(at.state))
-    (tmp_path / "w.csv").write_text("action,type,indicator,confidence,category,feed,tlp\n-,ip,198.51.100.0/24,,,,\n")
-    assert B.apply_delta(spark, copy, str(tmp_path / "w.csv"), NOW, generation=5)
-    assert not B.apply_delta(spark, copy, str(tmp_path / "w.csv"), NOW, generation=5)
-    r = ask(spark, copy, "198.51.100.9", "198.51.100.10", "198.51.100.20", "2001:db8::6")
-    assert r["198.51.100.9"]["status"] == 0 and (r["198.51.100.10"]["confidence"], r["198.51.100.10"]["confidence_r"], r["198.51.100.10"]["tlp_mask"]) == (80, 95, S.GREEN)
-    assert r["198.51.100.20"]["type_mask"] == S.CTI_R and r["2001:db8::6"]["confidence"] == 40
-    version = store.current()
-    bad = at.indicators.withColumn("confidence", F.lit(300))
+    store = copied(spark, root, tmp_path / "store")
+    (tmp_path / "gone.csv").write_text("op,ioc,type\ndelete,192.0.2.64/26,ip\n")
+    assert B.apply_delta(spark, store.root, str(tmp_path / "gone.csv"), NOW, generation=5)
+    assert not B.apply_delta(spark, store.root, str(tmp_path / "gone.csv"), NOW, generation=5)
+    r = ask(spark, store.root, "192.0.2.64", "192.0.2.77", "192.0.2.80", "2001:db8:77::1")
+    assert r["192.0.2.64"]["status"] == 0 and (r["192.0.2.77"]["confidence"], r["192.0.2.77"]["category_mask"]) == (90, 4 + 2)
+    assert (r["192.0.2.80"]["type_mask"], r["192.0.2.80"]["confidence"]) == (S.CTI_R, 0) and r["2001:db8:77::1"]["confidence"] == 21
+    version, at = store.current(), store.open()
     with pytest.raises(S.EngineError):
-        store.publish({"indicators": bad})
+        store.publish({"indicators": at.indicators.withColumn("confidence", F.lit(300))})
+    with pytest.raises(S.EngineError, match="meanwhile"):
+        store.publish({"indicators": at.indicators}, base="another")
     assert store.current() == version
-    state = FO.fold(store.open().state, [feeds.read_csv(spark.createDataFrame([("domain,new.example,40,0,pubfeed\n",)], "value string"), "x")], "pubfeed", NOW, snapshot=True)
+    state = FO.fold(at.state, [feeds.read_csv(one(spark, "domain,new.test,40,0,harbour\n"), "x")], "HARBOUR", NOW, snapshot=True)
     left = {r["str"]: r for r in state.indicators.filter("kind = 0").collect()}
-    assert set(left) == {"new.example"} and left["new.example"]["feeds"] == ["pubfeed"]
-    later = FO.fold(state, [feeds.read_csv(spark.createDataFrame([("domain,z.example,40,0,other\n",)], "value string"), "other")], "other", NOW + 40 * 86400, ttl_days=30)
-    assert {r["str"] for r in later.indicators.filter("kind = 0").collect()} == {"z.example"} and later.feed_state.count() == 1 + store.open().feed_state.filter(f"updated >= {NOW + 10 * 86400}").count()
+    assert set(left) == {"new.test"} and left["new.test"]["feeds"] == ["harbour"]
+    later = FO.fold(state, [feeds.read_csv(one(spark, "domain,z.test,40,0,other\n"), "other")], "other", NOW + 40 * 86400, ttl_days=30)
+    assert {r["str"] for r in later.indicators.filter("kind = 0").collect()} == {"z.test"}
+    assert sorted((r["feed"], r["generation"]) for r in later.feed_state.collect()) == [("other", 1)]
     assert Store(spark, str(tmp_path / "none")).open(strict=False).partial
+    with pytest.raises(S.EngineError) as e:
+        Store(spark, str(tmp_path / "none")).open()
+    assert e.value.code == S.ENOENT and str(e.value).startswith(S.ERRORS[S.ENOENT])
+
+
+def test_a_version_is_checked_when_opened(spark, root, tmp_path):
+    store = copied(spark, root, tmp_path / "store")
+    folder = tmp_path / "store" / f"v={store.current()}"
+    info = store.open(check=True).info().first()
+    assert (info["networks_v4"], info["networks_v6"], info["strings"], info["overlay_entries"], info["feeds"]) == (4, 2, 3, 4, 2)
+    spark.read.parquet(str(folder / "indicators")).filter("str <> 'ship.test' or str is null").write.parquet(str(folder / "fewer"))
+    shutil.rmtree(folder / "indicators"), (folder / "fewer").rename(folder / "indicators")
+    with pytest.raises(S.EngineError) as e:
+        store.open(check=True)
+    assert e.value.code == S.ECHECKSUM
+    (folder / "MANIFEST").write_text(json.dumps({"format": 99})), (folder / ".MANIFEST.crc").unlink(missing_ok=True)
+    with pytest.raises(S.EngineError) as e:
+        store.open()
+    assert e.value.code == S.EVERSION
+    row = store.ranges(store.current(), "ranges4").limit(1)
+    for other in (row.withColumn("ip_end", F.col("ip_end") + 1), row.withColumn("ip_start", F.col("ip_end") + 5)):
+        with pytest.raises(S.EngineError):
+            validate_ranges(row.unionByName(other))
+
+
+def test_building_onto_a_version(spark, root, tmp_path):
+    store = copied(spark, root, tmp_path / "store")
+    (tmp_path / "late.csv").write_text("ip,192.0.2.77,100,scan,HARBOUR,red\n-,domain,ship.test\n")
+    B.build_onto(spark, str(tmp_path / "late.csv"), store.root, NOW)
+    r = ask(spark, store.root, "192.0.2.77", "ship.test", "named.test")
+    assert (r["192.0.2.77"]["confidence"], r["192.0.2.77"]["tlp_mask"], r["192.0.2.77"]["feeds"]) == (100, S.CLEAR + S.AMBER + S.RED, ["Harbour", "tide.misp"])
+    assert r["ship.test"]["status"] == 0 and r["named.test"]["overlay_tags"] == ["owner:ops", "lab"]
+
+
+def test_a_later_page_may_add_again(spark):
+    page = lambda text: feeds.read_csv(one(spark, text), "p")
+    state = FO.State(C.compile_contributions(page("domain,a.test,10\ndomain,b.test,10\ndomain,c.test,10\n")), spark.createDataFrame([], "feed string"), spark.createDataFrame([], S.FEED_STATE))
+    pages = ["-,domain,a.test\n-,domain,b.test\ndomain,b.test,70\n", "domain,a.test,20\ndomain,b.test,30\n", "-,domain,b.test\n"]
+    got = FO.fold(state, [page(t) for t in pages], "p", NOW)
+    assert {(r["str"], r["confidence"]) for r in got.indicators.collect()} == {("a.test", 20), ("c.test", 10)}
+    for k in range(len(pages)):  # one after the other gives the same
+        state = FO.fold(state, [page(pages[k])], "p", NOW)
+    assert sorted(map(tuple, state.indicators.collect())) == sorted(map(tuple, got.indicators.collect()))
 
 
 def test_addresses(spark):
@@ -160,6 +237,7 @@ def test_flatten_equals_brute_force_and_matches_agree(spark):
         own = [r for r in rows if ipaddress.IPv4Address(p) in ipaddress.ip_network(r[1])]
         if own:
             want[str(ipaddress.IPv4Address(p))] = (max(int(r[2]) for r in own), sorted({r[4] for r in own}))
+    validate_ranges(ranges)
     for found in (M.match_v4(seen, ind), M.match_v4_ranges(seen, ranges)):
         assert {r["value"]: (r["confidence"], r["feeds"]) for r in found.collect()} == want
 
@@ -173,6 +251,26 @@ def test_flatten_v6(spark):
     assert all(a[1] < b[0] for a, b in zip(got, got[1:]))
 
 
+def test_ipv6_ranges_and_steps_equal_brute_force(spark):
+    rng = random.Random(3)
+    base = int(ipaddress.IPv6Address("2001:db8::"))
+    nets = {ipaddress.ip_network((base + (rng.randrange(4) << 78) + (rng.randrange(3) << 64) + rng.randrange(4) & -1 << (128 - p), p), strict=False) for p in (33, 47, 48, 50, 63, 64, 100, 127, 128) for _ in range(6)} | {ipaddress.ip_network("2001:db8::/32"), ipaddress.ip_network("ffff:ffff::/32")}
+    rows = [(str(n), rng.randrange(101)) for n in sorted(nets, key=str)]
+    ind = C.compile_contributions(feeds.read_csv(one(spark, "\n".join(f"ip,{n},{c}" for n, c in rows)), "x")).cache()
+    ranges = C.flatten_v6(ind).cache()
+    validate_ranges(ranges)
+    points = {x for n in nets for k in (0, -1) for d in (-1, 0, 1) if 0 <= (x := int(n[k]) + d) < 1 << 128}
+    seen = M.classify(spark.createDataFrame([(str(ipaddress.IPv6Address(p)),) for p in points], "value string")).cache()
+    want = {str(ipaddress.IPv6Address(p)): max(own) for p in points if (own := [c for n, c in rows if ipaddress.IPv6Address(p) in ipaddress.ip_network(n)])}
+    for found in (M.match_v6(seen, ind), M.match_v6_ranges(seen, ranges)):
+        assert {r["value"]: r["confidence"] for r in found.collect()} == want
+    numbers = [0, 1, (1 << 64) - 1, 1 << 64, (1 << 128) - 1, *(rng.getrandbits(128) for _ in range(50))]
+    table = spark.createDataFrame([(f"{n:032x}", p) for n in numbers for p in (32, 37, 64, 127, 128)], "h string, p int")
+    for r in table.select("*", A.v6_after(F.col("h")).alias("after"), A.v6_before(F.col("h")).alias("before"), A.v6_masked(F.col("h"), F.col("p")).alias("net")).collect():
+        n = int(r["h"], 16)
+        assert r["after"] == (f"{n + 1:032x}" if n + 1 < 1 << 128 else "g") and r["before"] == (f"{n - 1:032x}" if n else None) and r["net"] == f"{n >> (128 - r['p']) << (128 - r['p']):032x}"
+
+
 def one(spark, text):
     return spark.createDataFrame([(text,)], "value string")
 
@@ -188,13 +286,16 @@ def test_other_feeds(spark):
     rows = {r["value"]: r["type"] for r in feeds.read_list(one(spark, "# c\n1.2.3.4\n1.2.3.0/24\nx@y.z\n; c\n" + "a" * 64 + "\nhttp://u/v\nplain.example\n"), "l").collect()}
     assert list(rows.values()) == ["ip", "domain", "email", "hash", "url", "domain"]
     rows = feeds.read_csv_delta(one(spark, "value,conf,op\nd.example,12,\ne.example,,delete\n-f.example,,\n"), "k").collect()
-    assert [(r["value"], r["action"], r["tlp_mask"]) for r in rows] == [("d.example", "+", 4), ("e.example", "-", 4), ("f.example", "-", 4)] or len(rows) == 3
+    # empty fields collapse, so in the second line the word stands under conf
+    assert [(r["value"], r["action"], r["confidence"], r["tlp_mask"]) for r in rows] == [("d.example", "+", 12, 4), ("e.example", "+", 0, 4), ("f.example", "-", 50, 4)]
     event = {"Event": {"info": "i", "threat_level_id": "1", "Tag": [{"name": "tlp:red"}, {"name": "apt"}], "Attribute": [{"type": "domain|ip", "value": "g.example|5.5.5.5", "category": "Payload delivery"}, {"type": "md5", "value": "x", "to_ids": False}, {"type": "mutex", "value": "m"}], "Object": [{"Attribute": [{"type": "filename|md5", "value": "n.exe|" + "b" * 32, "deleted": True}]}]}}
     rows = feeds.read_misp(one(spark, json.dumps(event)), "m").collect()
     assert {(r["value"], r["type"], r["confidence"], r["tlp_mask"]) for r in rows} == {("g.example", "domain", 90, 8), ("5.5.5.5", "ip", 90, 8), ("b" * 32, "md5", 90, 8)} and rows[0]["labels"] == ["apt", "misp-event:i"]
     assert {r["value"]: r["action"] for r in feeds.read_misp(one(spark, json.dumps(event)), "m", delta=True).collect()}["b" * 32] == "-"
     assert feeds.read_tags_json(one(spark, '{"index":"h","tags":["a","a","b"]}\nx\n'), "t").first()["labels"] == ["a", "b"]
-    for body in ({"entries": [{"ioc": "a"}, {"ioc": "a"}]}, {"entries": [{"action": "tag"}]}, {"entries": []}):
+    many = ",".join(f"t{k}" for k in range(5000))
+    assert len(feeds.read_tags(one(spark, f"host,{many}\n"), "t").first()["labels"]) == 5000
+    for body in ({"entries": [{"ioc": "a"}, {"ioc": "a"}]}, {"entries": [{"action": "tag"}]}, {"entries": []}, {"entries": [{"ioc": "a", "tags": ["x", 1]}]}, {"entries": [{"ioc": "a", "tags": "x"}]}, {"entries": [{"ioc": "a" * 4097}]}, {"entries": [{"ioc": "a", "category": "x" * (8 << 20)}]}):
         with pytest.raises(S.EngineError):
             feeds.read_overlay(one(spark, json.dumps(body)))
     assert [feeds.format_of(n) for n in ("a.tags", "b.tags.json", "c.misp.json", "d.stix.json", "e.json", "f.ioc")] == ["tags", "tags_json", "misp", "stix", "dictionary", "list"] and feeds.stem("x/labels.misp.json") == "labels.misp" and feeds.stem("a.stix.json", True) == "a"
@@ -224,16 +325,22 @@ def test_prevalence(spark):
     assert all(r["fleet_count"] is None for r in FO.prevalence_of(values, "v", table.limit(0)).collect())
 
 
-def test_pull_slices_and_source(spark):
-    now, stamps = 1000, [10, 11, 11, 11, 500, 900]
+@contextlib.contextmanager
+def misp(rows):
+    """A server that answers searches over rows by their timestamp, page by page."""
 
     class Server(http.server.BaseHTTPRequestHandler):
         def do_POST(self):
             q = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
-            lo, hi = map(int, q["last"])
-            rows = [{"type": "domain", "value": f"d{k}.example", "timestamp": str(t)} for k, t in enumerate(stamps) if lo <= t <= hi]
-            at = (q["page"] - 1) * q["limit"]
-            body = json.dumps({"response": {"Attribute": rows[at : at + q["limit"]]}}).encode()
+            lo, hi = map(int, q["last"]) if isinstance(q["last"], list) else (0, 1 << 60)
+            own = [r for r in rows if lo <= int(r["timestamp"]) <= hi]
+            at = (q.get("page", 1) - 1) * q["limit"]
+            self.answer(json.dumps({"response": {"Attribute": own[at : at + q["limit"]]}}).encode())
+
+        def do_GET(self):
+            self.answer(b"a list\n")
+
+        def answer(self, body):
             self.send_response(200), self.send_header("Content-Length", str(len(body))), self.end_headers(), self.wfile.write(body)
 
         def log_message(self, *_):
@@ -241,25 +348,100 @@ def test_pull_slices_and_source(spark):
 
     server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Server)
     threading.Thread(target=server.serve_forever, daemon=True).start()
-    spark.dataSource.register(pull.MispSource)
-    rows = spark.read.format("misp_pull").options(url=f"http://127.0.0.1:{server.server_port}", since="0", now=str(now), page_size="2", slice_rows="2").load().collect()
+    yield f"http://127.0.0.1:{server.server_port}"
     server.shutdown()
-    assert sorted(r["timestamp"] for r in rows) == stamps and len({r["slice"] for r in rows}) > 1
+
+
+def test_pull_slices_and_source(spark, monkeypatch):
+    now, stamps = 1000, [10, 11, 11, 11, 500, 900]
+    spark.dataSource.register(pull.MispSource)
+    with misp([{"type": "domain", "value": f"d{k}.example", "timestamp": str(t)} for k, t in enumerate(stamps)]) as url:
+        rows = spark.read.format("misp_pull").options(url=url, since="0", now=str(now), page_size="2", slice_rows="2").load().collect()
+    assert sorted(int(r["timestamp"]) for r in rows) == stamps and len({r["slice"] for r in rows}) > 1 and sorted(r["row"] for r in rows if r["slice"] == 11) == [0, 1, 2]
     assert pull.window_start("2d", 200_000) == 200_000 - 172_800 and pull.window_start("77", 5) == 77 and pull.next_cursor(None, 1, 2, 9) == 9 and pull.next_cursor(50, 60, 55, 9) == 55
     slices = list(pull.bisect(0, 100, lambda a, b: sum(a <= x % 101 <= b for x in stamps) > 2))
     assert slices[0][0] == 0 and slices[-1][1] == 100 and all(a[1] + 1 == b[0] for a, b in zip(slices, slices[1:]))
+    table = spark.createDataFrame([(x % 101, 1) for x in stamps], "s bigint, n bigint")
+    assert pull.bisect_counts(table, 0, 100, 2) == slices
+    monkeypatch.setattr(pull, "post", lambda *_: [{"timestamp": "1"}] * 2), monkeypatch.setattr(pull, "MAX_PAGES", 3)
+    reader = pull.MispReader({"url": "x", "since": "0", "now": "9", "page_size": "2"})
+    with pytest.raises(S.EngineError):
+        list(reader.read(pull._Slice(0, 9)))
+
+
+def test_verbs(spark, root, tmp_path, monkeypatch, capsys):
+    """Downloads, a sync by slices in which a later one adds again, a segment's key, the overlay, prevalence and a followed folder."""
+    monkeypatch.chdir(tmp_path)
+    copied(spark, root, tmp_path / "store")
+    rows = [("a.test", "100", {}), ("b.test", "100", {}), ("a.test", "200", {"deleted": True}), ("b.test", "300", {"deleted": True}), ("b.test", "400", {})]
+    rows = [{"type": "domain", "value": v, "timestamp": t, "Event": {"info": f"at{t}", "threat_level_id": "1"}} | more for v, t, more in rows]
+    with misp(rows) as url:
+        conf = {"output": str(tmp_path / "store"), "feeds": [{"type": "misp", "url": url, "key": "k", "dest": str(tmp_path / "pulled.misp.json"), "since": "0"}, {"type": "file", "url": url, "dest": str(tmp_path / "plain.txt")}]}
+        (tmp_path / "palisade.json").write_text(json.dumps(conf))
+        cli.main(["fetch"])
+        assert len(json.loads((tmp_path / "pulled.misp.json").read_text())["response"]["Attribute"]) == 5 and (tmp_path / "plain.txt").read_text() == "a list\n"
+        cli.main(["sync", "--apply", "--page-size", "1", "--slice-rows", "1"])
+    r = ask(spark, conf["output"], "a.test", "b.test", "ship.test")
+    assert r["a.test"]["status"] == 0 and r["b.test"]["labels"] == ["misp-event:at400"] and r["ship.test"]["status"] == 1
+    state = {x["feed"]: x for x in Store(spark, conf["output"]).open().feed_state.collect()}
+    assert state["pulled.misp"]["cursor"] == 400
+    segment = {"type": "bundle", "objects": [{"type": "indicator", "pattern": "[domain-name:value = 'seg.test']"}]}
+    (tmp_path / "x.stix.json").write_text(json.dumps(segment))
+    cli.main(["sync", "--segment", str(tmp_path / "x.stix.json")]), cli.main(["apply-delta", "--segment", str(tmp_path / "x.stix.json")])
+    (tmp_path / "o.json").write_text(json.dumps({"entries": [{"ioc": "seg.test", "action": "add"}]}))
+    cli.main(["overlay", str(tmp_path / "o.json")]), cli.main(["overlay-lookup", "seg.test"]), cli.main(["lookup", "seg.test"])
+    seen = spark.createDataFrame([("v", 1, 1), ("v", 2, 1), ("w", 2, 2)], "v string, e int, s int")
+    B.set_prevalence(FO.build_prevalence(seen, "v", "e", "s"), conf["output"], FO.prevalence_facts(seen, "e", NOW))
+    capsys.readouterr()
+    cli.main(["prevalence", "v", "none"]), cli.main(["overlay-lookup", "seg.test"]), cli.main(["lookup", "seg.test"]), cli.main(["version"])
+    out = capsys.readouterr().out
+    assert "reporting edges=2" in out and "key=v  count=2  collectors=2  sources=1\n" in out and "key=none  count=0  collectors=0  sources=0  (absent = rare)" in out
+    assert "HIT  ioc=seg.test  action=add  suppress=0  confidence=80" in out and "seg.test HIT Type=CTI Confidence=50" in out
+    assert {"x.stix", "x"} <= {x["feed"] for x in Store(spark, conf["output"]).open().feed_state.collect()}
+    (tmp_path / "late.csv").write_text("domain,late.test,15\n")
+    cli.main(["add", "-i", str(tmp_path / "late.csv"), "--layer", "cti_r"])
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.jsonl").write_text("".join(json.dumps({"Attribute": [{"type": "domain", "value": v}]}) + "\n" for v in ("f1.test", "f2.test")))
+    cli.main(["follow", "--source", str(tmp_path / "in"), "--checkpoint", str(tmp_path / "cp"), "--feed-key", "followed", "--available-now"])
+    r = ask(spark, conf["output"], "late.test", "f1.test", "f2.test")
+    assert (r["late.test"]["type_mask"], r["late.test"]["confidence_r"]) == (S.CTI_R, 15) and r["f1.test"]["feeds"] == r["f2.test"]["feeds"] == ["followed"]
+
+
+def test_files_of_lines_are_numbered_in_order(spark, tmp_path):
+    """A file read in many splits keeps its order, and one document a line is read as one whole."""
+    (tmp_path / "big.csv").write_text("".join(f"domain,d{k}.test,{k % 101},0,{'x' * 200}\n" for k in range(6000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128k"), spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        rows = feeds.lines(spark, str(tmp_path / "big.csv"))
+        assert rows.rdd.getNumPartitions() > 4
+        got = B.read_feed(spark, str(tmp_path / "big.csv")).orderBy("row_ord").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0]), spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert [r["value"] for r in got] == [f"d{k}.test" for k in range(6000)]
+    (tmp_path / "e.misp.jsonl").write_text("".join(json.dumps({"Attribute": [{"type": "domain", "value": f"j{k}"}]}) + "\n" for k in range(5)))
+    got = B.read_feed(spark, str(tmp_path / "e.misp.jsonl")).orderBy("row_ord").collect()
+    assert [r["value"] for r in got] == [f"j{k}" for k in range(5)]
 
 
 def test_streams(spark, root, tmp_path):
-    copy, src = str(tmp_path / "store"), tmp_path / "in"
-    at = Store(spark, root).open()
-    Store(spark, copy).publish({"indicators": at.indicators, "public_feeds": at.public_feeds, "feed_state": at.feed_state, "overlay": at.overlay})
-    feeds.read_csv(one(spark, "domain,live.example,33,0,streamed\n"), "streamed").write.parquet(str(src))
-    contrib = spark.readStream.schema(S.CONTRIB).parquet(str(src))
-    stream.fold_stream(contrib, copy, "streamed", lambda: NOW, str(tmp_path / "c1"), available_now=True).awaitTermination()
-    assert ask(spark, copy, "live.example")["live.example"]["confidence"] == 33
-    spark.createDataFrame([(1, "live.example"), (1, "x"), (2, "y")], "e int, v string").write.parquet(str(tmp_path / "obs"))
+    """A stream goes on from the generation its feed has, with a new checkpoint too, and a batch that comes again changes nothing."""
+    store, src = copied(spark, root, tmp_path / "store"), tmp_path / "in"
+    at = store.open()
+    ahead = spark.createDataFrame([("streamed", 9, NOW, None, None, None)], S.FEED_STATE)
+    store.publish({"indicators": at.indicators, "public_feeds": at.public_feeds, "overlay": at.overlay, "feed_state": ahead})
+    for number, value in enumerate(("live.test", "next.test")):
+        feeds.read_csv(one(spark, f"domain,{value},33,0,streamed\n"), "streamed").write.mode("append").parquet(str(src))
+        contrib = spark.readStream.schema(S.CONTRIB).parquet(str(src))
+        stream.fold_stream(contrib, store.root, "streamed", lambda: NOW, str(tmp_path / f"c{number}"), available_now=True).awaitTermination()
+        assert ask(spark, store.root, value)[value]["confidence"] == 33
+    state = store.open().state
+    row = state.feed_state.first()
+    assert (row["generation"], row["batch"]) == (11, 0)
+    again = FO.fold(state, [feeds.read_csv(one(spark, "domain,other.test,1\n"), "streamed")], "streamed", NOW, stream=row["stream"], batch=0)
+    assert not again.applied
+    spark.createDataFrame([(1, "live.test"), (1, "x"), (2, "y")], "e int, v string").write.parquet(str(tmp_path / "obs"))
     got = []
     observed = spark.readStream.schema("e int, v string").parquet(str(tmp_path / "obs"))
-    stream.match_stream(observed, "v", "e", copy, lambda df, n: got.extend(df.collect()), str(tmp_path / "c2"), available_now=True).awaitTermination()
+    stream.match_stream(observed, "v", "e", store.root, lambda df, n: got.extend(df.collect()), str(tmp_path / "c9"), available_now=True).awaitTermination()
     assert {r["e"]: r["match"] for r in got} == {1: True, 2: False}
