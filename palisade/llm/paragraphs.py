@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, differing_bits, discard, least_values, lists, low_bits, map_batches, mix64, most_differing, shingle_hashes, slices, words_of, written
+from .common import Words, differing_bits, discard, least_values_of, lists, low_bits, map_batches, mix64, most_differing, shingle_hashes, slices, words_of, written
 from .components import link_similar, shared_buckets
 
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -55,42 +55,67 @@ _BAND = mix64(np.arange(7, 7 + BANDS, dtype=np.uint64))
 _PLACE = mix64(np.arange(77, 77 + ROWS, dtype=np.uint64)) | np.uint64(1)
 
 
-def line_runs(words: Words, row: int) -> list[tuple[int, int]]:
-    """(first word, words) of the lines of a row that are long enough to be passages."""
-    own = words.of(row)
-    begin = words.begin[own]
-    if len(begin) < WINDOW:
-        return []
-    a, b = words.offset[row], words.offset[row + 1]
-    of_line = np.searchsorted(np.flatnonzero(words.data[a:b] == 0x0A) + a, begin)
-    cuts = np.concatenate(([0], np.flatnonzero(np.diff(of_line)) + 1, [len(begin)]))
-    return [(int(x), int(n)) for x, n in zip(cuts[:-1], np.diff(cuts), strict=True) if n >= WINDOW]
+def line_runs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the lines of all rows that are long enough to be passages: row, first word (of all) and number of words."""
+    n = len(words.begin)
+    rows = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+    line = np.searchsorted(np.flatnonzero(words.data == 0x0A), words.begin) + rows
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(line)) + 1, [n])) if n else np.zeros(1, np.int64)
+    begin, size = cuts[:-1], np.diff(cuts)
+    long = size >= WINDOW
+    return rows[begin[long]], begin[long], size[long]
+
+
+def line_sets(hashes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingles of each line, one line's behind the other's, and where each line's begin, and the last end."""
+    if not len(begin):
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    each = size - SHINGLE_WORDS + 1
+    line = np.repeat(np.arange(len(begin)), each)
+    at = np.arange(len(line)) + np.repeat(begin - np.cumsum(each) + each, each)
+    s = shingle_hashes(hashes, SHINGLE_WORDS)[at]
+    order = np.lexsort((s, line))
+    s, line = s[order], line[order]
+    new = np.concatenate(([True], (s[1:] != s[:-1]) | (line[1:] != line[:-1])))
+    s, line = s[new], line[new]
+    return s, np.searchsorted(line, np.arange(len(begin) + 1))
 
 
-def line_set(hashes: np.ndarray) -> np.ndarray:
-    return np.unique(shingle_hashes(hashes, SHINGLE_WORDS))
+def line_bands(least: np.ndarray) -> np.ndarray:
+    """The bands of each row of least values."""
+    own = least[:, : BANDS * ROWS].astype(np.uint64).reshape(-1, BANDS, ROWS)
+    return mix64((mix64(own) * _PLACE).sum(axis=2, dtype=np.uint64) ^ _BAND).view(np.int64)
 
 
-def line_bands(least: np.ndarray) -> np.ndarray:
-    own = least[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS)
-    return mix64((mix64(own) * _PLACE).sum(axis=1, dtype=np.uint64) ^ _BAND).view(np.int64)
-
-
-def windows(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(print, hash) of each run of WINDOW words, in order; the print is the least hash of its runs of PRINT_WORDS words."""
-    n = len(hashes) - WINDOW + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    x = shingle_hashes(hashes, PIECE)
-    run = lambda words: np.stack([x[k : len(hashes) - words + 1 + k] for k in range(0, words, PIECE)])
-    first, *rest = run(PRINT_WORDS)
-    for other in rest:
-        first = mix64(first * _PLACE[0] + other)
-    least = np.lib.stride_tricks.sliding_window_view(first, WINDOW - PRINT_WORDS + 1).min(axis=1)
-    whole, *rest = run(WINDOW)
-    for other in rest:
-        whole = mix64(whole * _PLACE[1] + other)
-    return least.view(np.int64), whole.view(np.int64)
+def _runs(x: np.ndarray, words: int, factor: np.uint64) -> np.ndarray:
+    """A hash of each run of so many words, from x, the hashes of runs of PIECE words."""
+    n = len(x) + PIECE - words
+    out = x[:n]
+    for k in range(PIECE, words, PIECE):
+        out = mix64(out * factor + x[k : k + n])
+    return out
+
+
+def prints(hashes: np.ndarray) -> np.ndarray:
+    """For each run of WINDOW words, in order, the least hash of its runs of PRINT_WORDS words."""
+    if len(hashes) < WINDOW:
+        return np.zeros(0, np.int64)
+    least, width, whole = _runs(shingle_hashes(hashes, PIECE), PRINT_WORDS, _PLACE[0]), 1, WINDOW - PRINT_WORDS + 1
+    while 2 * width <= whole:
+        least, width = np.minimum(least[:-width], least[width:]), 2 * width
+    if width < whole:
+        least = np.minimum(least[: width - whole], least[whole - width :])
+    return least.view(np.int64)
+
+
+def windows(hashes: np.ndarray) -> np.ndarray:
+    """A hash of each run of WINDOW words, in order."""
+    return _runs(shingle_hashes(hashes, PIECE), WINDOW, _PLACE[1]).view(np.int64) if len(hashes) >= WINDOW else np.zeros(0, np.int64)
+
+
+def _of_rows(words: Words) -> list[slice]:
+    """Where the runs of WINDOW words of each row lie among those of all words."""
+    return [slice(a, max(a, b - WINDOW + 1)) for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]
 
 
 def _version(text: Column) -> Column:
@@ -107,22 +132,18 @@ def outlines(docs: DataFrame) -> DataFrame:
 
     def f(batch):
         words = words_of(batch.column(2))
-        prints, places, ns, keys, bands, bits = [], [], [], [], [], []
-        for row in range(batch.num_rows):
-            h = words.hashes[words.of(row)]
-            prints.append(np.unique(windows(h)[0]))
-            runs = line_runs(words, row)
-            sets = [line_set(h[a : a + n]) for a, n in runs]
-            least = [least_values(s, _MULTIPLY, _ADD) for s in sets]
-            places.append(np.array(runs, np.int32).reshape(-1))
-            ns.append(np.array([len(s) for s in sets], np.int32))
-            keys.append(np.array([xxhash.xxh3_64_intdigest(h[a : a + n].tobytes()) for a, n in runs], np.uint64).view(np.int64))
-            bands.append(np.concatenate([line_bands(x) for x in least]) if runs else np.zeros(0, np.int64))
-            bits.append(np.concatenate([low_bits(x) for x in least]) if runs else np.zeros(0, np.int64))
+        least_of_runs = prints(words.hashes)
+        row, begin, size = line_runs(words)
+        sets, ends = line_sets(words.hashes, begin, size)
+        least = least_values_of(sets, ends, _MULTIPLY, _ADD)
+        keys = np.array([xxhash.xxh3_64_intdigest(words.hashes[a : a + n].tobytes()) for a, n in zip(begin.tolist(), size.tolist(), strict=True)], np.uint64).view(np.int64)
+        lines = np.searchsorted(row, np.arange(batch.num_rows + 1))
+        listed = lambda values, kind, per=1: pa.ListArray.from_arrays(pa.array((lines * per).astype(np.int32)), pa.array(values.reshape(-1), kind))
         long, int_ = pa.int64(), pa.int32()
         return {
-            "doc_id": batch.column(0), "version": batch.column(1), "chars": np.diff(words.offset), "words": np.diff(words.first),
-            "prints": lists(prints, long), "places": lists(places, int_), "ns": lists(ns, int_), "keys": lists(keys, long), "bands": lists(bands, long), "bits": lists(bits, long),
+            "doc_id": batch.column(0), "version": batch.column(1), "chars": np.diff(words.offset), "words": np.diff(words.first), "prints": lists([np.unique(least_of_runs[own]) for own in _of_rows(words)], long),
+            "places": listed(np.stack([begin - words.first[row], size], axis=1).astype(np.int32), int_, 2), "ns": listed(np.diff(ends).astype(np.int32), int_), "keys": listed(keys, long),
+            "bands": listed(line_bands(least), long, BANDS), "bits": listed(low_bits(least), long, VALUES // 64),
         }
 
     kinds = "chars long, words long, prints array<long>, places array<int>, ns array<int>, keys array<long>, bands array<long>, bits array<long>"
@@ -149,19 +170,18 @@ def _details(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def f(batch):
         words = words_of(batch.column(2))
-        places, hashes, sets = [], [], []
-        wanted_of = [c.to_pylist() for c in batch.columns[4:]]
-        for row in range(batch.num_rows):
-            h = words.hashes[words.of(row)]
-            p = batch.column(3)[row].values
-            least, own = windows(h)
-            at = np.flatnonzero(np.isin(least, p.to_numpy())) if p is not None and len(p) else np.zeros(0, np.int64)
-            places.append(at.astype(np.int32))
-            hashes.append(own[at])
-            sets.append([line_set(h[a : a + n]).view(np.int64) for a, n in zip(wanted_of[0][row] or (), wanted_of[1][row] or (), strict=True)])
-        flat = lists([s for row in sets for s in row], pa.int64())
-        ends = np.concatenate(([0], np.cumsum([len(row) for row in sets]))).astype(np.int32)
-        return {"doc_id": batch.column(0), "version": batch.column(1), "places": lists(places, pa.int32()), "hashes": lists(hashes, pa.int64()), "nodes": batch.column(6), "sets": pa.ListArray.from_arrays(pa.array(ends), flat)}
+        least, own = prints(words.hashes), windows(words.hashes)
+        wanted_prints = lambda row: np.zeros(0, np.int64) if (p := batch.column(3)[row].values) is None else p.to_numpy()
+        places = [np.flatnonzero(np.isin(least[x], wanted_prints(row))) for row, x in enumerate(_of_rows(words))]
+        at, size = (c.to_pylist() for c in batch.columns[4:6])
+        begin = np.array([first + a for first, row in zip(words.first.tolist(), at) for a in row or ()], np.int64)
+        sets, ends = line_sets(words.hashes, begin, np.array([n for row in size for n in row or ()], np.int64))
+        lines = np.cumsum([0, *(len(row or ()) for row in at)]).astype(np.int32)
+        each = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(sets.view(np.int64)))
+        return {
+            "doc_id": batch.column(0), "version": batch.column(1), "places": lists([p.astype(np.int32) for p in places], pa.int32()), "hashes": lists([own[x][p] for x, p in zip(_of_rows(words), places, strict=True)], pa.int64()),
+            "nodes": batch.column(6), "sets": pa.ListArray.from_arrays(pa.array(lines), each),
+        }
 
     types = _TYPES | {"prints": "array<long>", "line_pos": "array<int>", "line_len": "array<int>", "nodes": "array<long>"}
     return map_batches(docs.join(wanted, ROW), types, lambda: f, f"{_NAMES}, places array<int>, hashes array<long>, nodes array<long>, sets array<array<long>>")
@@ -236,10 +256,10 @@ def cut_runs(words: Words, row: int, cut: np.ndarray) -> str:
     return (b"".join(out) + text[at:]).decode()
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with repeated passages cut from text_col, and the columns removed_words (the words cut) and repeated_words (also those kept
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", added: tuple[str, str] = ADDED) -> DataFrame:
+    """df with repeated passages cut from text_col, and two columns: removed_words (the words cut) and repeated_words (also those kept
     here, as the first document with the passage); no other column changes."""
-    names = [c for c in df.columns if c.lower() not in ADDED]
+    names = [c for c in df.columns if c.lower() not in {x.lower() for x in added}]
     df = df.select(*(F.col(f"`{c}`") for c in names))
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("doc_id is not null and text <> ''")
     free = "__"
@@ -250,7 +270,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = repeats(docs).select(*(F.col(c).alias(free + c) for c in (*ROW, *flags)), *(F.col(f"{m}.{c}").alias(free + c) for c in ("pos", "len", "later")))
     own = (F.col(f"`{id_col}`").cast("long") == F.col(free + "doc_id")) & (_version(F.col(f"`{text_col}`")) == F.col(free + "version"))
     joined = df.join(found, own, "left").drop(*(free + c for c in ROW))
-    schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.LongType()) for c in ADDED)])
+    schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.LongType()) for c in added)])
     at = names.index(text_col)
 
     def run(batches):
@@ -272,7 +292,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     removed.append(int(cut.sum()))
                     repeated.append(int(seen.sum()))
                 columns[at] = pa.array(texts, columns[at].type)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64()), pa.array(repeated, pa.int64())], names=[*batch.schema.names[: len(names)], *ADDED])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64()), pa.array(repeated, pa.int64())], names=[*batch.schema.names[: len(names)], *added])
 
     return joined.mapInArrow(run, schema)
 
