@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -28,17 +30,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class _Words(dict):
-    """ids of a word, found by `encode` when first asked for; emptied when full."""
+    """ids of a word, found by `encode` when first asked for. When full, what has been asked for since the last time stays one time more."""
 
-    def __init__(self, encode, limit: int = 400_000):
+    def __init__(self, encode, limit: int = 150_000):
         super().__init__()
-        self._encode, self._limit = encode, limit
+        self._encode, self._limit, self._old = encode, limit, {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self._limit:
-            self.clear()
-        x = self._encode(word)
+        x = self._old.get(word)
+        if x is None:
+            x = self._encode(word)
         if len(word) <= 256:
+            if len(self) >= self._limit:
+                self._old = dict(self)
+                self.clear()
             self[word] = x
         return x
 
@@ -46,22 +51,28 @@ class _Words(dict):
 class ByteBPE:
     """Encoder and decoder for a table of ranks; ids travel as little-endian unsigned 32-bit integers."""
 
-    MEMO = 1_000_000
+    #: Pairs of neighbours whose compatibility is kept.
+    MEMO = 250_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"the ranks lack {len(missing)} single bytes")
         self.ranks, self.tokens = ranks, {i: t for t, i in ranks.items()}
-        self._size = {i: len(t) for t, i in ranks.items()}
+        top = max(ranks.values()) + 1
+        self._size = [0] * top
+        for t, i in ranks.items():
+            self._size[i] = len(t)
         self._piece, self._chunk = regex.compile(pattern), regex.compile(r"\s*\S+|\s+")
         self._automaton = ahocorasick.Automaton()
         for token, i in ranks.items():
             self._automaton.add_word(token.decode("latin-1"), i)
         self._automaton.make_automaton()
-        self._shorter = {i: next((ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in ranks), -1) for t, i in ranks.items()}
+        self._shorter = [-1] * top
+        for t, i in ranks.items():
+            self._shorter[i] = next((ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in ranks), -1)
         self._halves: dict[int, tuple[int, int]] = {}
         self._joined: dict[tuple[int, int], int] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._learn_merges()
         self._after_space = _Words(lambda w: self._encode_chunk(" " + w if w[:1] != "\n" else w))
         self._alone = _Words(self._encode_chunk)
@@ -97,44 +108,57 @@ class ByteBPE:
                 bound, left = left, self._halves[left][1]
 
     def _fit(self, left: int, right: int) -> bool:
-        known = self._pairs.get((left, right))
-        if known is None:
-            if len(self._pairs) >= self.MEMO:
-                self._pairs.clear()
-            known = self._pairs[left, right] = self._together(left, right)
+        """_together, kept."""
+        if len(self._pairs) >= self.MEMO:
+            self._pairs.clear()
+        known = self._pairs[left << 32 | right] = self._together(left, right)
         return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one match of the pattern."""
-        if piece in self.ranks:
-            return [self.ranks[piece]]
-        size, n = self._size, len(piece)
+        known = self.ranks.get(piece)
+        if known is not None:
+            return [known]
+        size, shorter, pairs, n = self._size, self._shorter, self._pairs, len(piece)
         longest = [0] * n
         for end, i in self._automaton.iter(piece.decode("latin-1")):
             longest[end - size[i] + 1] = i  # ends ascend, so the longest is written last
         open_at = bytearray(b"\x01") * (n + 1)  # 0: no encoding of the rest begins here
         out: list[int] = []
-        at, token = 0, longest[0] if n else -1
+        at, token, last = 0, longest[0] if n else -1, -1
         while at < n:
             end = at + size[token]
-            if open_at[end] and (not out or self._fit(out[-1], token)):
-                out.append(token)
-                at = end
-                token = longest[at] if at < n else -1
-                continue
-            token = self._shorter[token]
+            if open_at[end]:
+                fits = last < 0
+                if not fits:
+                    fits = pairs.get(last << 32 | token)
+                    if fits is None:
+                        fits = self._fit(last, token)
+                if fits:
+                    out.append(token)
+                    at, last = end, token
+                    token = longest[at] if at < n else -1
+                    continue
+            token = shorter[token]
             while token < 0:  # nothing shorter: the last token was wrong
                 open_at[at] = 0
-                last = out.pop()
-                at -= size[last]
-                token = self._shorter[last]
+                wrong = out.pop()
+                at -= size[wrong]
+                token, last = shorter[wrong], out[-1] if out else -1
         return out
 
     def _encode_chunk(self, chunk: str) -> bytes:
-        ids: list[int] = []
+        ids, ranks = array("I"), self.ranks
         for piece in self._piece.findall(chunk):
-            ids += self.encode_piece(piece.encode("utf-8", "surrogatepass"))
-        return np.array(ids, dtype="<u4").tobytes()
+            own = piece.encode("utf-8", "surrogatepass")
+            known = ranks.get(own)
+            if known is None:
+                ids.extend(self.encode_piece(own))
+            else:
+                ids.append(known)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Ids of the whole text. No piece reaches from a letter over the white space after it, so white space with the word behind it can be encoded by itself."""

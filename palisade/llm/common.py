@@ -53,6 +53,14 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session hold ROWS_AT_ONCE rows at most from now on. Spark's default of 10,000 texts a batch has no bound in
+    bytes worth the name, outside the heap of the executor and once more in its worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS_AT_ONCE:
+        spark.conf.set(name, str(ROWS_AT_ONCE))
+
+
 def map_batches(df: DataFrame, columns: dict[str, str], make: Callable[[], Callable[[pa.RecordBatch], Iterable]], schema: str) -> DataFrame:
     """mapInArrow over the named columns (name: SQL type) in slices of ROWS_AT_ONCE.
 
@@ -60,6 +68,7 @@ def map_batches(df: DataFrame, columns: dict[str, str], make: Callable[[], Calla
     whatever their names, never reach Python.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     out = pa_schema(spark, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,6 +78,7 @@ def map_batches(df: DataFrame, columns: dict[str, str], make: Callable[[], Calla
                 got = f(part)
                 if got is not None:
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t.type) for x, t in zip((got[n] for n in out.names), out, strict=True)], schema=out)
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task, perhaps for long
 
     return df.select(*(F.col(f"`{c}`").cast(t).alias(c) for c, t in columns.items())).mapInArrow(run, schema)
 

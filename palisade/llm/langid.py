@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, pa_schema
+from .common import bound_batches, map_batches, pa_schema
 
 BUCKETS = 1 << 14
 SMOOTHING = 0.5
@@ -98,6 +98,7 @@ class Model:
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of all rows of df with a language. Each task adds up its own rows; the driver gets one number for each language and bucket."""
     schema = "lang string, bucket int, n long"
+    bound_batches(df.sparkSession)
     out = pa_schema(df.sparkSession, schema)
 
     def run(batches):

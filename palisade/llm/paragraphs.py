@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, differing_bits, discard, least_values_of, lists, low_bits, map_batches, mix64, most_differing, shingle_hashes, slices, words_of, written
+from .common import Words, bound_batches, differing_bits, discard, least_values_of, lists, low_bits, map_batches, mix64, most_differing, shingle_hashes, slices, words_of, written
 from .components import link_similar, shared_buckets
 
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -292,9 +292,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     removed.append(int(cut.sum()))
                     repeated.append(int(seen.sum()))
                 columns[at] = pa.array(texts, columns[at].type)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64()), pa.array(repeated, pa.int64())], names=[*batch.schema.names[: len(names)], *added])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64()), pa.array(repeated, pa.int64())], names=[*names, *added])
 
-    return joined.mapInArrow(run, schema)
+    bound_batches(df.sparkSession)
+    return joined.toDF(*(f"c{k}" for k in range(len(joined.columns)))).mapInArrow(run, schema)  # a name may hold dots
 
 
 def _covered(begin: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
