@@ -60,8 +60,11 @@ class WordTokenizer(dict):
         from tokenizers import Tokenizer
 
         self._t = Tokenizer.from_file(path)
-        self._t.encode_special_tokens = True  # in a text, their strings are ordinary text
         self._model, self._pattern, self._pieces = self._t.model, _split_pattern(self._t.to_str()), {}
+        self._added = [t.content.lower() for t in self._t.get_added_tokens_decoder().values()]
+        self._sign = os.path.commonprefix(self._added)
+        self._sign = self._sign if self._sign.upper() == self._sign else ""
+        self._letters_whole = self._pattern is not None and _keeps_letters(self._pattern.pattern)
         self.width = 2 if self._t.get_vocab_size() <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
 
@@ -75,23 +78,34 @@ class WordTokenizer(dict):
         if (x := self._pieces.get(piece)) is None:
             if len(self._pieces) >= self.LIMIT:
                 self._pieces.clear()
-            mapped = piece.encode().decode("latin-1").translate(_SHOWN)
+            mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SHOWN)
             self._pieces[piece] = x = self._packed([t.id for t in self._model.tokenize(mapped)])
         return x
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.LIMIT:
             self.clear()
-        split = self._pattern is not None and word.isprintable() and max(word) < "\u0250"
-        self[word] = x = b"".join(map(self._piece, self._pattern.findall(word.lower()))) if split else self.whole(word)
+        if self._pattern is None or not word.isprintable() or not (word.isascii() or max(word) < "\u0250"):
+            x = self.whole(word)
+        else:
+            low = word.lower()
+            x = self._piece(low) if self._letters_whole and low.isascii() and low.isalpha() else b"".join(map(self._piece, self._pattern.findall(low)))
+        self[word] = x
         return x
 
+    def _holds_added(self, text: str) -> bool:
+        """Whether a token that the file adds, such as one that marks an end, may stand in the text; the library takes it as one."""
+        if not self._added or self._sign not in text:
+            return False
+        low = text.lower()
+        return any(t in low for t in self._added)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text."""
         out = []
         for t in texts:
             t = t or ""
-            if any(c in t for c in self.ODD):
+            if any(c in t for c in self.ODD) or self._holds_added(t):
                 out.append(self.whole(t))
             else:  # where the pattern is known the file takes no notice of case, so ASCII needs no entries for capitals
                 out.append(b"".join(map(self.__getitem__, (t.lower() if self._pattern is not None and t.isascii() else t).split())))
@@ -109,6 +123,12 @@ def _split_pattern(file: str) -> regex.Pattern | None:
     return regex.compile(split["pattern"]["Regex"]) if plain and "Regex" in split["pattern"] else None
 
 
+def _keeps_letters(pattern: str) -> bool:
+    """Whether the pattern's alternatives make one piece of a word of letters alone: those before the one for letters begin with an apostrophe."""
+    own = pattern.split("|")
+    return r"[\p{L}]+" in own and all(x.startswith("'") for x in own[: own.index(r"[\p{L}]+")])
+
+
 #: The characters that show bytes in byte-level files: printable Latin-1 shows itself, the rest comes from U+0100 on in order.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
 _SHOWN = {b: 256 + k for k, b in enumerate(_HIDDEN)}
