@@ -8,8 +8,8 @@ Both rankings are global, and neither meets a source or the table in one task: r
 (then of the fraction) into cells of about CELL_ROWS rows, ranked within their cell, and offset by the counts of the cells before,
 which form a small table. A source with a third of all rows is spread over as many cells as its size asks for.
 
-A null text has no bytes (size 1). Null sources are one source. Rows that tie in everything are interchangeable. Rows of one
-doc_id stand in order of size and checksum. An empty table gives no rows. Extra columns are ignored; texts stay where they are.
+A null text has no bytes (size 1). Null sources are one source. Rows that tie in everything are interchangeable, and lie in one cell,
+so one row repeated many times over makes a large one. Rows of one doc_id stand in order of size and checksum. An empty table gives no rows. Extra columns are ignored; texts stay where they are.
 """
 
 from __future__ import annotations
@@ -20,15 +20,20 @@ from pyspark.sql import functions as F
 from .common import written
 
 CELL_ROWS = 20_000
+#: Cells whose counts are summed up together.
+BLOCK = 1024
 SEED = "palisade-9"
 
 
 def _counted(rows: DataFrame, group: list[str]) -> DataFrame:
-    """The rows in each cell and in the cells before it, within the group."""
-    before = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    cells = rows.groupBy(*group, "cell").agg(F.count("*").alias("in_cell"))
-    running = before.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    return cells.select(*group, "cell", F.coalesce(F.sum("in_cell").over(running), F.lit(0)).alias("before"), F.sum("in_cell").over(before).alias("n"))
+    """Of each cell: the rows in the cells before it and in all, within the group. Sums run over a block of BLOCK cells, and over the blocks."""
+    cells = rows.groupBy(*group, "cell").agg(F.count("*").alias("in_cell")).withColumn("block", F.expr(f"cell div {BLOCK}"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = cells.groupBy(*group, "block").agg(F.sum("in_cell").alias("in_block"))
+    whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    blocks = blocks.select(*group, "block", F.coalesce(F.sum("in_block").over(earlier(whole.orderBy("block"))), F.lit(0)).alias("base"), F.sum("in_block").over(whole).alias("n"))
+    inside = F.coalesce(F.sum("in_cell").over(earlier(Window.partitionBy(*group, "block").orderBy("cell"))), F.lit(0))
+    return cells.withColumn("inside", inside).join(blocks, [*group, "block"]).select(*group, "cell", (F.col("base") + F.col("inside")).alias("before"), "n")
 
 
 def assign_shards(df: DataFrame, shards: int = 8, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", cell_rows: int = CELL_ROWS) -> DataFrame:

@@ -24,7 +24,7 @@ def docs(spark):
     """Documents of the small scale with nulls, empty and very long texts, copies, odd white space and clashing names."""
     rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     n = len(rows)
-    extra = [None, "", "   ", LONG, LONG, "a", "one two", "Ä é  \x1cb  \n\n c\r\n", "!!! ???", rows[3][1], rows[3][1] + " end"]
+    extra = [None, "", "   ", LONG, LONG, "a", "one two", "Ä é  \x1cb  \n\n c\r\n", "!!! ???", rows[3][1], rows[3][1] + " end", "one <|endoftext|> two<|startoftext|>"]
     rows += [(1000 + k, t, None, None) for k, t in enumerate(extra)] + [(n and rows[0][0], rows[0][1], rows[0][2], rows[0][3]), (None, "null id here", None, "src0")]
     return spark.createDataFrame([(*r, None, "w", 1, 2) for r in rows], DOCS)
 
@@ -132,7 +132,6 @@ def test_token_shards_equal_the_library(docs, empty):
 
     path = queries.tokenizer_path(queries.WORD_TOKENIZER)
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     rows = sorted(((d, x or "") for d, x in pairs(docs)), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     manifest = ids_io.write_shards(docs, path, 1, shard_ids=5000)
     got = sorted(ids_io.read_shards(manifest).collect(), key=lambda r: (r["start"]))
@@ -285,19 +284,16 @@ def ascii_words(text):
     return text.encode().lower().split()
 
 
-def test_marks_equal_brute_force(spark):
-    """Every repeated run of 50 words, and the lines of every component of all pairs at an exact Jaccard similarity of 0.8."""
-    rng = np.random.default_rng(5)
-    base = [f"b{k}" for k in range(70)]
-    vary = lambda k: " ".join(f"z{x}" if hit else w for w, x, hit in zip(base, rng.integers(0, 10**9, 70), rng.random(70) < k / 70, strict=True))
-    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [(5000 + k, f"head {k}\n{vary(k % 5)}\ntail {k}") for k in range(50)]
-    first, firsts = {}, {}
+def plain_repeats(rows):
+    """For rows (order, text) with orders of their own: the words that an earlier text has, by runs of 50 and by lines at an exact Jaccard similarity of 0.8."""
+    rows = sorted((d, t) for d, t in rows if t)
+    first, firsts, copies = {}, {}, {}
     runs = {d: [tuple(w[k : k + 50]) for k in range(len(w) - 49)] for d, w in ((d, ascii_words(t)) for d, t in rows)}
-    for d, _ in sorted(rows):
+    for d, _ in rows:
         for x in runs[d]:
             first.setdefault(x, d)
     seen = {d: {k + i for k, x in enumerate(runs[d]) if first[x] < d for i in range(50)} for d in runs}
-    lines = [(d, at, w, {tuple(w[k : k + 5]) for k in range(len(w) - 4)}) for d, t in sorted(rows) for at, w in line_words(t)]
+    lines = [(d, at, w, {tuple(w[k : k + 5]) for k in range(len(w) - 4)}) for d, t in rows for at, w in line_words(t)]
     comp = list(range(len(lines)))
     for a in range(len(lines)):
         for b in range(a):
@@ -308,13 +304,22 @@ def test_marks_equal_brute_force(spark):
     for (d, at, w, _), c in zip(lines, comp, strict=True):
         if firsts[c] < d:
             seen[d] |= set(range(at, at + len(w)))
-    copies: dict = {}
-    for d, t in sorted(rows):
+    for d, t in rows:
         if copies.setdefault(t, d) < d and len(ascii_words(t)) >= 50:
             seen[d] = set(range(len(ascii_words(t))))
+    groups = collections.Counter(c for c, d in {(c, d) for (d, *_), c in zip(lines, comp, strict=True)})
+    return seen, max(groups.values(), default=0)
+
+
+def test_marks_equal_brute_force(spark):
+    """Every repeated run of 50 words, and the lines of every component of all pairs."""
+    rng = np.random.default_rng(5)
+    base = [f"b{k}" for k in range(70)]
+    vary = lambda k: " ".join(f"z{x}" if hit else w for w, x, hit in zip(base, rng.integers(0, 10**9, 70), rng.random(70) < k / 70, strict=True))
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [(5000 + k, f"head {k}\n{vary(k % 5)}\ntail {k}") for k in range(50)]
+    want, largest = plain_repeats(rows)
     got = {r["doc_id"]: r["removed_words"] for r in paragraphs.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert any(len({d for (d, *_), x in zip(lines, comp, strict=True) if x == c}) > 10 for c in set(comp))
-    assert got == {d: len(x) for d, x in seen.items()}
+    assert largest > 10 and got == {d: len(x) for d, x in want.items()}
 
 
 def test_repeated_words_count_the_first_document(spark):
@@ -453,28 +458,89 @@ def test_edit_aware_counts(docs, empty):
             assert doc.tokens == len(own.encode(doc.text)) // 4
     text = dict(pairs(docs))
     for r in token_counts.count_with_edits(docs, path, pattern).collect():
-        assert r["n_tokens"] == len(own.encode(text[r["doc_id"]])) // 4 and r["reencoded_pieces"] <= 40
+        after = text[r["doc_id"]] or ""
+        for a, b, new in token_counts.standard_edits(len(after)):
+            after = after[:a] + new + after[b:]
+        assert (r["n_tokens"], r["n_chars_after"], r["n_tokens_after"]) == (len(own.encode(text[r["doc_id"]])) // 4, len(after), len(own.encode(after)) // 4) and r["reencoded_pieces"] <= 40
     assert token_counts.count_with_edits(empty, path, pattern).count() == 0
 
 
-def test_pipeline_keeps_clean_documents(spark):
-    import corpus_pipeline
+def test_pipeline_equals_plain_stages(spark, tmp_path):
+    """run() and each of its stages against plain versions that look at every row, pair and place."""
+    import tiktoken
+
+    import corpus_pipeline as c
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    out = docs
-    for name, stage in corpus_pipeline.STAGES:
-        before = out
-        out = corpus_pipeline.written(stage(spark, out, SF), f"test-{name}")
-        if name != "byte_bpe":
-            assert out.schema == before.schema or out.columns == before.columns
-        assert 0 < out.count() <= before.count()
-    assert out.count() >= 0.6 * docs.count()
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = np.random.default_rng(4)
+    real = [r.asDict() for r in table.collect()]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect()[1]["text"]
+    by_lang = {r["lang"]: r for r in real if r["lang"] and r["n_chars"] > 900}
+    passage = " ".join(w for w in by_lang["en"]["text"].split()[:70])
+    base = by_lang["de"]
+    more = [("near", base["text"].replace(" der ", " xxx ", 1)), ("held", base["text"][::-1][:400] + " " + item), ("has", "aaa bbb " + passage + " ccc"), ("junk", "0 1 2 3"), ("none", None), ("long", by_lang["fr"]["text"] * 40 if "fr" in by_lang else passage * 40)]
+    rows = [*real, *({**base, "doc_id": 9000 + k, "text": t, "lang": None, "source": None, "n_chars": None} for k, (_, t) in enumerate(more))]
+    docs = spark.createDataFrame(rows, table.schema)
+    (tmp_path / "sf").mkdir()
+    docs.write.parquet(str(tmp_path / "sf/documents.parquet")), spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "sf/benchmark.parquet"))
+    out, stage = docs, dict(c.STAGES)
+    step = lambda name: c.written(stage[name](spark, out, str(tmp_path / "sf")), f"test-{name}")
+    texts = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    model = langid.train(docs.filter(langid.fold_of() != 2))
+    mixed = {r["doc_id"]: model.mixture(r["text"]) for r in rows}
+    out = step("language_id")
+    assert set(texts(out)) == {d for d, m in mixed.items() if m and m[0][1] >= 0.5} and out.schema == docs.schema
+    assert not {9003, 9004} & set(texts(out)) and {r["doc_id"]: r["lang"] for r in out.collect()}[9002] == mixed[9002][0][0]
+    before = texts(out)
+    out = step("near_dedup")
+    assert texts(out) == {d: before[d] for d, (_, comp, kept) in jaccard_components(before.items(), 5).items() if kept}
+    assert 9000 not in texts(out)
+    before = texts(out)
+    out = step("substring_dedup")
+    cut, _ = plain_repeats(before.items())
+    after = texts(out)
+    assert {d: ascii_words(t) for d, t in after.items()} == {d: [w for k, w in enumerate(ascii_words(t)) if k not in cut.get(d, ())] for d, t in before.items()}
+    assert ascii_words(after[9002]) == [b"aaa", b"bbb", b"ccc"] and {r["doc_id"]: r["n_chars"] for r in out.collect()} == {d: len(t) for d, t in after.items()}
+    words = decontam.CleanWords()
+    tests = [decontam.clean_words(r["text"], words) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    out = step("decontamination")
+    assert texts(out) == {d: t for d, t in after.items() if not any(holds(decontam.clean_words(t, words), x) for x in tests)} and 9001 not in texts(out)
+    enc = tiktoken.Encoding("own", pat_str=queries.piece_pattern(), mergeable_ranks=bpe.read_ranks(queries.tokenizer_path(queries.BYTE_RANKS)), special_tokens={})
+    want = {d: np.array(enc.encode_ordinary(t), "<u4") for d, t in texts(out).items()}
+    for got in (step("byte_bpe"), c.run(spark, str(tmp_path / "sf"))):
+        assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in got.collect()} == {d: (len(x), hashlib.sha256(x.tobytes()).hexdigest()) for d, x in want.items()}
     first = docs.limit(0)
-    for _, stage in corpus_pipeline.STAGES:
-        first = stage(spark, first, SF)
+    for _, f in c.STAGES:
+        first = f(spark, first, SF)
     assert first.count() == 0
 
 
+def test_stages_with_odd_rows_and_names(spark):
+    """Nulls in every column, repeated and null ids, equal rows, empty and very long texts, and columns named as those that stages add."""
+    import corpus_pipeline as c
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `__own` string, `__row` long, `__found` long, `__doc_id` int, removed_words string, node long, comp long, `a b.c` int"
+    clean = "the garden was wet and the rain fell on it all through the night while we slept and dreamt of other things"
+    texts = [clean, clean + " again and once more until the sun came up", None, "", "   ", LONG, clean, "one", "one"]
+    ids = [1, None, 2, None, 5, 6, None, 7, 7]
+    rows = [(d, t, None if k % 2 else "en", None, None, "o", 1, None, k, "r", k, k, None) for k, (d, t) in enumerate(zip(ids, texts, strict=True))]
+    df = spark.createDataFrame([*rows, (None,) * 13], schema)
+    learned = spark.createDataFrame([(k, clean, "en", "s", 3, *("x", 1, 1, 1, "r", 1, 1, 1)) for k in range(20, 30)], schema)
+    for name, f in c.STAGES[:-1]:
+        got = f(spark, df.unionByName(learned) if name == "language_id" else df, SF)
+        assert got.columns == df.columns
+        kept = got.filter("doc_id is null or doc_id < 20").collect()
+        by = collections.Counter((r["doc_id"], r["text"]) for r in kept)
+        if name == "language_id":
+            assert by == collections.Counter({k: n for k, n in collections.Counter(zip(ids, texts)).items() if k[1] and k[1].strip() and by[k]}) and by[1, clean] == by[None, clean] == 1
+        elif name == "near_dedup":  # equal texts and near ones leave the row of the least id; texts without words stay, equal rows as one
+            assert by == collections.Counter([(1, clean), (None, clean + " again and once more until the sun came up"), (2, None), (None, ""), (5, "   "), (6, LONG), (7, "one"), (None, None)])
+        else:
+            assert sorted(map(str, by.elements())) == sorted(map(str, [*zip(ids, texts), (None, None)]))
+            assert {r["removed_words"] for r in kept} == {"r", None} and {r["__own"] for r in kept} == {"o", None}
+    assert c.tokenize(spark, df, SF).count() == 10
+
+
 def test_links_through_hubs_equal_all_pairs(spark, monkeypatch):
     """Families of near copies with near misses and two centres, with hubs of buckets many times over and with none."""
     from palisade.llm import components as c
@@ -509,7 +575,7 @@ def test_links_through_hubs_equal_all_pairs(spark, monkeypatch):
 def test_words_and_pieces_as_the_library():
     t = ids_io.WordTokenizer(queries.tokenizer_path(queries.WORD_TOKENIZER))
     assert t._pattern is not None
-    texts = ["Plain words, AND capitals.", "it's O'Neil'S 'Ll'd", "́x y", "<|startoftext|> <|ENDOFTEXT|>", "ẞ İstanbul ΟΔΟΣ ß", "soft\xadhy", "Ǆungla ŉ ſ ª² ÀÉ i̇ É", "a\x00b \x7f c\x85d", "A\x1cB c", "", "  ", "___ 123٣ x1y2", "日本 語x"]
+    texts = ["Plain words, AND capitals.", "it's O'Neil'S 'Ll'd", "́x y", "<|startoftext|> <|ENDOFTEXT|>", "a <|endoftext|> b", "x<|endoftext|>", "<| not one |>", "ẞ İstanbul ΟΔΟΣ ß", "soft\xadhy", "Ǆungla ŉ ſ ª² ÀÉ i̇ É", "a\x00b \x7f c\x85d", "A\x1cB c", "", "  ", "___ 123٣ x1y2", "日本 語x"]
     texts += ["".join(chr(c) for c in range(a, a + 7)) for a in range(0, 0x260, 7)]
     assert t.encode(texts) == [t.whole(x) for x in texts]
     assert t.encode([None]) == [b""]
@@ -557,6 +623,26 @@ def test_passages_of_one_id_with_two_texts(spark):
     assert got == collections.Counter([(1, rows[0][1], 0), (5, head, 61), (5, rows[2][1], 0), (5, tail, 80), (6, "", 61)])
 
 
+def test_sketches_of_pairs_at_the_limit():
+    """Real registers behave as the calculation of losses takes them to: 1500 pairs of sets at a similarity of exactly 0.8."""
+    from palisade.llm.common import most_differing
+
+    rng = np.random.default_rng(77)
+    rows = []
+    for _ in range(1500):
+        common = int(rng.integers(20, 60)) * 8
+        own = int(rng.integers(0, common // 4 + 1))
+        x = rng.integers(0, 1 << 64, common + common // 4, dtype=np.uint64)
+        rows.append((x[: common + own], np.concatenate((x[:common], x[common + own :]))))
+    a, b = (np.array([setsketch.registers(r[k]) for r in rows]) for k in (0, 1))
+    n_a, n_b = (np.array([len(r[k]) for r in rows], float) for k in (0, 1))
+    equal, differing = (a == b).sum(axis=1), ((a ^ b) & 1).sum(axis=1)
+    assert abs(equal.mean() - 160) < 0.7 and abs(equal.var() - 32) < 5 and abs(differing.mean() - 20) < 0.5 and abs(differing.var() - 18) < 3
+    best, top, at = setsketch.joint_estimate(a, b, n_a, n_b)
+    assert (differing <= most_differing(0.8, setsketch.M, setsketch.LOSS)).all() and ((best >= 0.8) | (at(np.full(len(best), 0.8)) >= top - setsketch.UNLIKELY)).all()
+    assert all((setsketch.bands(x) == setsketch.bands(y)).any() for x, y in zip(a, b, strict=True)) and abs(best.mean() - 0.8) < 0.005
+
+
 def test_differing_bits_lose_few_links():
     import math
 
