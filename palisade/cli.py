@@ -52,8 +52,9 @@ def parser() -> argparse.ArgumentParser:
 
 
 def fetch(config: dict) -> None:
-    from .sources.pull import download, download_misp
+    from .sources.pull import download, download_editions, download_misp
 
+    download_editions(config.get("geoip") or {})
     for f in config["feeds"]:
         if f.get("url") and f.get("dest") and f.get("type") in ("stix", "ua", "tld", "file"):
             download(f["url"], f["dest"])

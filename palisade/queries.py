@@ -72,8 +72,8 @@ def merge_identity(spark, sf_dir):
     return _shown(part_indicators(spark, sf_dir), F.col("ip4_start").alias("s"), F.col("ip4_end").alias("e"), "str")
 
 
-def flatten_ranges(spark, sf_dir):
-    return C.flatten_v4(part_indicators(spark, sf_dir)).select(F.col("ip_start").alias("s"), F.col("ip_end").alias("e"), "confidence", "confidence_r", "type_mask", "tlp_mask", "category_mask", F.array_join("feeds", ",").alias("feeds"))
+def flatten_ranges(spark, sf_dir, indicators: DataFrame | None = None):
+    return C.flatten_v4(part_indicators(spark, sf_dir) if indicators is None else indicators).select(F.col("ip_start").alias("s"), F.col("ip_end").alias("e"), "confidence", "confidence_r", "type_mask", "tlp_mask", "category_mask", F.array_join("feeds", ",").alias("feeds"))
 
 
 def observed(spark, sf_dir) -> DataFrame:

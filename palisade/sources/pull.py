@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import io
 import json
 import os
 import re
+import shutil
+import tarfile
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -85,6 +90,44 @@ def download_misp(feed: dict) -> None:
     download(feed["url"].rstrip("/") + "/attributes/restSearch", feed["dest"], feed["key"], {"returnFormat": "json", "last": feed.get("since", "7d"), "to_ids": 1, "limit": 10_000})
 
 
+def _authorised(url: str, user: str, password: str) -> urllib.request.Request:
+    return urllib.request.Request(url, headers={"Authorization": "Basic " + base64.b64encode(f"{user}:{password}".encode()).decode()})
+
+
+def download_editions(geo: dict) -> list[str]:
+    """Databases of places, as a configuration's geoip names them (base_url, account_id, license_key, editions, dest_dir): those whose
+    checksum has changed are fetched as archives and their .mmdb put in place. Returns the editions fetched; without an account, none."""
+    user, password = geo.get("account_id"), geo.get("license_key")
+    if not user and not password:
+        return []
+    if not (user and password and geo.get("editions") and geo.get("base_url")):
+        raise S.EngineError(S.EINVAL, "geoip needs base_url, account_id, license_key and editions")
+    folder, fetched = geo.get("dest_dir", "out"), []
+    os.makedirs(folder, exist_ok=True)
+    for edition in geo["editions"]:
+        place, mark = (os.path.join(folder, f"{edition}.{end}") for end in ("mmdb", "sha256"))
+        get = lambda suffix, e=edition: urllib.request.urlopen(_authorised(f"{geo['base_url'].rstrip('/')}/{e}/download?suffix={suffix}", user, password), timeout=120)
+        with get("tar.gz.sha256") as answer:
+            wanted = answer.read().decode().split()[0]
+        if os.path.exists(place) and os.path.exists(mark) and open(mark).read().strip() == wanted:
+            continue
+        with get("tar.gz") as answer:
+            data = answer.read()
+        if hashlib.sha256(data).hexdigest() != wanted:
+            raise S.EngineError(S.ECHECKSUM, f"the archive of {edition}")
+        with tarfile.open(fileobj=io.BytesIO(data)) as archive:
+            member = next((m for m in archive if m.isfile() and m.name.endswith(".mmdb")), None)
+            if member is None:
+                raise S.EngineError(S.EFORMAT, f"the archive of {edition} has no .mmdb")
+            with open(place + ".new", "wb") as f:
+                shutil.copyfileobj(archive.extractfile(member), f)
+        os.replace(place + ".new", place)
+        with open(mark, "w") as f:
+            f.write(wanted + "\n")
+        fetched.append(edition)
+    return fetched
+
+
 class _Slice(InputPartition):
     def __init__(self, lo: int, hi: int):
         self.lo, self.hi = lo, hi

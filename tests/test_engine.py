@@ -1,26 +1,31 @@
 """Builds, folds and lookups on small fixtures, with the answers that the engine must give."""
 
 import contextlib
+import hashlib
 import http.server
+import io
 import ipaddress
 import json
 import random
 import shutil
+import tarfile
 import threading
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from palisade import cli
 from palisade import schema as S
 from palisade.functions import address as A
+from palisade.functions import hashes
 from palisade.functions import text as X
 from palisade.operators import compile as C
 from palisade.operators import fold as FO
 from palisade.operators import match as M
 from palisade.plans import build as B
 from palisade.plans.store import Store, validate_ranges
-from palisade.sources import feeds, pull, stix
+from palisade.sources import feeds, prevalence, pull, stix
 from palisade.streaming import stream
 
 NOW = 1_700_000_000
@@ -352,6 +357,78 @@ def misp(rows):
     server.shutdown()
 
 
+def test_prevalence_files(spark, tmp_path):
+    """Published check values of both hashes, and a file made here, read and refused."""
+    assert hashes.crc32c(b"123456789") == 0xE3069283 and hashes.crc32c(b"") == 0
+    key = tuple(int.from_bytes(bytes(range(a, a + 8)), "little") for a in (0, 8))
+    published = {0: 0x726FDB47DD0E0E31, 1: 0x74F839C593DC67FD, 7: 0xAB0200F58B01D137, 8: 0x93F5F5799A932462, 15: 0xA129CA6149BE45E5}
+    got = hashes.siphash([bytes(range(n)) for n in published], key, 2, 4)
+    assert got.tolist() == list(published.values())
+    values = {f"v{k}": (k * 3, k, k // 2) for k in range(1, 40)}
+    table = np.zeros(64, prevalence.ENTRY)
+    for v, counts in values.items():
+        h = int(hashes.siphash([v.encode()], key)[0]) or 1
+        at = h % 64
+        while table[at]["hash"]:
+            at = (at + 1) % 64
+        table[at] = (h, *counts)
+    body = table.tobytes()
+
+    def write(name, magic=prevalence.MAGIC, version=3, slots=64, checksum=None, begin=80, most=117):
+        head = prevalence.HEADER.pack(magic, version, 80 + len(body), slots, 39, hashes.crc32c(body) if checksum is None else checksum, NOW, begin, most, 5, *key)
+        (tmp_path / name).write_bytes(head + body)
+        return str(tmp_path / name)
+
+    asked = spark.createDataFrame([("v7",), ("none",), ("",), (None,)], "v string")
+    for path in (write("a.prev"), write("b.prev", checksum=0)):
+        header, rows = prevalence.read_prevalence(spark, path)
+        assert rows.count() == 39 and (header.reporting_edges, header.epoch, header.count_max) == (5, NOW, 117)
+        got = {r["v"]: tuple(r)[1:] for r in prevalence.prevalence_of_file(asked, "v", header, rows).collect()}
+        assert got == {"v7": (21, 7, 3), "none": (0, 0, 0), "": (0, 0, 0), None: (0, 0, 0)}
+    header, rows = prevalence.read_prevalence(spark, write("cold.prev", most=0))
+    assert all(r["fleet_count"] is None for r in prevalence.prevalence_of_file(asked, "v", header, rows).collect())
+    for code, wrong in ((S.EFORMAT, {"magic": 1}), (S.EVERSION, {"version": 2}), (S.EFORMAT, {"slots": 63}), (S.EFORMAT, {"slots": 128}), (S.EFORMAT, {"begin": 84}), (S.EFORMAT, {"begin": 72})):
+        with pytest.raises(S.EngineError) as e:
+            prevalence.read_prevalence(spark, write("bad.prev", **wrong))
+        assert e.value.code == code
+    with pytest.raises(Exception, match="checksum"):
+        prevalence.read_prevalence(spark, write("bad.prev", checksum=7))[1].count()
+
+
+def test_editions_are_fetched_once(tmp_path):
+    packed = io.BytesIO()
+    with tarfile.open(fileobj=packed, mode="w:gz") as archive:
+        for name, data in (("x/README", b"r"), ("x/Place.mmdb", b"places")):
+            entry = tarfile.TarInfo(name)
+            entry.size = len(data)
+            archive.addfile(entry, io.BytesIO(data))
+    served, asked = {"tar.gz": packed.getvalue()}, []
+
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            assert self.headers["Authorization"] == "Basic dTpr"
+            kind = self.path.partition("suffix=")[2]
+            asked.append(kind)
+            body = served["tar.gz"] if kind == "tar.gz" else f"{served.get('sha') or hashlib.sha256(served['tar.gz']).hexdigest()}  Place.tar.gz\n".encode()
+            self.send_response(200), self.send_header("Content-Length", str(len(body))), self.end_headers(), self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    geo = {"base_url": f"http://127.0.0.1:{server.server_port}", "account_id": "u", "license_key": "k", "editions": ["Place"], "dest_dir": str(tmp_path)}
+    assert pull.download_editions(geo) == ["Place"] and (tmp_path / "Place.mmdb").read_bytes() == b"places"
+    assert pull.download_editions(geo) == [] and asked == ["tar.gz.sha256", "tar.gz", "tar.gz.sha256"]
+    served["sha"] = "0" * 64
+    with pytest.raises(S.EngineError):
+        pull.download_editions(geo)
+    server.shutdown()
+    assert pull.download_editions({}) == []
+    with pytest.raises(S.EngineError):
+        pull.download_editions({"account_id": "u"})
+
+
 def test_pull_slices_and_source(spark, monkeypatch):
     now, stamps = 1000, [10, 11, 11, 11, 500, 900]
     spark.dataSource.register(pull.MispSource)
