@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of a batch that a Python worker handles at once, and bytes of text from which it takes fewer; longer Arrow batches are sliced.
 ROWS_AT_ONCE, TEXT_AT_ONCE = 512, 1 << 22
@@ -83,6 +84,26 @@ def map_batches(df: DataFrame, columns: dict[str, str], make: Callable[[], Calla
     return df.select(*(F.col(f"`{c}`").cast(t).alias(c) for c, t in columns.items())).mapInArrow(run, schema)
 
 
+def add_columns(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Array], list]], added: str) -> DataFrame:
+    """df with further columns (name: SQL type, as DDL) worked out from its texts, without a join; all other columns pass through,
+    whatever their names and types. make() runs once in a task and gives the function from a slice of texts to the columns' values."""
+    bound_batches(df.sparkSession)
+    new = StructType.fromDDL(added)
+    kinds = [t.type for t in pa_schema(df.sparkSession, added)]
+    names, at = [*df.columns, *new.names], df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            for part in slices(batch):
+                made = [pa.array(x, t) for x, t in zip(f(part.column(at).cast(pa.string())), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=names)
+        pa.default_memory_pool().release_unused()
+
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))  # a name may hold dots
+    return plain.mapInArrow(run, StructType([*df.schema.fields, *new.fields]))
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most ROWS_AT_ONCE rows, and of TEXT_AT_ONCE bytes where a row has no more by itself."""
     texts = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type)]
@@ -97,7 +118,6 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def pa_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(ddl))
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, mix64, written
+from .common import add_columns, map_batches, mix64, written
 
 #: Fixed masks: 1 is compared, 0 is ignored.
 MASKS = ("11111", "101111", "110111", "111011", "111101")
@@ -157,12 +157,10 @@ def best_run(same: np.ndarray) -> tuple[int, int]:
 
 def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, contaminated, n_items, item_ids, best_item, best_score, common_words) of every row."""
-    tests = _distinct_items(benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("t")).filter("item is not null and t is not null"))
-    blocks = _blocks(tests, block_words)
+    tests, blocks = _items(benchmark, item_col, item_text_col, block_words)
     out = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.array().cast("array<struct<item:long,score:int,common:int>>").alias("found"))
     for k in range(blocks):
-        own = tests.filter(_block_of(blocks) == k).orderBy("item", "t").toArrow().to_pydict()
-        out = _search(out, Index.build(list(zip(own["item"], own["t"], strict=True))), last=k == blocks - 1)
+        out = _search(out, _index(tests, blocks, k), last=k == blocks - 1)
     hit = F.size("found") > 0
     first = F.when(hit, F.get(F.array_sort(F.transform("found", lambda x: F.struct((-x["score"]).alias("s"), (-x["common"]).alias("c"), x["item"].alias("i")))), F.lit(0)))
     return out.select(
@@ -171,6 +169,37 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     )
 
 
+def with_contamination(df: DataFrame, benchmark: DataFrame, added: str = "contaminated", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """df with a column that tells the contaminated rows, without a join; one pass for each block of the benchmark."""
+    tests, blocks = _items(benchmark, item_col, item_text_col, block_words)
+    out, more = df, f"{added}_"
+    while more in df.columns:
+        more += "_"
+    for k in range(blocks):
+        shipped = df.sparkSession.sparkContext.broadcast(_index(tests, blocks, k))
+
+        def make(shipped=shipped):
+            own, table = shipped.value, CleanWords()
+            return lambda texts: [[bool(x) for x in own.overlaps([clean_words(t, table) for t in texts.to_pylist()])]]
+
+        out = add_columns(out, text_col, make, f"`{added if k == 0 else more}` boolean")
+        if k:
+            out = out.withColumn(added, F.col(f"`{added}`") | F.col(f"`{more}`")).drop(more)
+    return out
+
+
+def _items(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> tuple[DataFrame, int]:
+    """The items that are sought, and into how many blocks they go."""
+    named = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    tests = _distinct_items(named.filter("item is not null and t is not null"))
+    return tests, _blocks(tests, block_words)
+
+
+def _index(tests: DataFrame, blocks: int, k: int) -> Index:
+    own = tests.filter(_block_of(blocks) == k).orderBy("item", "t").toArrow().to_pydict()
+    return Index.build(list(zip(own["item"], own["t"], strict=True)))
+
+
 def _distinct_items(tests: DataFrame) -> DataFrame:
     """Written rows (item, t, n) of the items that are long enough: one for each sequence of words, with the least id."""
 

@@ -16,10 +16,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, map_batches, pa_schema
+from .common import add_columns, bound_batches, map_batches, pa_schema
 
 BUCKETS = 1 << 14
 SMOOTHING = 0.5
@@ -120,28 +120,40 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
     return Model(langs, counts)
 
 
-def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score, languages): the main language, its proportion, and all chosen ones as name:proportion."""
-    shipped = df.sparkSession.sparkContext.broadcast((model.langs, model.p))
+def _found(model: Model, spark: SparkSession):
+    """Makes the function from texts to their main language, its proportion, and all chosen ones as name:proportion."""
+    shipped = spark.sparkContext.broadcast((model.langs, model.p))
 
     def make():
         m = Model([], np.zeros((0, BUCKETS)))
         m.langs, m.p = shipped.value
 
-        def f(batch):
-            found = [m.mixture(t) for t in batch.column(1).to_pylist()]
-            return {
-                "doc_id": batch.column(0),
-                "lang_pred": [x[0][0] if x else "und" for x in found],
-                "score": [min(1.0, x[0][1]) if x else 0.0 for x in found],
-                "languages": [",".join(f"{lang}:{share:.3f}" for lang, share in x) for x in found],
-            }
+        def f(texts: pa.Array) -> list:
+            found = [m.mixture(t) for t in texts.to_pylist()]
+            return [[x[0][0] if x else "und" for x in found], [min(1.0, x[0][1]) if x else 0.0 for x in found], [",".join(f"{lang}:{share:.3f}" for lang, share in x) for x in found]]
 
         return f
 
+    return make
+
+
+def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score, languages): the main language, its proportion, and all chosen ones as name:proportion."""
+    found = _found(model, df.sparkSession)
+    names = ("lang_pred", "score", "languages")
+
+    def make():
+        f = found()
+        return lambda batch: {"doc_id": batch.column(0)} | dict(zip(names, f(batch.column(1)), strict=True))
+
     return map_batches(df, {id_col: "long", text_col: "string"}, make, "doc_id long, lang_pred string, score double, languages string")
 
 
+def with_language(df: DataFrame, model: Model, added: tuple[str, str, str] = ("lang_pred", "score", "languages"), text_col: str = "text") -> DataFrame:
+    """df with the columns of identify() under these names, without a join."""
+    return add_columns(df, text_col, _found(model, df.sparkSession), ", ".join(f"`{n}` {t}" for n, t in zip(added, ("string", "double", "string"), strict=True)))
+
+
 def fold_of(id_col: str = "doc_id"):
     """crc32 of the doc_id as text, mod 4; 2 is held out."""
     return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))) % 4

@@ -216,12 +216,12 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     runs = details.select(*ROW, F.explode(F.arrays_zip("places", "hashes")).alias("x")).select(*ROW, F.col("x.places").alias("pos"), F.col("x.hashes").alias("hash"))
     in_runs = _shared(runs, "hash").select(*ROW, "pos", F.lit(WINDOW).alias("len"), (F.col("doc_id") > F.col("lo")).alias("later"))
-    sets = written(details.select(F.explode(F.arrays_zip("nodes", "sets")).alias("x")).select(F.col("x.nodes").alias("node"), F.col("x.sets").alias("elements")), "line-sets")
+    sets = details.select(F.explode(F.arrays_zip("nodes", "sets")).alias("x")).select(F.col("x.nodes").alias("node"), F.col("x.sets").alias("elements"))
     in_lines = _similar(lines, members, infos.select("node", "n", "bits"), sets)
     marks = in_runs.unionByName(in_lines).groupBy(*ROW).agg(F.collect_list(F.struct("pos", "len", "later")).alias("marks"))
     whole = copies.filter("copied").select(*ROW, (~F.col("first")).alias("whole_later"), F.col("first").alias("whole_first"))
     out = written(marks.join(whole, ROW, "full").select(*ROW, F.coalesce("whole_later", F.lit(False)).alias("whole_later"), F.coalesce("whole_first", F.lit(False)).alias("whole_first"), "marks"), "marks")
-    discard(copies, lines, members, infos, details, sets)
+    discard(copies, lines, members, infos, details)
     return out
 
 

@@ -344,7 +344,9 @@ def test_decontamination(spark, docs, empty):
         got = {r["doc_id"]: r for r in decontam.contamination(df, bench, block_words=block).collect()}
         assert got[1]["item_ids"] == [3] and got[3]["item_ids"] == [7] and got[7]["item_ids"] == [3, 8] and got[4]["contaminated"] == (len(w) >= 24)
         assert not any(got[k]["contaminated"] for k in (2, 5, 6))
-    assert decontam.contamination(empty, bench).count() == 0
+        flags = {r["doc_id"]: r["c"] for r in decontam.with_contamination(df.withColumn("c_", F.lit(3)), bench, "c", block_words=block).collect()}
+        assert flags == {d: r["contaminated"] for d, r in got.items()}
+    assert decontam.contamination(empty, bench).count() == 0 and decontam.with_contamination(empty, bench).count() == 0
     assert not any(r["contaminated"] for r in decontam.contamination(df, bench.limit(0)).collect())
     # every place against every item, without seeds
     table = decontam.CleanWords()
