@@ -11,7 +11,7 @@ and empty texts and with ties its docstring states.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import bpe, decontam, langid, paragraphs, setsketch
@@ -29,20 +29,18 @@ def _free(docs: DataFrame, name: str) -> str:
     return name
 
 
-def _hash_of_row() -> Column:
-    """The same for rows with an equal doc_id, or none, and an equal text only."""
-    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
-
-
-def with_own_ids(docs: DataFrame, own: str) -> DataFrame:
-    """docs with a column own: doc_id, or, where ids are null or name several texts, a number for each id and text in the order of ids, nulls last."""
+def with_own_ids(docs: DataFrame, own: str) -> tuple[DataFrame, bool]:
+    """docs with a column own, and whether it differs in every row: doc_id, or, where ids are null or name several texts, a number for
+    each id and text in the order of ids, nulls last."""
+    if not docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").head(1):
+        return docs.withColumn(own, F.col("doc_id")), True
     texts = written(docs.select("doc_id", F.xxhash64("text").alias("hash")).distinct(), "ids")
     if not texts.groupBy("doc_id").count().filter("count > 1 or doc_id is null").head(1):
-        return docs.withColumn(own, F.col("doc_id"))
+        return docs.withColumn(own, F.col("doc_id")), False
     ranked = texts.sort(F.col("doc_id").asc_nulls_last(), "hash").withColumn("own", F.monotonically_increasing_id())
     ids = written(ranked, "own-ids").select(F.col("doc_id").alias(f"{own}doc"), F.col("hash").alias(f"{own}hash"), F.col("own").alias(own))
     found = docs.join(ids, docs["doc_id"].eqNullSafe(F.col(f"{own}doc")) & (F.xxhash64(docs["text"]) == F.col(f"{own}hash"))).select(docs["*"], own)
-    return written(found, "own-documents")
+    return written(found, "own-documents"), False
 
 
 def _columns(docs: DataFrame) -> list[str]:
@@ -56,12 +54,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     the labelled documents of docs; if none is labelled, all go. Rows with equal doc_id and text stay or go together.
     """
     model = langid.train(docs.filter(langid.fold_of() != 2))
-    row, found, lang = (_free(docs, f"__{name}") for name in ("row", "found", "predicted"))
-    rows = docs.withColumn(row, _hash_of_row())
-    kept = langid.identify(rows, model, id_col=row).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    kept = kept.groupBy(F.col("doc_id").alias(found)).agg(F.min("lang_pred").alias(lang))
-    joined = rows.join(kept, F.col(row) == F.col(found))
-    return joined.withColumn("lang", F.coalesce("lang", lang)).select(*_columns(docs))
+    lang, score, _ = names = tuple(_free(docs, f"__{name}") for name in ("predicted", "score", "languages"))
+    kept = langid.with_language(docs, model, names).filter((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", lang)).select(*_columns(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,9 +66,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows with equal doc_id and text one stays: the texts are equal, and so are the rows but for their other columns.
     """
     name = _free(docs, "__own")
-    own = with_own_ids(docs, name)
+    own, different = with_own_ids(docs, name)
     kept = setsketch.near_duplicates(own, shingle_words=5, percent=80, id_col=name).filter("kept").select(F.col("doc_id").alias(name)).distinct()
-    return own.join(kept, name, "left_semi").dropDuplicates([name]).select(*_columns(docs))
+    found = own.join(kept, name, "left_semi")
+    return (found if different else found.dropDuplicates([name])).select(*_columns(docs))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,16 +79,14 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Null ids come last, so theirs are cut; of texts with one doc_id the order is that of their hashes.
     """
     name = _free(docs, "__own")
-    done = paragraphs.remove_repeats(with_own_ids(docs, name), id_col=name, added=(_free(docs, "__removed"), _free(docs, "__repeated")))
+    done = paragraphs.remove_repeats(with_own_ids(docs, name)[0], id_col=name, added=(_free(docs, "__removed"), _free(docs, "__repeated")))
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*_columns(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark passage, whatever their doc_id; null and empty texts are clean and stay."""
-    row, found = _free(docs, "__row"), _free(docs, "__found")
-    rows = docs.withColumn(row, _hash_of_row())
-    hits = decontam.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=row).filter("contaminated").select(F.col("doc_id").alias(found)).distinct()
-    return rows.join(hits, F.col(row) == F.col(found), "left_anti").select(*_columns(docs))
+    flag = _free(docs, "__contaminated")
+    return decontam.with_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), flag).filter(~F.col(flag)).select(*_columns(docs))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
