@@ -24,9 +24,9 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
 
 
-def _file(rows: DataFrame, line: Column, head: str = "", end: str = "\n") -> DataFrame:
-    """One document of the lines in order of k."""
-    lines = rows.agg(F.array_sort(F.collect_list(F.struct("k", line.alias("line")))).alias("s"))
+def _file(rows: DataFrame, line: Column, head: str = "", end: str = "\n", by: tuple[Column, ...] = ()) -> DataFrame:
+    """One document of the lines in order of k, or one for each value of by."""
+    lines = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", line.alias("line")))).alias("s"))
     return lines.select(F.concat(F.lit(head), F.array_join(F.transform("s", lambda x: x["line"]), end)).alias("value"))
 
 
@@ -156,12 +156,13 @@ _STIX_POLICY = """SELECT 'U' || k AS value, CASE WHEN k % 4 = 0 THEN '-' ELSE '+
 
 
 def overlay_entries(spark, sf_dir):
-    """Actions, modes, defaults and clamped scores of overlay entries."""
+    """Actions, modes, defaults and clamped scores of overlay entries, in documents of neighbouring keys that stay below the limits of one."""
     e = F.struct(
         F.concat(F.lit("o"), _text(k())).alias("ioc"), _pick("whitelist", "suppress", "tag", "T", "add", "anything").alias("action"), F.when(k() % 4 == 0, (k() % 300) - 50).alias("confidence"), F.when(k() % 5 == 0, "Malware").when(k() % 5 == 1, "odd").alias("category"),
         F.when(k() % 7 == 0, "score").when(k() % 7 == 1, "full").alias("suppress_mode"), F.when(k() % 2 == 0, F.array(F.lit("x"), F.concat(F.lit("y"), _text(k() % 3)))).alias("tags"),
     )
-    return feeds.read_overlay(_file(_rows(spark, sf_dir).filter("k <= 65536"), F.to_json(e), '{"tenant_id":3,"entries":[', ",").select(F.concat("value", F.lit("]}")).alias("value"))).withColumn("tags", F.array_join("tags", ","))
+    files = _file(_rows(spark, sf_dir), F.to_json(e), '{"tenant_id":3,"entries":[', ",", (F.shiftright(k(), 15),)).select(F.concat("value", F.lit("]}")).alias("value"))
+    return feeds.read_overlay(files).withColumn("tags", F.array_join("tags", ","))
 
 
 _OVERLAY_ENTRIES = """WITH r AS (SELECT p_partkey AS k, ['-', '-', 'T', 'T', '+', '+'][p_partkey % 6 + 1] AS action, CASE WHEN p_partkey % 5 = 0 THEN 2 END AS m FROM part)

@@ -231,14 +231,15 @@ OVERLAY_ACTIONS = {"WHITELIST": "-", "whitelist": "-", "-": "-", "suppress": "-"
 
 
 def read_overlay(files: DataFrame) -> DataFrame:
-    """Overlay rows. A missing or repeated value, one over 4096 bytes, a tag that is no string, no entries or more than 65536, or a file
-    over 8 MiB refuse the whole file."""
+    """Overlay rows. A missing or repeated value, one over 4096 bytes, a tag that is no string, or a document without entries, with more
+    than 65536 or over 8 MiB refuse the whole file; of several documents these limits hold for each, and no two may have the same value."""
     entry = "struct<ioc:string,ioc_value:string,action:string,confidence:int,category:string,suppress_mode:string,tags:string>"
-    rows = files.select(F.octet_length("value").alias("size"), F.posexplode(F.from_json("value", f"tenant_id int, entries array<{entry}>")["entries"]).alias("n", "e")).withColumn("value", F.coalesce("e.ioc", "e.ioc_value"))
+    docs = files.select(F.octet_length("value").alias("size"), F.from_json("value", f"tenant_id int, entries array<{entry}>")["entries"].alias("es"))
+    rows = docs.select("size", F.size("es").alias("entries"), F.explode_outer("es").alias("e")).withColumn("value", F.coalesce("e.ioc", "e.ioc_value"))
     strings = F.coalesce(F.schema_of_variant(F.try_parse_json("e.tags")).isin("ARRAY<STRING>", "ARRAY<VOID>", "VOID"), F.col("e.tags").isNull())
-    seen = rows.agg(F.count("*").alias("n"), F.countDistinct("value").alias("d"), F.count_if(F.col("value").isNull() | (F.col("value") == "")).alias("missing"), F.max(F.octet_length("value")).alias("longest"), F.count_if(~strings).alias("tags"), F.max("size").alias("size")).first()
-    if not 0 < seen["n"] <= 65536 or seen["missing"] or seen["d"] != seen["n"] or (seen["longest"] or 0) > 4096 or seen["tags"] or seen["size"] > 8 << 20:
-        raise S.EngineError(S.EFORMAT, f"overlay refused: {seen['n']} entries, {seen['d']} values, {seen['missing']} without one, longest {seen['longest']}, {seen['tags']} with tags that are no strings, {seen['size']} bytes")
+    seen = rows.agg(F.count("*").alias("n"), F.max("entries").alias("most"), F.countDistinct("value").alias("d"), F.count_if(F.col("value").isNull() | (F.col("value") == "")).alias("missing"), F.max(F.octet_length("value")).alias("longest"), F.count_if(~strings).alias("tags"), F.max("size").alias("size")).first()
+    if not seen["n"] or seen["missing"] or seen["most"] > 65536 or seen["d"] != seen["n"] or seen["longest"] > 4096 or seen["tags"] or seen["size"] > 8 << 20:
+        raise S.EngineError(S.EFORMAT, f"overlay refused: {seen['n']} entries, up to {seen['most']} in a document, {seen['d']} values, {seen['missing']} without one, longest {seen['longest']}, {seen['tags']} with tags that are no strings, up to {seen['size']} bytes")
     actions = F.create_map(*(F.lit(x) for pair in OVERLAY_ACTIONS.items() for x in pair))
     action = F.coalesce(F.try_element_at(actions, F.coalesce("e.action", F.lit("add"))), F.lit("+"))
     category = F.lower("e.category")

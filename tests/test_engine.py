@@ -303,6 +303,11 @@ def test_other_feeds(spark):
     for body in ({"entries": [{"ioc": "a"}, {"ioc": "a"}]}, {"entries": [{"action": "tag"}]}, {"entries": []}, {"entries": [{"ioc": "a", "tags": ["x", 1]}]}, {"entries": [{"ioc": "a", "tags": "x"}]}, {"entries": [{"ioc": "a" * 4097}]}, {"entries": [{"ioc": "a", "category": "x" * (8 << 20)}]}):
         with pytest.raises(S.EngineError):
             feeds.read_overlay(one(spark, json.dumps(body)))
+    several = lambda *sizes: spark.createDataFrame([(json.dumps({"entries": [{"ioc": f"{k}-{j}"} for j in range(n)]}),) for k, n in enumerate(sizes)], "value string")
+    assert feeds.read_overlay(several(65536, 2)).count() == 65538
+    for files in (several(65537), several(2, 0), several(1).unionByName(several(2))):
+        with pytest.raises(S.EngineError):
+            feeds.read_overlay(files)
     assert [feeds.format_of(n) for n in ("a.tags", "b.tags.json", "c.misp.json", "d.stix.json", "e.json", "f.ioc")] == ["tags", "tags_json", "misp", "stix", "dictionary", "list"] and feeds.stem("x/labels.misp.json") == "labels.misp" and feeds.stem("a.stix.json", True) == "a"
 
 
@@ -522,3 +527,18 @@ def test_streams(spark, root, tmp_path):
     observed = spark.readStream.schema("e int, v string").parquet(str(tmp_path / "obs"))
     stream.match_stream(observed, "v", "e", store.root, lambda df, n: got.extend(df.collect()), str(tmp_path / "c9"), available_now=True).awaitTermination()
     assert {r["e"]: r["match"] for r in got} == {1: True, 2: False}
+
+
+def test_overlay_entries_beyond_a_document(spark, tmp_path):
+    """Every key has its entry, 0 and those above 65536 too."""
+    import duckdb
+
+    from palisade import feed_queries as FQ
+
+    spark.range(70_000).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    got = FQ.overlay_entries(spark, str(tmp_path)).collect()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    names = ("value", "action", "suppress_full", "confidence", "type_mask", "category_mask", "tags")
+    want = db.execute(f"SELECT {', '.join(names)} FROM ({FQ._OVERLAY_ENTRIES})").fetchall()
+    assert len(want) == 70_000 and sorted(tuple(r[c] for c in names) for r in got) == sorted(want)
