@@ -655,3 +655,17 @@ def test_differing_bits_lose_few_links():
         tail = lambda k: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1, n + 1))
         assert tail(bits) <= 3e-7 < tail(bits - 1)
     assert most_differing(0.8, 200, 3e-7) == 44
+
+
+def test_written_tables_have_no_checksum_files(spark):
+    """Each file would take further processes, which share the memory of the JVM for a moment."""
+    import os
+
+    from palisade.llm.common import discard, written
+
+    table = written(spark.range(0, 1000, 1, 7), "plain")
+    names = os.listdir(table.written_to.removeprefix("file:"))
+    assert sum(n.startswith("part-") for n in names) == 7 and not [n for n in names if n.endswith(".crc")]
+    assert sorted(r["id"] for r in table.collect()) == list(range(1000))
+    discard(table)
+    assert not os.path.exists(table.written_to.removeprefix("file:"))
